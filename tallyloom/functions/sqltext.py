@@ -38,10 +38,13 @@ def canonical(sql: Column) -> Column:
     return _tidy(strip_comments(sql))
 
 
-def shape_text(sql: Column) -> Column:
+def mask(canonical_text: Column) -> Column:
     """Canonical text with every string and number replaced by ``?``."""
-    text = F.regexp_replace(strip_comments(sql), QUOTED, "?")
-    return _tidy(F.regexp_replace(text, NUMBER, "?"))
+    return F.regexp_replace(F.regexp_replace(canonical_text, QUOTED, "?"), NUMBER, "?")
+
+
+def shape_text(sql: Column) -> Column:
+    return mask(canonical(sql))
 
 
 def shape_id(sql: Column, shape: Column | None = None) -> Column:
@@ -82,133 +85,142 @@ def raw_complexity(joins: Column, ctes: Column, windows: Column, subqueries: Col
 
 # ---- signature parts ----------------------------------------------------------------
 
+_JOIN = r"(?:(?:left|right|full|inner|cross)(?: outer)? )?join"
+_MARK = "|".join([
+    rf"(?:from|{_JOIN}) ?(?:[\w.-]++|\()",
+    r"[\w-]++ as\((?:select|with)\b",
+    r"(?:union|intersect|except)(?: all| distinct)?\b",
+    rf"(?:{'|'.join(AGGREGATES)})\((?:distinct\b)?",
+    r"limit [?]", r"order by\b",
+])
+
 
 def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def cte_names(shape: Column) -> Column:
-    return _all(shape, r"([\w-]+) as\((?:select|with)\b", 1)
+def _without_catalog(name: Column) -> Column:
+    """Last two parts of a dotted name."""
+    return F.substring_index(name, ".", -2)
 
 
-def _plain(text: Column) -> Column:
-    return F.translate(text, "`", "")
+def marks(shape: Column) -> Column:
+    """The pieces of a shape that signatures are made of, found in one pass: table heads
+    (``from t``, ``left join t``), CTE heads, set operators, aggregate calls, LIMIT, ORDER BY.
 
+    The functions below pick from this array; give it a column of its own.
+    """
+    return _all(F.translate(shape, "`", ""), rf"\b({_MARK})", 1)
 
-def _without_catalog(name: Column) -> Column:
-    """Last two parts of a dotted name."""
-    return F.substring_index(name, ".", -2)
 
+def _is_cte(mark: Column) -> Column:
+    return mark.endswith(" as(select") | mark.endswith(" as(with")
 
-def leaf_tables(shape: Column, keep_catalog: bool = False) -> Column:
-    """Sorted distinct qualified names after FROM or JOIN, CTE names left out."""
-    shape = _plain(shape)
-    names = _all(shape, rf"\b(?:from|join) ({TABLE_NAME})", 1)
-    if not keep_catalog:
-        names = F.transform(names, _without_catalog)
-    ctes = cte_names(shape)
-    kept = F.filter(names, lambda n: ~F.array_contains(ctes, F.substring_index(n, ".", -1)))
-    return F.array_sort(F.array_distinct(kept))
 
+def cte_names(found: Column) -> Column:
+    return F.transform(F.filter(found, _is_cte), lambda m: F.substring_index(m, " as(", 1))
 
-def join_edges(shape: Column, keep_catalog: bool = False) -> Column:
-    """Sorted distinct ``a|b|type`` for each join whose both neighbours are base tables.
 
-    A join is paired with the table named right before it in the same FROM list; sides
-    that are CTEs or derived tables give no edge.
-    """
-    shape = _plain(shape)
-    relation = r"(?:[\w.-]+|\()"
-    # One item per FROM/JOIN keyword: "from t" or "left outer join t".
-    heads = _all(shape, rf"\b((?:(?:left|right|full|inner|cross)(?: outer)? )?(?:from|join) ?{relation})", 1)
-    ctes = cte_names(shape)
+def table_heads(found: Column) -> Column:
+    return F.filter(found, lambda m: ~_is_cte(m) & (m.startswith("from") | m.contains("join")))
 
-    def table(head: Column) -> Column:
+
+def relations(heads: Column, ctes: Column, keep_catalog: bool = False) -> Column:
+    """(name, kind) per head: name empty unless a qualified table that is no CTE, kind null
+    for FROM, else the join type.  ``heads`` and ``ctes`` should be columns already computed."""
+    def relation(head: Column) -> Column:
         name = F.regexp_extract(head, rf"(?:from|join) ({TABLE_NAME})$", 1)
-        return name if keep_catalog else _without_catalog(name)
+        name = name if keep_catalog else _without_catalog(name)
+        is_cte = F.array_contains(ctes, F.substring_index(name, ".", -1))
+        word = F.regexp_extract(head, r"^(left|right|full|cross) ", 1)
+        kind = F.when(~head.startswith("from"), F.when(word == "", "inner").otherwise(word))
+        return F.struct(F.when(is_cte, "").otherwise(name).alias("name"), kind.alias("kind"))
+    return F.transform(heads, relation)
 
-    def usable(name: Column) -> Column:
-        return (name != "") & ~F.array_contains(ctes, F.substring_index(name, ".", -1))
 
-    def kind(head: Column) -> Column:
-        word = F.regexp_extract(head, r"^(left|right|full|cross) ", 1)
-        return F.when(word == "", "inner").otherwise(word)
+def leaf_tables(rels: Column) -> Column:
+    """Sorted distinct qualified names of :func:`relations`."""
+    names = F.filter(F.transform(rels, lambda r: r["name"]), lambda n: n != "")
+    return F.sort_array(F.array_distinct(names))
 
-    def edge(head: Column, position: Column) -> Column:
-        before = F.try_element_at(heads, position)  # 1-based, hence the neighbour before
-        a, b = table(before), table(head)
-        text = F.concat_ws("|", F.least(a, b), F.greatest(a, b), kind(head))
-        return F.when((position > 0) & head.rlike(r"\bjoin ") & usable(a) & usable(b), text)
 
-    found = F.transform(heads, lambda h, i: F.when(i > 0, edge(h, F.greatest(i, F.lit(1)))))
-    return F.array_sort(F.array_distinct(F.array_compact(found)))
+def join_edges(rels: Column) -> Column:
+    """Sorted distinct ``a|b|type`` for each join whose both neighbours are base tables.
+
+    A join is paired with the table named right before it; sides that are CTEs or derived
+    tables give no edge.
+    """
+    def edge(rel: Column, position: Column) -> Column:
+        # Positions count from 0 and element_at from 1: this is the neighbour before.
+        before = F.try_element_at(rels, F.greatest(position, F.lit(1)))["name"]
+        text = F.concat_ws("|", F.least(before, rel["name"]), F.greatest(before, rel["name"]),
+                           rel["kind"])
+        return F.when((position > 0) & rel["kind"].isNotNull() & (rel["name"] != "")
+                      & (before != ""), text)
+    return F.sort_array(F.array_distinct(F.array_compact(F.transform(rels, edge))))
 
 
-def aggregate_functions(shape: Column) -> Column:
+def aggregate_functions(found: Column) -> Column:
     """Sorted distinct ``name`` or ``name distinct`` of the aggregates called."""
-    names = "|".join(AGGREGATES)
-    calls = _all(shape, rf"\b((?:{names})\((?:distinct\b)?)", 1)
-    return F.array_sort(F.array_distinct(F.transform(
-        calls, lambda c: F.rtrim(F.translate(c, "(", " ")))))
+    calls = F.filter(found, lambda m: F.substring_index(m, "(", 1).isin(*AGGREGATES))
+    return F.sort_array(F.array_distinct(F.transform(
+        calls, lambda m: F.rtrim(F.translate(m, "(", " ")))))
 
 
-def set_operators(shape: Column) -> Column:
+def set_operators(found: Column) -> Column:
     """Sorted set operators, repeats kept, in upper case."""
-    ops = _all(shape, r"\b((?:union|intersect|except)(?: all)?(?: distinct)?)\b", 1)
-    return F.array_sort(F.transform(ops, lambda o: F.upper(F.regexp_replace(o, " distinct$", ""))))
+    first = F.filter(found, lambda m: F.substring_index(m, " ", 1).isin("union", "intersect", "except")
+                     & ~_is_cte(m))
+    return F.sort_array(F.transform(first, lambda m: F.upper(F.replace(
+        m, F.lit(" distinct"), F.lit("")))))
+
 
+def has_limit(found: Column) -> Column:
+    return F.array_contains(found, "limit ?")
 
-def has_limit(shape: Column) -> Column:
-    return shape.rlike(r"\blimit [?]")
 
+def has_order_by(found: Column) -> Column:
+    return F.array_contains(found, "order by")
 
-def has_order_by(shape: Column) -> Column:
-    return shape.rlike(r"\border by\b")
 
+def _balanced(depth: int) -> str:
+    """Text with brackets nested up to ``depth``, matched without backtracking."""
+    inner = "[^()]*+"
+    for _ in range(depth):
+        inner = rf"[^()]*+(?:\({inner}\)[^()]*+)*+"
+    return inner
 
-# The innermost parenthesised group; replaced repeatedly, nested groups vanish from inside out.
-_INNER_GROUP = r"\(([^()]*)\)"
-_NESTING = 8
+
+_SUBQUERY = rf"\((?:select|with)\b{_balanced(8)}\)"
 _WHERE = r"\bwhere\b(.*)$"
 _AFTER_WHERE = r"\b(?:group by|having|qualify|window|order by|limit)\b.*$"
+_DATE = rf"(?:date|timestamp|cast)? ?\(?'{DATE_TEXT}'"
+_DATE_VALUE = rf"(?:date|timestamp|cast)? ?\(?'({DATE_TEXT})'"
+_LOW = rf"(?:>=|\bbetween) ?{_DATE_VALUE}"
+_HIGH = rf"(?:<=|\bbetween ?{_DATE}(?: as date)?\)? ?and) ?{_DATE_VALUE}"
 
 
-def date_window(sql: Column) -> Column:
-    """``low..high`` of the final result's literal date bounds, null when not certain.
+def branch_windows(canonical_text: Column) -> Column:
+    """(low, high) per final SELECT: lowest literal lower bound, highest upper bound.
 
-    Per final SELECT the lowest lower and the highest upper bound count; over UNION
-    branches the windows are intersected.  Sub-queries and CTE bodies are folded away
-    first, while conditions in plain brackets are kept.
+    Sub-queries and CTE bodies are cut out first.
     """
-    text = canonical(sql)
-    # Give function-free date literals one spelling, then fold brackets without SELECT.
-    text = F.regexp_replace(text, rf"\b(?:date|timestamp) ?'({DATE_TEXT})'", "'$1'")
-    text = F.regexp_replace(text, rf"\b(?:date|cast)\('({DATE_TEXT})'(?: as date)?\)", "'$1'")
-    for _ in range(_NESTING):
-        # Brackets around a SELECT become a neutral mark, all others lose only the brackets.
-        text = F.regexp_replace(text, r"\((?:select|with)\b[^()]*\)", "@")
-        text = F.regexp_replace(text, r"\(([^()]*)\)", " $1 ")
-    text = F.regexp_replace(text, r" +", " ")
-    branches = F.split(text, r"\bunion(?: all| distinct)?\b")
-
-    def bounds(branch: Column, pattern: str) -> Column:
-        where = F.regexp_replace(F.regexp_extract(branch, _WHERE, 1), _AFTER_WHERE, "")
-        return _all(where, pattern, 1)
-
-    def low(branch: Column) -> Column:
-        return F.array_min(bounds(branch, rf"(?:>=|\bbetween) ?'({DATE_TEXT})'"))
-
-    def high(branch: Column) -> Column:
-        upper = bounds(branch, rf"<= ?'({DATE_TEXT})'")
-        between = bounds(branch, rf"\bbetween ?'{DATE_TEXT}' ?and ?'({DATE_TEXT})'")
-        return F.array_max(F.concat(upper, between))
-
-    windows = F.transform(branches, lambda b: F.struct(low(b).alias("low"), high(b).alias("high")))
-    return intersect_windows(windows)
+    outer = F.regexp_replace(canonical_text, _SUBQUERY, "@")
+    # Bodies nested too deeply to be cut out leave the result undecided.
+    outer = F.when(~outer.rlike(r"\((?:select|with)\b"), outer)
+    branches = F.split(outer, r"\bunion(?: all| distinct)?\b")
+    conditions = F.transform(branches, lambda b: F.regexp_replace(
+        F.regexp_extract(b, _WHERE, 1), _AFTER_WHERE, ""))
+    return F.transform(conditions, lambda where: F.struct(
+        F.array_min(_all(where, _LOW, 1)).alias("low"),
+        F.array_max(_all(where, _HIGH, 1)).alias("high")))
 
 
 def intersect_windows(windows: Column) -> Column:
-    """``low..high`` common to an array of (low, high); null when one is open or none is left."""
+    """``low..high`` common to an array of (low, high); null when one is open or none is left.
+
+    ``windows`` should be a column already computed: it is read several times.
+    """
     open_end = F.exists(windows, lambda w: w["low"].isNull() | w["high"].isNull())
     low = F.array_max(F.transform(windows, lambda w: w["low"]))
     high = F.array_min(F.transform(windows, lambda w: w["high"]))

@@ -17,7 +17,7 @@ def dataset_regions(datasets: DataFrame) -> DataFrame:
 def region_datasets(datasets: DataFrame) -> DataFrame:
     """Distinct dataset names of each region as one sorted list."""
     return dataset_regions(datasets).distinct().groupBy("region").agg(
-        F.array_sort(F.collect_list("dataset_id")).alias("datasets"))
+        F.sort_array(F.collect_list("dataset_id")).alias("datasets"))
 
 
 def tables_of_datasets(tables: DataFrame, datasets: DataFrame) -> DataFrame:

@@ -12,19 +12,36 @@ PARTS = ["leaf_tables", "join_edges", "agg_funcs", "set_ops", "has_limit", "has_
          "date_window"]
 
 
-def with_signature(queries: DataFrame, sql: str = "query", keep_catalog: bool = False) -> DataFrame:
-    """Add the seven signature parts, each text array sorted."""
-    shaped = queries.withColumn("_shape", Q.shape_text(F.col(sql)))
-    shape = F.col("_shape")
-    return shaped.select(
-        *queries.columns,
-        Q.leaf_tables(shape, keep_catalog).alias("leaf_tables"),
-        Q.join_edges(shape, keep_catalog).alias("join_edges"),
-        Q.aggregate_functions(shape).alias("agg_funcs"),
-        Q.set_operators(shape).alias("set_ops"),
-        Q.has_limit(shape).alias("has_limit"),
-        Q.has_order_by(shape).alias("has_order_by"),
-        Q.date_window(F.col(sql)).alias("date_window"))
+def with_date_window(queries: DataFrame, sql: str = "query") -> DataFrame:
+    """Add ``date_window``: literal date bounds of the final result, intersected over UNION."""
+    return (queries.withColumn("_windows", Q.branch_windows(Q.canonical(F.col(sql))))
+            .withColumn("date_window", Q.intersect_windows(F.col("_windows"))).drop("_windows"))
+
+
+def with_signature(queries: DataFrame, sql: str = "query", shape: str | None = None,
+                   keep_catalog: bool = False) -> DataFrame:
+    """Add the seven signature parts, each text array sorted; with ``shape``, also the
+    masked text under that name.
+
+    Shared parts are columns of their own: Spark does not deduplicate expressions inside
+    lambdas.
+    """
+    texts = queries.withColumn("_text", Q.canonical(F.col(sql)))
+    texts = texts.withColumn("_shape", Q.mask(F.col("_text")))
+    parts = texts.select("*", Q.marks(F.col("_shape")).alias("_marks"),
+                         Q.branch_windows(F.col("_text")).alias("_windows"))
+    marks = F.col("_marks")
+    parts = parts.select("*", Q.table_heads(marks).alias("_heads"), Q.cte_names(marks).alias("_ctes"))
+    parts = parts.withColumn("_rels", Q.relations(F.col("_heads"), F.col("_ctes"), keep_catalog))
+    return parts.select(
+        *queries.columns, *([F.col("_shape").alias(shape)] if shape else []),
+        Q.leaf_tables(F.col("_rels")).alias("leaf_tables"),
+        Q.join_edges(F.col("_rels")).alias("join_edges"),
+        Q.aggregate_functions(marks).alias("agg_funcs"),
+        Q.set_operators(marks).alias("set_ops"),
+        Q.has_limit(marks).alias("has_limit"),
+        Q.has_order_by(marks).alias("has_order_by"),
+        Q.intersect_windows(F.col("_windows")).alias("date_window"))
 
 
 def _shown(part: Column, is_array: bool) -> Column:
@@ -52,14 +69,17 @@ def compare_signatures(left: DataFrame, right: DataFrame, key: str) -> DataFrame
 
 
 def token_changes(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """Multiset difference of the tokens of two texts per key: added and removed counts."""
-    def counted(text: str, weight: int) -> DataFrame:
-        words = pairs.select(key, F.explode(Q.tokens(F.col(text))).alias("token"))
-        return words.select("*", F.lit(weight).alias("weight"))
-
-    balance = (counted(left, 1).unionByName(counted(right, -1))
-               .groupBy(key, "token").agg(F.sum("weight").alias("left_over")))
-    return balance.groupBy(key).agg(
+    """Token comparison of two texts per key: same sequence, and added and removed counts
+    of the multiset difference."""
+    words = pairs.select(key, Q.tokens(F.col(left)).alias("old"), Q.tokens(F.col(right)).alias("new"))
+    same = (F.col("old") == F.col("new")).alias("text_equal")
+    # Both sides in one pass: an item of the first text weighs 1, of the second -1.
+    items = words.select(key, same, F.explode(F.concat(
+        F.transform("old", lambda w: F.struct(w.alias("token"), F.lit(1).alias("weight"))),
+        F.transform("new", lambda w: F.struct(w.alias("token"), F.lit(-1).alias("weight"))))
+    ).alias("item")).select(key, "text_equal", "item.*")
+    balance = items.groupBy(key, "text_equal", "token").agg(F.sum("weight").alias("left_over"))
+    return balance.groupBy(key, "text_equal").agg(
         F.sum(F.greatest("left_over", F.lit(0))).alias("tokens_removed"),
         F.sum(F.greatest(-F.col("left_over"), F.lit(0))).alias("tokens_added"))
 
@@ -68,22 +88,16 @@ def diff_pairs(pairs: DataFrame, key: str, left: str = "left_query",
                right: str = "right_query") -> DataFrame:
     """Compare two texts per row: same text once comments, spacing and case are evened out,
     same shape, same signature, changed signature parts, and token-level change counts."""
-    texts = pairs.select(
-        "*", (F.array_join(Q.tokens(F.col(left)), " ") == F.array_join(Q.tokens(F.col(right)), " "))
-        .alias("text_equal"),
-        (Q.shape_text(F.col(left)) == Q.shape_text(F.col(right))).alias("shape_equal"))
     # Both signatures are columns of the same row; no join is needed.
-    pair = with_signature(texts, left)
+    pair = with_signature(pairs, left, "_left_shape")
     for part in PARTS:
         pair = pair.withColumnRenamed(part, f"golden_{part}")
-    pair = with_signature(pair, right)
-    entries = []
-    for part in PARTS:
-        same = F.col(f"golden_{part}").eqNullSafe(F.col(part))
-        entries.append(F.when(~same, F.lit(part)))
-    changed = F.array_compact(F.array(*entries))
-    return (pair.withColumn("changed_parts", changed)
+    pair = with_signature(pair, right, "_right_shape")
+    changed = F.array_compact(F.array(*[
+        F.when(~F.col(f"golden_{part}").eqNullSafe(F.col(part)), F.lit(part)) for part in PARTS]))
+    return (pair.select(
+                key, (F.col("_left_shape") == F.col("_right_shape")).alias("shape_equal"),
+                changed.alias("changed_parts"))
             .withColumn("signature_equal", F.size("changed_parts") == 0)
-            .select(key, "text_equal", "shape_equal", "signature_equal", "changed_parts")
             .join(token_changes(pairs, key, left, right), key, "left")
             .fillna(0, ["tokens_removed", "tokens_added"]))

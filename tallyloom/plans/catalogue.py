@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.functions import predicates as P
-from tallyloom.functions import sqltext as Q
 from tallyloom.functions.grouped import distinct_counts
 from tallyloom.operators import (assets, catalog, features, hierarchy, inventory, lifecycle, metrics,
                                  monitor, querylog, repos, signatures, tasks)
@@ -225,8 +224,8 @@ def query_export(t):
     whole = querylog.with_lists(querylog.query_features(shaped, EVENTS_AS_OF), shaped)
     export = querylog.feature_export(whole)
     return export.select(
-        "query_shape_id", F.array_join(F.array_sort("list_of_distinct_users"), ",").alias("users"),
-        F.array_join(F.array_sort("source_tables"), ",").alias("sources"),
+        "query_shape_id", F.array_join(F.sort_array("list_of_distinct_users"), ",").alias("users"),
+        F.array_join(F.sort_array("source_tables"), ",").alias("sources"),
         F.array_join("full_execution_history", ",").alias("history"), "total_execution_count")
 
 
@@ -282,13 +281,12 @@ def signature_comparison(t):
     compared = signatures.compare_signatures(left, right, "event_id")
     return compared.select(
         "event_id", "signature_equal",
-        F.array_join(F.array_sort(F.map_keys("delta")), ",").alias("changed_parts"))
+        F.array_join(F.sort_array(F.map_keys("delta")), ",").alias("changed_parts"))
 
 
 @registered
 def date_window_intersection(t):
-    texts = A.jobs(t).select("job_id", "query")
-    return texts.select("job_id", Q.date_window(F.col("query")).alias("date_window"))
+    return signatures.with_date_window(A.jobs(t).select("job_id", "query")).drop("query")
 
 
 # ---- warehouse inventory ------------------------------------------------------------
@@ -570,7 +568,7 @@ def latest_metric_stream(t):
 @registered
 def metric_sanitise(t):
     kept = metrics.exportable(A.metrics(t))
-    labels = F.array_join(F.array_sort(F.transform(
+    labels = F.array_join(F.sort_array(F.transform(
         F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
     return kept.select("metric", labels.alias("labels"), _time("ts"), "value")
 

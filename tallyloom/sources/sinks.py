@@ -51,4 +51,4 @@ def phase_summary(counted: dict[str, DataFrame], **details) -> DataFrame:
 def best_names(ranked: DataFrame, name: str, score: str, n: int = 5) -> DataFrame:
     """The first ``n`` (name, score) of an ordered frame as one list."""
     top = ranked.select(score, name).limit(n)
-    return top.agg(F.reverse(F.array_sort(F.collect_list(F.struct(score, name)))).alias("best"))
+    return top.agg(F.reverse(F.sort_array(F.collect_list(F.struct(score, name)))).alias("best"))
