@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyloom import schemas
 from tallyloom.functions.scalars import present
@@ -45,15 +44,14 @@ def all_regions(*regions: DataFrame) -> DataFrame:
     return whole
 
 
-def read_pages(spark: SparkSession, path: str, item: T.StructType,
+def read_pages(spark: SparkSession, path: str, item: str,
                field: str = "results") -> DataFrame:
     """Items of landed listing pages (one JSON document per page); empty pages add nothing."""
-    page = T.StructType([T.StructField(field, T.ArrayType(item))])
-    return (spark.read.schema(page).option("multiLine", True).json(path)
+    return (spark.read.schema(f"{field} array<struct<{item}>>").option("multiLine", True).json(path)
             .select(F.inline(field)))
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON-lines documents with their nested schema."""
     return spark.read.schema(schema).json(path)
 
