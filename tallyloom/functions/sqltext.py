@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 QUOTED = r"""'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 COMMENT = r"--[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 NUMBER = r"\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b"
+SPACES = r"\s+"
 AROUND_SIGNS = r" *([(),=<>+*/;-]) *"
+TAIL = r"[; ]+$"
 TABLE_NAME = r"[\w-]+(?:\.[\w-]+)+"
 DATE_TEXT = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
@@ -28,9 +30,9 @@ def strip_comments(sql: Column) -> Column:
 
 
 def _tidy(text: Column) -> Column:
-    text = F.regexp_replace(F.lower(text), r"\s+", " ")
+    text = F.regexp_replace(F.lower(text), SPACES, " ")
     text = F.regexp_replace(text, AROUND_SIGNS, "$1")
-    return F.trim(F.regexp_replace(text, r"[; ]+$", ""))
+    return F.trim(F.regexp_replace(text, TAIL, ""))
 
 
 def canonical(sql: Column) -> Column:

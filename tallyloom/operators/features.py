@@ -54,6 +54,11 @@ def view_from_request(request: DataFrame, groups: dict[str, FeatureGroup]) -> Da
                         [list(g["feature_ids"]) for g in listed])
 
 
+def materialise(view: DataFrame, path: str) -> None:
+    """Compute a view and replace the serving table; run again to refresh."""
+    view.write.mode("overwrite").parquet(path)
+
+
 def lookup(view: DataFrame, wanted: DataFrame, entity: str = "entity_id") -> DataFrame:
     """Features of the wanted entities, with ``found`` false for unknown ones."""
     marked = view.withColumn("found", F.lit(True))

@@ -49,11 +49,16 @@ def state_changes(logs: DataFrame) -> DataFrame:
 
     With several ``task_id=`` in a line the last one counts.
     """
-    text = logs.where(F.col("is_text")) if "is_text" in logs.columns else logs
     payload = F.col("payload")
-    return text.where(payload.rlike(STATE_LINE)).select(
+    is_state_line = payload.rlike(STATE_LINE)
+    if "is_text" in logs.columns:
+        is_state_line = is_state_line & F.col("is_text")
+    line = F.struct(
         "dag_id", F.regexp_extract(payload, STATE_LINE, 2).alias("task_id"),
         F.upper(F.regexp_extract(payload, STATE_LINE, 1)).alias("state"), "timestamp")
+    # Not a filter: that would be moved below a stream's watermark, and then the lines
+    # without a state would no longer move the clock that ends overdue runs.
+    return logs.select(F.inline(F.when(is_state_line, F.array(line))))
 
 
 def task_states(changes: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def top_golden_queries(t):
 @registered
 def top_golden_dashboards(t):
     scored = ranking.scored_dashboards(A.dashboards(t), A.saved_queries(t), A.widgets(t), ORDERS_AS_OF)
-    return assets.top_dashboards(scored, assets.lineage_edges(A.widgets(t))).select(
+    return assets.top_dashboards(scored).select(
         "id", "name", "is_draft", "query_count", *_r("golden_dashboard_score"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import schemas
+from tallyloom.functions.predicates import TEXT_PROBE_BYTES
 from tallyloom.functions.scalars import present
 
 LOOK_BACK_DAYS = 180
@@ -66,12 +69,49 @@ def not_fetched(listed: DataFrame, details: DataFrame, key: str = "id") -> DataF
 
 
 def read_file_heads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, content) of every file below a folder, ``.git`` folders left out."""
+    """(path, size, content) of the files below a folder, ``.git`` folders left out.
+
+    For object stores.  Spark's file source skips empty files and names that begin with
+    ``_`` or ``.``; use :func:`walk_files` where a checkout is mounted, or a file table.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
     return files.where(~F.col("path").rlike(r"(^|/)\.git/") & present(F.col("path"))).select(
         "path", F.col("length").alias("size"), "content")
 
 
+def walk_files(roots: DataFrame, head_bytes: int = TEXT_PROBE_BYTES) -> DataFrame:
+    """(root, path, size, content) of every file below mounted folders, ``.git`` left out.
+
+    ``roots`` has one folder per row in ``root``.  Folders are listed first and then spread
+    over the tasks, so that one large checkout is read by many; only the first bytes of a
+    file are read.  Files that cannot be read have null content.
+    """
+    def folders(batches):
+        for batch in batches:
+            for root in batch["root"]:
+                for folder, below, _ in os.walk(root):
+                    below[:] = [d for d in below if d != ".git"]
+                    yield pd.DataFrame({"root": [root], "folder": [folder]})
+
+    def files(batches):
+        for batch in batches:
+            for root, folder in zip(batch["root"], batch["folder"]):
+                for entry in os.scandir(folder):
+                    if not entry.is_file(follow_symlinks=False):
+                        continue
+                    try:
+                        with open(entry.path, "rb") as source:
+                            head = source.read(head_bytes)
+                    except OSError:
+                        head = None
+                    yield pd.DataFrame({"root": [root], "path": [entry.path],
+                                        "size": [entry.stat().st_size], "content": [head]})
+
+    listed = roots.select("root").distinct().mapInPandas(folders, "root string, folder string")
+    return listed.repartition("folder").mapInPandas(
+        files, "root string, path string, size long, content binary")
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RAW_LOG_ENTRIES).json(path)
 
