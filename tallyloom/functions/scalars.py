@@ -76,7 +76,7 @@ def present(text: Column) -> Column:
 
 def present_id(identifier: Column) -> Column:
     """True for an identifier that is neither null, empty nor zero."""
-    return F.coalesce(~identifier.cast("string").isin("", "0"), F.lit(False))
+    return identifier.isNotNull() & ~identifier.cast("string").isin("", "0")
 
 
 def array_length(values: Column) -> Column:
