@@ -25,10 +25,8 @@ def distinct_counts(df: DataFrame, keys: list[str], counted: dict[str, str]) ->
         (name, column), = counted.items()
         return (df.where(F.col(column).isNotNull()).select(*keys, column).distinct()
                   .groupBy(*keys).agg(F.count(F.lit(1)).alias(name)))
-    items = []
-    for position, column in enumerate(counted.values()):
-        items.append(F.struct(
-            F.lit(position).alias("which"), F.col(column).cast("string").alias("item")))
+    items = [F.struct(F.lit(i).alias("which"), F.col(c).cast("string").alias("item"))
+             for i, c in enumerate(counted.values())]
     marks = (df.select(*keys, F.inline(F.array(*items)))
                .where(F.col("item").isNotNull()).distinct())
     totals = [F.count_if(F.col("which") == i).alias(name) for i, name in enumerate(counted)]

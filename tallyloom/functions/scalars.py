@@ -56,13 +56,14 @@ def log_share(count: Column, largest: Column) -> Column:
     return F.coalesce(F.log1p(count) / F.nullif(F.log1p(largest), F.lit(0.0)), F.lit(0.0))
 
 
-def maxima(df: DataFrame, *columns: str) -> Column:
-    """Dataset-wide maxima as one uncorrelated scalar subquery: a struct of one value per column.
+def with_maxima(df: DataFrame, *columns: str) -> DataFrame:
+    """Add ``_top``: the dataset-wide maxima of the columns, as one struct.
 
-    A single row reaches the main plan, whatever the data size, and no join is involved.
+    One uncorrelated scalar subquery: a single row reaches the main plan, whatever the data
+    size, no join is involved, and the shuffles both sides share run once.
     """
     fields = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in columns]
-    return df.agg(F.struct(*fields).alias("maxima")).scalar()
+    return df.withColumn("_top", df.agg(F.struct(*fields).alias("top")).scalar())
 
 
 def is_blank(text: Column) -> Column:

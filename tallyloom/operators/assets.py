@@ -130,13 +130,13 @@ def query_features(saved: DataFrame, edges: DataFrame) -> DataFrame:
 def score_queries(features: DataFrame, as_of) -> DataFrame:
     """Impact (6), recency (3) and curation (1) of saved queries, and their sum."""
     dash, chart = "downstream_dashboard_count", "downstream_chart_count"
-    top = S.maxima(features, dash, chart)
-    impact = 6 * (0.8 * S.log_share(F.col(dash), top[dash])
-                  + 0.2 * S.log_share(F.col(chart), top[chart]))
+    impact = 6 * (0.8 * S.log_share(F.col(dash), F.col(f"_top.{dash}"))
+                  + 0.2 * S.log_share(F.col(chart), F.col(f"_top.{chart}")))
     age = S.elapsed_days(as_of, S.parse_iso(F.col("updated_at")))
     curation = (F.when(S.present(F.col("description")), 0.5).otherwise(0.0)
                 + F.when(S.present(F.col("schedule")), 0.5).otherwise(0.0))
-    return (features.withColumn("impact_score", impact)
+    return (S.with_maxima(features, dash, chart)
+            .withColumn("impact_score", impact).drop("_top")
             .withColumn("recency_score", S.decay(age, 0.02, 3.0))
             .withColumn("curation_score", curation)
             .withColumn("golden_query_score",
@@ -184,15 +184,16 @@ def score_dashboards(features: DataFrame, widgets: DataFrame, edges: DataFrame,
     sums = content_sums(edges, scored_queries).withColumnRenamed("dashboard_id", "id")
     notes = description_scores(widgets).withColumnRenamed("dashboard_id", "id")
     raw = features.join(sums, "id", "left").fillna(0, ["query_count", "raw_content_score"])
-    largest = S.maxima(raw, "raw_content_score")["raw_content_score"]
-    content = 7 * F.coalesce(F.col("raw_content_score") / F.nullif(largest, F.lit(0.0)), F.lit(0.0))
+    largest = F.nullif(F.col("_top.raw_content_score"), F.lit(0.0))
+    content = 7 * F.coalesce(F.col("raw_content_score") / largest, F.lit(0.0))
     age = S.elapsed_days(as_of, S.parse_iso(F.col("updated_at")))
-    return (raw.join(notes, "id", "left").fillna(0.0, ["curation_score"])
+    return (S.with_maxima(raw, "raw_content_score")
+            .join(notes, "id", "left").fillna(0.0, ["curation_score"])
             .withColumn("content_quality_score", content)
             .withColumn("recency_score", S.decay(age, 0.01, 2.0))
             .withColumn("golden_dashboard_score", F.col("content_quality_score")
                         + F.col("recency_score") + F.col("curation_score"))
-            .drop("raw_content_score"))
+            .drop("raw_content_score", "_top"))
 
 
 # ---- rankings -----------------------------------------------------------------------

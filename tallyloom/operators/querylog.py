@@ -21,6 +21,7 @@ FEATURE_COLUMNS = [
     "is_service_account", "has_persistent_destination", "is_dml",
 ]
 SINGLE_RUN = "SINGLE_EXECUTION"
+BROADCAST_DIGESTS = 100_000
 
 
 def flatten_jobs(jobs: DataFrame) -> DataFrame:
@@ -67,9 +68,17 @@ def query_previews(jobs: DataFrame, n: int = 5, length: int = 100) -> DataFrame:
         F.substring("query", 1, length).alias("preview"), "executions")
 
 
-def candidate_jobs(jobs: DataFrame, n: int) -> DataFrame:
-    """Jobs whose text is among the ``n`` most frequent."""
-    return jobs.join(top_raw_queries(jobs, n).select("query"), "query", "left_semi")
+def candidate_jobs(jobs: DataFrame, n: int = 50_000) -> DataFrame:
+    """Jobs whose text is among the ``n`` most frequent.
+
+    Texts are compared by digest: ``n`` digests of 32 bytes are broadcast while that stays
+    under a few megabytes, and then no job row moves, however frequent its text.  A larger
+    ``n`` leaves the join to the planner.
+    """
+    digest = F.unhex(F.sha2(F.col("query"), 256))
+    top = top_raw_queries(jobs, n).select(digest.alias("_digest"))
+    wanted = F.broadcast(top) if n <= BROADCAST_DIGESTS else top
+    return jobs.withColumn("_digest", digest).join(wanted, "_digest", "left_semi").drop("_digest")
 
 
 def usage_facts(shaped: DataFrame) -> DataFrame:
@@ -161,9 +170,10 @@ def with_structure(shapes: DataFrame) -> DataFrame:
 
 def with_complexity(structured: DataFrame) -> DataFrame:
     """Raw score over the dataset's largest; all zero when the largest is zero."""
-    largest = S.maxima(structured, "raw_complexity_score")["raw_complexity_score"]
-    share = F.col("raw_complexity_score") / F.nullif(largest, F.lit(0))
-    return structured.withColumn("complexity_score", F.coalesce(share, F.lit(0.0)))
+    largest = F.nullif(F.col("_top.raw_complexity_score"), F.lit(0))
+    share = F.coalesce(F.col("raw_complexity_score") / largest, F.lit(0.0))
+    return (S.with_maxima(structured, "raw_complexity_score")
+            .withColumn("complexity_score", share).drop("_top"))
 
 
 def query_features(shaped: DataFrame, as_of) -> DataFrame:

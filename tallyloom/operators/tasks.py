@@ -83,10 +83,8 @@ def urgency(due: Column, as_of) -> Column:
 
 def score_tasks(features: DataFrame, as_of) -> DataFrame:
     """Impact (5), engagement (3) and timeliness (2); completed tasks keep a fifth."""
-    top = S.maxima(features, *COUNTS)
-
     def share(count: str) -> Column:
-        return S.log_share(F.col(count), top[count])
+        return S.log_share(F.col(count), F.col(f"_top.{count}"))
 
     impact = 5 * (0.7 * share("dependent_count") + 0.3 * share("dependency_count"))
     engagement = 3 * (0.5 * share("subtask_count") + 0.3 * share("comment_count")
@@ -94,8 +92,9 @@ def score_tasks(features: DataFrame, as_of) -> DataFrame:
     idle = F.floor(S.elapsed_days(as_of, S.parse_iso(F.col("last_modified_at"))))
     timeliness = urgency(F.col("due_date"), as_of) + S.decay(idle, 0.02)
     total = F.col("impact_score") + F.col("engagement_score") + F.col("timeliness_recency_score")
-    return (features.withColumn("impact_score", impact)
-            .withColumn("engagement_score", engagement)
+    return (S.with_maxima(features, *COUNTS)
+            .withColumn("impact_score", impact)
+            .withColumn("engagement_score", engagement).drop("_top")
             .withColumn("timeliness_recency_score", timeliness)
             .withColumn("golden_task_score",
                         F.when(F.col("is_completed"), total * 0.2).otherwise(total)))

@@ -636,13 +636,6 @@ def user_recent_tasks(t):
         "user_id", "id", F.col("position").cast("long").alias("position"))
 
 
-@registered
-def one_user_recent_tasks(t):
-    rows = t.events.select(F.col("event_id").alias("id"), "user_id",
-                           F.col("ts").cast("timestamp").alias("created_at"))
-    return lifecycle.recent_tasks(rows, 7).select("id", _time("created_at"))
-
-
 @registered
 def tasks_of_users(t):
     users = t.customer.select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("email"))

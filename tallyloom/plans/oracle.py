@@ -474,8 +474,6 @@ for _name in ("task_progress", "task_progress_stream"):
     define(_name, ("progressed",), "SELECT *, progress >= 200 AS done FROM progressed")
 define("user_recent_tasks", (), """SELECT user_id, event_id AS id, row_number() OVER (PARTITION BY user_id
  ORDER BY ts DESC, event_id) AS position FROM events QUALIFY position <= 50""")
-define("one_user_recent_tasks", (), f"""SELECT event_id AS id, strftime(ts, {TS}) AS created_at FROM events
- WHERE user_id = 7 ORDER BY ts DESC, event_id LIMIT 50""")
 define("tasks_of_users", (), """SELECT o_custkey AS user_id, o_orderkey AS task_id, lower(c_name) AS email
  FROM orders JOIN customer ON c_custkey = o_custkey""")
 define("users_ensured", (), """SELECT lower(c_name) AS email, true AS was_known FROM customer

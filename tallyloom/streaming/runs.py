@@ -52,9 +52,18 @@ def latest_rows(spark: SparkSession, path: str, schema: T.StructType, keys: list
 
 
 def run_now(stream: DataFrame, start: Callable, label: str) -> str:
-    """Process what has landed so far to its end; the path of the table written."""
+    """Process what has landed so far to its end; the path of the table written.
+
+    The number of state partitions is fixed at a stream's first start: at most one per core.
+    """
     spark = stream.sparkSession
     path = new_path(spark, label)
-    query = start(stream, f"{path}/table", f"{path}/checkpoint")
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        query = start(stream, f"{path}/table", f"{path}/checkpoint")
+    finally:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     return f"{path}/table"

@@ -47,7 +47,7 @@ def test_decay_is_not_clamped(spark):
 
 def test_log_share_of_zero_maximum(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "i int, n int")
-    assert {r[0] for r in df.select(S.log_share(F.col("n"), S.maxima(df, "n")["n"])).collect()} == {0.0}
+    assert {r[0] for r in S.with_maxima(df, "n").select(S.log_share(F.col("n"), F.col("_top.n"))).collect()} == {0.0}
 
 
 def test_shorten(spark):
