@@ -61,11 +61,27 @@ def state_changes(logs: DataFrame) -> DataFrame:
     return logs.select(F.inline(F.when(is_state_line, F.array(line))))
 
 
-def task_states(changes: DataFrame) -> DataFrame:
-    """Last state per task, and whether it ever failed; equal times go to the later name."""
+def latest_states(changes: DataFrame) -> DataFrame:
+    """Last state per task with its time, and whether the task ever failed; equal times go
+    to the later name."""
+    last = F.max(F.struct("timestamp", "state")).alias("last")
     return changes.groupBy("dag_id", "task_id").agg(
-        F.max(F.struct("timestamp", "state"))["state"].alias("state"),
-        F.bool_or(F.col("state") == "FAILED").alias("ever_failed"))
+        last, F.bool_or(F.col("state") == "FAILED").alias("ever_failed"),
+    ).select("dag_id", "task_id", "last.*", "ever_failed")
+
+
+def merge_states(*known: DataFrame) -> DataFrame:
+    """One state table out of several results of :func:`latest_states`."""
+    whole = known[0]
+    for states in known[1:]:
+        whole = whole.unionByName(states)
+    return whole.groupBy("dag_id", "task_id").agg(
+        F.max(F.struct("timestamp", "state")).alias("last"), F.bool_or("ever_failed").alias("ever_failed"),
+    ).select("dag_id", "task_id", "last.*", "ever_failed")
+
+
+def task_states(changes: DataFrame) -> DataFrame:
+    return latest_states(changes).drop("timestamp")
 
 
 def status_of(any_failed: Column, all_success: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators import monitor as M
@@ -75,16 +76,38 @@ def run_status(logs: DataFrame, max_minutes: int = MAX_MINUTES) -> DataFrame:
         step, STATUS_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def run_outcomes(runs: DataFrame, statuses: DataFrame, query: StreamingQuery) -> DataFrame:
+    """Final status of every watched run.
+
+    ``statuses`` are the rows of :func:`run_status`.  A run without one ended in a tool
+    error when the stream itself failed, else the monitoring time ran out.
+    """
+    missing = M.TOOL_ERROR if query.exception() is not None else M.TIMED_OUT
+    known = statuses.groupBy("dag_id").agg(F.min("status").alias("status"))
+    return runs.select("dag_id").distinct().join(known, "dag_id", "left").fillna(
+        missing, ["status"])
+
+
 def write_monitor_output(path: str):
-    """``foreachBatch`` sink: all collected logs, and task states and run status of the batch."""
+    """``foreachBatch`` sink: the batch's logs, and task states and run status so far.
+
+    The states of a batch are those of the batch before with its own lines folded in, so
+    every ``batch_id`` folder below ``task_states`` and ``summary`` is a full snapshot, and
+    a repeated batch replaces its own.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
+        part = f"batch_id={batch_id}"
         batch.persist()
         try:
-            part = f"batch_id={batch_id}"
             batch.write.mode("overwrite").parquet(f"{path}/logs/{part}")
-            states = M.task_states(M.state_changes(batch))
+            states = M.latest_states(M.state_changes(batch))
+            if batch_id > 0:
+                before = batch.sparkSession.read.schema(states.schema).parquet(
+                    f"{path}/task_states/batch_id={batch_id - 1}")
+                states = M.merge_states(before, states)
             states.write.mode("overwrite").parquet(f"{path}/task_states/{part}")
-            M.run_status(states).write.mode("overwrite").json(f"{path}/summary/{part}")
+            written = batch.sparkSession.read.schema(states.schema).parquet(f"{path}/task_states/{part}")
+            M.run_status(written).write.mode("overwrite").json(f"{path}/summary/{part}")
         finally:
             batch.unpersist()
     return write

@@ -101,16 +101,42 @@ def test_states_stream_and_restart(spark, folder):
 
 
 def test_monitor_output(spark, folder):
+    import os
+    os.makedirs(f"{folder}/in")
+    for i, rows in enumerate([ROWS, [mark(8, "SUCCESS", "y", "mixed"), mark(9, "RUNNING", dag="new")]]):
+        land(f"{folder}/in", f"b{i}", rows)
+        raw = runs.read_stream(spark, f"{folder}/in", schemas.RAW_LOG_ENTRIES)
+        query = (monitor.normalise_entries(raw).writeStream
+                 .foreachBatch(live.write_monitor_output(f"{folder}/out"))
+                 .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
+        query.awaitTermination()
+    assert spark.read.parquet(f"{folder}/out/logs").count() == len(ROWS) + 2
+    summary = spark.read.schema("dag_id string, status string").json(f"{folder}/out/summary/batch_id=1")
+    assert {r.dag_id: r.status for r in summary.collect()} == {
+        "ok": "dag_succeeded", "bad": "dag_failed", "retry": "monitoring_timed_out", "mixed": "dag_succeeded",
+        "new": "monitoring_timed_out"}
+    states = spark.read.parquet(f"{folder}/out/task_states/batch_id=1")
+    assert {(r.dag_id, r.task_id): r.state for r in states.collect()}[("mixed", "y")] == "SUCCESS"
+    watched = spark.createDataFrame([("bad",), ("silent",)], "dag_id string")
+    emitted = spark.createDataFrame([("bad", "dag_failed", 1)], live.STATUS_SCHEMA)
+    assert {r.dag_id: r.status for r in live.run_outcomes(watched, emitted, query).collect()} == {
+        "bad": "dag_failed", "silent": "monitoring_timed_out"}
+
+
+def test_failed_stream_is_a_tool_error(spark, folder):
     import os
     os.makedirs(f"{folder}/in")
     land(f"{folder}/in", "a", ROWS)
-    raw = runs.read_stream(spark, f"{folder}/in", schemas.RAW_LOG_ENTRIES)
-    query = (monitor.normalise_entries(raw).writeStream.foreachBatch(live.write_monitor_output(f"{folder}/out"))
+
+    def broken(batch, batch_id):
+        raise IOError("source went away")
+    query = (runs.read_stream(spark, f"{folder}/in", schemas.RAW_LOG_ENTRIES).writeStream.foreachBatch(broken)
              .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
-    query.awaitTermination()
-    assert spark.read.parquet(f"{folder}/out/logs").count() == len(ROWS)
-    summary = spark.read.schema("dag_id string, status string").json(f"{folder}/out/summary")
-    assert {r.dag_id: r.status for r in summary.collect()}["bad"] == "dag_failed"
+    with pytest.raises(Exception):
+        query.awaitTermination()
+    watched = spark.createDataFrame([("d",)], "dag_id string")
+    none = spark.createDataFrame([], live.STATUS_SCHEMA)
+    assert live.run_outcomes(watched, none, query).first().status == "error_in_tool"
 
 
 def test_log_scan_filters(spark, folder):
