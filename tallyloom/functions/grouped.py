@@ -70,7 +70,7 @@ def list_segments(numbered: DataFrame, keys: list[str], value: str, size: int,
             .select(*keys, "segment", F.col(f"_pairs.{value}").alias(out)))
 
 
-def gap_statistics(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int = 60) -> DataFrame:
+def gap_statistics(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int = 900) -> DataFrame:
     """Count, mean and sample deviation (seconds) of the gaps between successive times per key.
 
     Equal times are first merged into one row with a multiplicity, so that neither a hot

@@ -74,11 +74,19 @@ def tasks_of_users(users: DataFrame, tasks: DataFrame) -> DataFrame:
     return tasks.join(owners, "user_id")
 
 
+def uuid_of(text: Column) -> Column:
+    """A UUID that depends on the text only: a recomputed task gives the same one."""
+    digest = F.md5(text)
+    return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in (
+        (1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def ensure_users(users: DataFrame, wanted: DataFrame) -> DataFrame:
     """Users after get-or-create by e-mail; a missing address is the anonymous one."""
     emails = wanted.select(F.coalesce(F.nullif("email", F.lit("")), F.lit(ANONYMOUS))
                            .alias("email")).distinct()
-    new = emails.join(users, "email", "left_anti").select(F.uuid().alias("id"), "email")
+    new = emails.join(users, "email", "left_anti").select(
+        uuid_of(F.col("email")).alias("id"), "email")
     return users.select("id", "email").unionByName(new)
 
 

@@ -141,7 +141,7 @@ def shape_profile(facts: DataFrame) -> DataFrame:
             .withColumn("is_dml", P.is_dml(F.col("statement_type"))))
 
 
-def shape_regularity(shaped: DataFrame, bucket_seconds: int = 60) -> DataFrame:
+def shape_regularity(shaped: DataFrame, bucket_seconds: int = 900) -> DataFrame:
     """Sample deviation of gaps between runs: null and flagged for one run, 0 for two."""
     stats = gap_statistics(shaped, ["query_shape_id"], "creation_time", bucket_seconds)
     return stats.select(

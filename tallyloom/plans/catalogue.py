@@ -645,7 +645,7 @@ def tasks_of_users(t):
 
 @registered
 def users_ensured(t):
-    """Known and newly added users; the new ids are random, so only presence is shown."""
+    """Known and newly added users."""
     known = t.customer.where(F.col("c_acctbal") > 0).select(
         F.col("c_custkey").cast("string").alias("id"), F.lower("c_name").alias("email"))
     wanted = t.customer.select(F.when(F.col("c_mktsegment") != "MACHINERY", F.lower("c_name"))
