@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +13,13 @@ MAX_FILE_BYTES = 100 * 1024 * 1024
 TEXT_PROBE_BYTES = 512
 TEXT_PRINTABLE_SHARE = 0.9
 
-# File name endings whose registered media type is text, JSON or XML.
-TEXT_EXTENSIONS = (
-    "bat", "c", "css", "csv", "h", "htm", "html", "js", "json", "ksh", "mjs", "pl", "py",
-    "rdf", "rtx", "sgm", "sgml", "srt", "tsv", "txt", "vcf", "vtt", "wsdl", "xml", "xpdl", "xsl",
-)
+# File name endings whose built-in media type is text, JSON or XML.
+TEXT_EXTENSIONS = sorted(
+    ending.lstrip(".") for ending, kind in mimetypes.MimeTypes().types_map[True].items()
+    if kind.startswith("text/") or kind in ("application/json", "application/xml"))
+
+# Fixed value: the date part of a sharded table name (_YYYYMMDD, _YYYY_MM_DD or _YYYYMM).
+DATE_SHARD = r"_\d{4}(?:_?\d{2}){1,2}$"
 
 # Metrics that may leave the cluster, and labels that must not.
 ALLOWED_METRICS = (
@@ -49,8 +53,8 @@ def is_dml(statement_type: Column) -> Column:
 
 
 def logical_table_name(name: Column) -> Column:
-    """Table name without a date-shard suffix: _YYYYMMDD, _YYYY_MM_DD or _YYYYMM."""
-    return F.regexp_replace(name, r"_\d{4}(?:_?\d{2}){1,2}$", "")
+    """Table name without a date-shard suffix."""
+    return F.regexp_replace(name, DATE_SHARD, "")
 
 
 def _all_present(*columns: Column) -> Column:
@@ -78,7 +82,8 @@ def is_countable_file(kind: Column, path: Column, size: Column) -> Column:
 
 
 def file_extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    """Ending of the file name in lower case; that of a packed file is the one before."""
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)(?:\.(?:gz|bz2|xz|br|Z))?$", 1))
 
 
 def looks_like_text(head: Column) -> Column:

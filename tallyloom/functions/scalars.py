@@ -75,6 +75,11 @@ def present(text: Column) -> Column:
     return ~is_blank(text)
 
 
+def present_json(text: Column) -> Column:
+    """True for JSON text that holds something: not null, empty, false or zero."""
+    return present(text) & ~F.trim(text).isin("{}", "[]", "null", "false", "0", '""')
+
+
 def present_id(identifier: Column) -> Column:
     """True for an identifier that is neither null, empty nor zero."""
     return identifier.isNotNull() & ~identifier.cast("string").isin("", "0")

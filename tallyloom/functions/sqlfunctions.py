@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from tallyloom.functions import sqltext as Q
+from tallyloom.functions.predicates import DATE_SHARD
 
 
 def _quote(pattern: str) -> str:
@@ -36,4 +37,4 @@ def register_functions(spark: SparkSession) -> None:
     define("is_dml(k STRING)", "BOOLEAN",
            "coalesce(upper(k) RLIKE 'INSERT|MERGE|UPDATE|DELETE|CREATE_TABLE_AS_SELECT', false)")
     define("logical_table_name(n STRING)", "STRING",
-           f"regexp_replace(n, {_quote(r'_\d{4}(?:_?\d{2}){1,2}$')}, '')")
+           f"regexp_replace(n, {_quote(DATE_SHARD)}, '')")

@@ -10,6 +10,7 @@ from tallyloom.functions.grouped import distinct_counts
 from tallyloom.functions.predicates import person_name
 
 NO_VISUALIZATION = "no_visualization"
+WHITESPACE = " \t\n\r\x0b\x0c"
 
 # Column orders of the two exports.
 QUERY_COLUMNS = [
@@ -134,7 +135,7 @@ def score_queries(features: DataFrame, as_of) -> DataFrame:
                   + 0.2 * S.log_share(F.col(chart), F.col(f"_top.{chart}")))
     age = S.elapsed_days(as_of, S.parse_iso(F.col("updated_at")))
     curation = (F.when(S.present(F.col("description")), 0.5).otherwise(0.0)
-                + F.when(S.present(F.col("schedule")), 0.5).otherwise(0.0))
+                + F.when(S.present_json(F.col("schedule")), 0.5).otherwise(0.0))
     return (S.with_maxima(features, dash, chart)
             .withColumn("impact_score", impact).drop("_top")
             .withColumn("recency_score", S.decay(age, 0.02, 3.0))
@@ -168,7 +169,7 @@ def description_scores(widgets: DataFrame) -> DataFrame:
     """1.0 when the top-left text widget has content, 0.5 when it is blank."""
     texts = widgets.where(~F.col("has_visualization")
                           | (F.coalesce("viz_type", F.lit("")) == "text"))
-    place = F.struct("row", "col", "pos", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    place = F.struct("row", "col", "pos", F.trim(F.coalesce("text", F.lit("")), F.lit(WHITESPACE)).alias("text"))
     first = texts.groupBy("dashboard_id").agg(F.min(place)["text"].alias("text"))
     return first.select("dashboard_id",
                         F.when(F.col("text") != "", 1.0).otherwise(0.5).alias("curation_score"))

@@ -25,7 +25,10 @@ def normalise_entries(raw: DataFrame) -> DataFrame:
 def scan_logs(logs: DataFrame, after, resource_type: str | None = None,
               environment: str | None = None, location: str | None = None,
               log_name: str | None = None, dag_id: str | None = None) -> DataFrame:
-    """Entries strictly later than ``after``; each further filter applies when given."""
+    """Entries strictly later than ``after``; each further filter applies when given.
+
+    The run id is looked for in text payloads only.
+    """
     found = logs.where(F.col("timestamp") > F.to_timestamp(F.lit(after)))
     if resource_type:
         found = found.where(F.col("resource_type") == resource_type)
@@ -37,6 +40,8 @@ def scan_logs(logs: DataFrame, after, resource_type: str | None = None,
         found = found.where(F.col("log_name").rlike(log_name))
     if dag_id:
         found = found.where(F.col("payload").contains(dag_id))
+        if "is_text" in logs.columns:
+            found = found.where("is_text")
     return found
 
 

@@ -27,7 +27,7 @@ def saved(qid, description=None, schedule=None, updated="2024-03-01T00:00:00Z",
 def boards(spark):
     return spark.createDataFrame([
         board(1, [widget(1, 10), widget(2, 10), widget(3, 11), widget(4, 0), widget(5, None),
-                  widget(6, 12, "text", text=" x ", row=2, col=0), widget(7, viz=False, text="  ", row=1, col=5),
+                  widget(6, 12, "text", text=" x ", row=2, col=0), widget(7, viz=False, text=" \n\t", row=1, col=5),
                   widget(8, 13, None)]),
         board(2, [widget(9, 10), widget(10, viz=False, text="hello")], draft=True),
         board(3, [], user=None), board(4, None, user=None, creator=None), board(0, [widget(11, 10)]),
@@ -37,8 +37,8 @@ def boards(spark):
 @pytest.fixture
 def queries(spark):
     return spark.createDataFrame([
-        saved(10, "d", "{}"), saved(11, "", "{}"), saved(13, "d", None, "2024-02-20T00:00:00Z"),
-        saved(14, None, "", "2024-03-11T00:00:00Z"), saved(15, updated="junk", user=None, creator=("c",)),
+        saved(10, "d", '{"interval": 5}'), saved(11, "", '{"interval": 5}'), saved(13, "d", None, "2024-02-20T00:00:00Z"),
+        saved(14, None, "{}", "2024-03-11T00:00:00Z"), saved(15, updated="junk", user=None, creator=("c",)),
         saved(None), saved(0)], SAVED_QUERIES)
 
 

@@ -57,20 +57,20 @@ def test_metrics_and_summaries(spark):
 def test_text_files(spark, folder):
     files = {"a.txt": b"\x00", "b": b"plain text\r\n", "c": b"", "d": b"x\x00y", "e": b"\xff" * 2 + b"a" * 8,
              "f": b"\xff" + b"a" * 10, "g": b"a" * 512 + b"\x00" * 600, "h.JSON": b"\xff" * 9, ".git/k": b"text",
-             "sub/.git/k": b"text", "_n": b"text", "empty.py": b"", "sub/.github/o": b"text", "sub/m": "café au lait, s'il vous plait".encode()}
+             "sub/.git/k": b"text", "_n": b"text", "empty.py": b"", "p.txt.gz": b"\xff" * 9, "q.gz": b"\xff" * 9, "sub/.github/o": b"text", "sub/m": "café au lait, s'il vous plait".encode()}
     for name, data in files.items():
         path = os.path.join(folder, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "wb") as out:
             out.write(data)
     found = scans.walk_files(spark.createDataFrame([(folder,)], "root string"))
-    assert found.count() == 12
+    assert found.count() == 14
     names = sorted(r.path.rsplit("/", 1)[1] for r in R.text_files(found).collect())
-    assert names == ["_n", "a.txt", "b", "empty.py", "f", "g", "h.JSON", "m", "o"]
+    assert names == ["_n", "a.txt", "b", "empty.py", "f", "g", "h.JSON", "m", "o", "p.txt.gz"]
     # Spark's file source leaves out empty files and hidden names.
     heads = scans.read_file_heads(spark, folder)
     assert sorted(r.path.rsplit("/", 1)[1] for r in R.text_files(heads).collect()) == [
-        "a.txt", "b", "f", "g", "h.JSON", "m"]
+        "a.txt", "b", "f", "g", "h.JSON", "m", "p.txt.gz"]
 
 
 def test_card_kinds_and_samples(spark):
