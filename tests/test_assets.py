@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyloom.operators import assets as A
 from tallyloom.schemas import DASHBOARDS, SAVED_QUERIES

@@ -2,7 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyloom.operators import hierarchy as H
 from tallyloom.operators import tasks as T
