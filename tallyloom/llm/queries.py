@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import simhash
+from tallyloom.llm import pieces, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +20,14 @@ def op5_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.token_digests(table(spark, folder, "documents"), model)
+
+
 QUERIES: dict[str, Query] = {
     "op5_simhash_duplicates": op5_simhash_duplicates,
+    "op10_sentencepiece_round_trip": op10_sentencepiece_round_trip,
 }
 
 ORACLE: dict[str, str] = {}
