@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import pieces, simhash
+from tallyloom.llm import linerules, mixing, pieces, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,18 +16,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return linerules.verdicts(table(spark, folder, "documents")).drop("cleaned")
+
+
 def op10_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.token_digests(table(spark, folder, "documents"), model)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_source_mixture": op2_source_mixture,
     "op5_simhash_duplicates": op5_simhash_duplicates,
+    "op9_line_rules": op9_line_rules,
     "op10_sentencepiece_round_trip": op10_sentencepiece_round_trip,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_source_mixture": mixing.MIXTURE_SQL,
+}
