@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import linerules, mixing, pieces, simhash
+from tallyloom.llm import linerules, mixing, pieces, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,12 @@ def op5_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scores(docs, model)
+
+
 def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return linerules.verdicts(table(spark, folder, "documents")).drop("cleaned")
 
@@ -37,6 +43,7 @@ def op10_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame
 QUERIES: dict[str, Query] = {
     "op2_source_mixture": op2_source_mixture,
     "op5_simhash_duplicates": op5_simhash_duplicates,
+    "op7_toxicity": op7_toxicity,
     "op9_line_rules": op9_line_rules,
     "op10_sentencepiece_round_trip": op10_sentencepiece_round_trip,
 }
