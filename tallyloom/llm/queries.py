@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import linerules, mixing, pieces, simhash, toxicity
+from tallyloom.llm import linerules, mixing, pieces, quality, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.scores(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
 def op2_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +46,7 @@ def op10_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op2_source_mixture": op2_source_mixture,
     "op5_simhash_duplicates": op5_simhash_duplicates,
     "op7_toxicity": op7_toxicity,
