@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import linerules, mixing, pieces, quality, simhash, toxicity
+from tallyloom.llm import linerules, mixing, pieces, quality, simhash, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op5_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_source_mixture": op2_source_mixture,
     "op5_simhash_duplicates": op5_simhash_duplicates,
+    "op6_embedding_duplicates": op6_embedding_duplicates,
     "op7_toxicity": op7_toxicity,
     "op9_line_rules": op9_line_rules,
     "op10_sentencepiece_round_trip": op10_sentencepiece_round_trip,
@@ -56,4 +61,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op2_source_mixture": mixing.MIXTURE_SQL,
+    "op6_embedding_duplicates": vectors.DUPLICATES_SQL,
 }
