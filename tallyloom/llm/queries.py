@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import linerules, mixing, pieces, quality, simhash, toxicity, vectors
+from tallyloom.functions.staging import new_path
+from tallyloom.llm import linerules, mixing, pieces, quality, simhash, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,13 @@ def op2_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -52,6 +60,7 @@ def op10_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_source_mixture": op2_source_mixture,
+    "op3_warc_segments": op3_warc_segments,
     "op5_simhash_duplicates": op5_simhash_duplicates,
     "op6_embedding_duplicates": op6_embedding_duplicates,
     "op7_toxicity": op7_toxicity,
@@ -61,5 +70,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op2_source_mixture": mixing.MIXTURE_SQL,
+    "op3_warc_segments": warc.ROUND_TRIP_SQL,
     "op6_embedding_duplicates": vectors.DUPLICATES_SQL,
 }
