@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.functions.staging import new_path
-from tallyloom.llm import linerules, mixing, pieces, quality, simhash, toxicity, vectors, warc
+from tallyloom.llm import chat, linerules, mixing, pieces, quality, simhash, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op3_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_chat_examples(spark: SparkSession, folder: str) -> DataFrame:
+    turns = chat.with_probe(table(spark, folder, "conversations"))
+    return chat.digests(chat.examples(turns))
+
+
 def op5_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_source_mixture": op2_source_mixture,
     "op3_warc_segments": op3_warc_segments,
+    "op4_chat_examples": op4_chat_examples,
     "op5_simhash_duplicates": op5_simhash_duplicates,
     "op6_embedding_duplicates": op6_embedding_duplicates,
     "op7_toxicity": op7_toxicity,
@@ -71,5 +77,6 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "op2_source_mixture": mixing.MIXTURE_SQL,
     "op3_warc_segments": warc.ROUND_TRIP_SQL,
+    "op4_chat_examples": chat.DIGESTS_SQL,
     "op6_embedding_duplicates": vectors.DUPLICATES_SQL,
 }
