@@ -75,49 +75,76 @@ def _refined(sized: DataFrame, bounds: DataFrame, level: int) -> DataFrame:
                     "words", "low", "high"))
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
-            most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (long) and taken (words) of every row of
-    ``docs`` (doc_id, text, source).
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long"), F.col("source").cast("string"),
+        word_count(F.col("text")).alias("size"),
+        row_key(F.col("doc_id"), F.col("text")).alias("key"))
 
-    A source is taken whole as often as its target allows; the rest is the documents whose keys lie
-    below a threshold, found from sums of words by source and key bits: each round looks only at
-    the bucket in which the budget ends.  The document at the threshold is taken if that comes
-    nearer to the target, so the words of a source miss it by half a document at most.
 
-    Null texts have size 0, null sources are a source of their own.  Rows that agree in id and text
-    have one key: they are taken together or not at all.  A source without words has target 0, an
-    empty table gives an empty result, other columns are not looked at.
+def thresholds(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """A row a source: at (its name), source_size, target, whole (times that it is taken in full)
+    and cut: rows with keys below it are taken once more.
+
+    The cut is found from sums of words by source and key bits; each round looks only at the bucket
+    in which the budget ends, until one key is left there.
     """
-    sized = stage(docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"),
-        word_count(F.col("text")).alias("size"),
-        row_key(F.col("doc_id"), F.col("text")).alias("key")), "sizes")
-    aims = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")),
-                         weights, share, most), "targets")
+    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")),
+                   weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
                    ).otherwise(F.lit(0)).cast("long")
-    plan = aims.withColumn("whole", whole).withColumn(
-        "rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = stage(aims.withColumn("whole", whole).withColumn(
+        "rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    zero = F.lit(0).cast("long")
     bounds = plan.where("rest > 0").select(
-        "source", "rest", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("bucket"))
+        "source", "rest", zero.alias("before"), zero.alias("bucket"))
     for level in range(KEY_BITS // LEVEL_BITS):
         bounds = stage(_refined(sized, bounds, level), "bounds")
         if bounds.where("low < high").isEmpty():
             break
     nearer = (F.col("rest") - F.col("before")) * 2 >= F.col("words")
-    cuts = stage(plan.alias("p").join(
-        bounds.select(F.col("source").alias("at"),
-                      (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("cut")),
-        F.col("p.source").eqNullSafe(F.col("at")), "left")
-        .select(F.col("p.source").alias("at"), "source_size", "target", "whole",
-                F.coalesce("cut", F.lit(0)).alias("cut")), "cuts")
+    cuts = bounds.select(F.col("source").alias("at"),
+                         (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("cut"))
+    return stage(
+        plan.join(cuts, F.col("source").eqNullSafe(F.col("at")), "left")
+        .select(F.col("source").alias("at"), "source_size", "target", "whole",
+                F.coalesce("cut", zero).alias("cut")), "cuts")
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
+            most: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (long) and taken (words) of every row of
+    ``docs`` (doc_id, text, source).
+
+    A source is taken whole as often as its target allows; the rest is the documents whose keys lie
+    below a threshold.  The document at the threshold is taken if that comes nearer to the target,
+    so the words of a source miss it by half a document at most.
+
+    Null texts have size 0, null sources are a source of their own.  Rows that agree in id and text
+    have one key: they are taken together or not at all.  A source without words has target 0, an
+    empty table gives an empty result, other columns are not looked at.
+    """
+    sized = stage(_sized(docs), "sizes")
+    cuts = thresholds(sized, weights, share, most)
     copies = F.col("whole") + F.when(F.col("key") < F.col("cut"), 1).otherwise(0)
     return (sized.join(cuts, F.col("source").eqNullSafe(F.col("at")))
             .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
                     (copies * F.col("size")).alias("taken")))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
+                    most: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as ``mixture`` takes them.  Texts are
+    read a second time and meet the thresholds, a row a source, without being shuffled."""
+    cuts = thresholds(stage(_sized(docs), "sizes"), weights, share, most).select(
+        F.struct("at", "whole", "cut").alias("_cut"))
+    copies = F.col("_cut.whole") + F.when(
+        row_key(F.col("doc_id"), F.col("text")) < F.col("_cut.cut"), 1).otherwise(0)
+    met = docs.join(cuts, F.col("source").cast("string").eqNullSafe(F.col("_cut.at")))
+    return (met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+            .select(*docs.columns))
+
+
 #: The mix in SQL: keys summed in order instead of by histogram.
 MIXTURE_SQL = r"""
 WITH sized AS (
