@@ -3,7 +3,9 @@
 Records are written by Spark's text writer, one a value, so every byte of a file is a record's or the
 blank lines between two.  They are read by Spark's text reader with the start of a record as the line
 separator: files are split or streamed, and no task holds more than a record, which segmentation keeps
-small.  Columns hold bytes as strings that nobody decodes.
+small.  The separator is the version line alone, without the blank lines before it: the reader misses a
+separator whose beginning repeats at the edge of its buffer, and nothing in this line repeats.
+Columns hold bytes as strings that nobody decodes.
 """
 
 from __future__ import annotations
@@ -137,7 +139,7 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES,
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row a record: its header fields and body (bytes); ``cut``: the body is shorter than the
     header says."""
-    raw = spark.read.option("lineSep", f"{CRLF}{CRLF}{VERSION}{CRLF}").text(path)
+    raw = spark.read.option("lineSep", VERSION + CRLF).text(path)
     head = F.substring_index("value", CRLF * 2, 1)
 
     def field(name: str) -> Column:
