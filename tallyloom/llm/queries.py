@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.functions.staging import new_path
-from tallyloom.llm import chat, linerules, mixing, pieces, quality, simhash, toxicity, vectors, warc
+from tallyloom.llm import chat, licenses, linerules, mixing, pieces, quality, simhash, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(docs, model)
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return linerules.verdicts(table(spark, folder, "documents")).drop("cleaned")
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash_duplicates": op5_simhash_duplicates,
     "op6_embedding_duplicates": op6_embedding_duplicates,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op9_line_rules": op9_line_rules,
     "op10_sentencepiece_round_trip": op10_sentencepiece_round_trip,
 }
@@ -79,4 +84,5 @@ ORACLE: dict[str, str] = {
     "op3_warc_segments": warc.ROUND_TRIP_SQL,
     "op4_chat_examples": chat.DIGESTS_SQL,
     "op6_embedding_duplicates": vectors.DUPLICATES_SQL,
+    "op8_license_scan": licenses.SCAN_SQL,
 }
