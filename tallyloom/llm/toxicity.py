@@ -237,7 +237,7 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
     pairs = F.zip_with(F.concat(F.array(F.lit("")), words), words,
                        lambda before, word: F.struct(before.alias("before"), word.alias("word")))
-    contexts = (sample.select("label", F.explode(F.array_distinct(pairs)).alias("c"))
+    contexts = (sample.select("label", F.explode(pairs).alias("c"))
                 .select("label", "c.before", "c.word").where(F.length("word") >= least).distinct()
                 .groupBy("word").agg(F.sum("label").alias("toxic"),
                                      F.sum(1 - F.col("label")).alias("other")))
