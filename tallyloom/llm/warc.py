@@ -210,7 +210,7 @@ def payloads(blocks: DataFrame) -> DataFrame:
     is false if its framing is damaged."""
     @F.pandas_udf("binary")
     def decoded(data: pd.Series) -> pd.Series:
-        return data.map(decode_chunks)
+        return data.map(lambda block: None if block is None else decode_chunks(bytes(block)))
 
     text = F.col("block").cast("string")
     head = F.substring_index(text, CRLF * 2, 1)
