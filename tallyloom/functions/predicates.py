@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import present
 
-MAX_FILE_BYTES = 100 * 1024 * 1024
-TEXT_PROBE_BYTES = 512
 TEXT_PRINTABLE_SHARE = 0.9
 
 # File name endings whose built-in media type is text, JSON or XML.
@@ -21,6 +19,10 @@ TEXT_EXTENSIONS = sorted(
 # Fixed value: the date part of a sharded table name (_YYYYMMDD, _YYYY_MM_DD or _YYYYMM).
 DATE_SHARD = r"_\d{4}(?:_?\d{2}){1,2}$"
 
+# Marks of temporary destinations, and statement types that write.
+TEMPORARY = "_temp_|_tmp_|scratch|temp_"
+DML = "INSERT|MERGE|UPDATE|DELETE|CREATE_TABLE_AS_SELECT"
+
 # Metrics that may leave the cluster, and labels that must not.
 ALLOWED_METRICS = (
     "task_requests_total", "postgres_writes_success_total", "redis_writes_success_total",
@@ -36,7 +38,7 @@ def qualified_name(table: Column) -> Column:
 
 
 def is_temporary_write(destination: Column) -> Column:
-    return F.coalesce(F.lower(destination).rlike("_temp_|_tmp_|scratch|temp_"), F.lit(False))
+    return F.coalesce(F.lower(destination).rlike(TEMPORARY), F.lit(False))
 
 
 def is_service_account(email: Column) -> Column:
@@ -48,8 +50,7 @@ def has_persistent_destination(destination: Column, temporary: Column) -> Column
 
 
 def is_dml(statement_type: Column) -> Column:
-    kinds = "INSERT|MERGE|UPDATE|DELETE|CREATE_TABLE_AS_SELECT"
-    return F.coalesce(statement_type.rlike(f"(?i){kinds}"), F.lit(False))
+    return F.coalesce(statement_type.rlike(f"(?i){DML}"), F.lit(False))
 
 
 def logical_table_name(name: Column) -> Column:
@@ -74,11 +75,13 @@ def is_valid_repository(name: Column, full_name: Column, link: Column) -> Column
     return _all_present(name, full_name, link)
 
 
-def is_countable_file(kind: Column, path: Column, size: Column) -> Column:
-    """A blob with a path and a size of at most 100 MiB, outside any ``.git`` folder."""
+def is_countable_file(kind: Column, path: Column, size: Column,
+                      max_bytes: int | None = None) -> Column:
+    """A blob with a path and a size, outside any ``.git`` folder; of at most ``max_bytes`` when
+    that is given."""
     inside_git = path.rlike(r"(^|/)\.git/")
-    return F.coalesce(
-        (kind == "blob") & present(path) & (size <= MAX_FILE_BYTES) & ~inside_git, F.lit(False))
+    sized = size.isNotNull() if max_bytes is None else size <= max_bytes
+    return F.coalesce((kind == "blob") & present(path) & sized & ~inside_git, F.lit(False))
 
 
 def file_extension(path: Column) -> Column:
@@ -86,12 +89,13 @@ def file_extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)(?:\.(?:gz|bz2|xz|br|Z))?$", 1))
 
 
-def looks_like_text(head: Column) -> Column:
-    """Text test on the first 512 bytes: no NUL and more than 90 % printable.
+def looks_like_text(content: Column, probe_bytes: int | None = None) -> Column:
+    """Text test on the whole content, or on its first ``probe_bytes``: no NUL and more than
+    90 % printable.
 
     Each byte is one Latin-1 character, so lengths count bytes.
     """
-    probe = F.substring(head, 1, TEXT_PROBE_BYTES)
+    probe = content if probe_bytes is None else F.substring(content, 1, probe_bytes)
     chars = F.decode(probe, "ISO-8859-1")
     odd = F.regexp_replace(chars, r"[\x20-\x7E\t\r\n]", "")
     total = F.length(chars)
@@ -99,8 +103,8 @@ def looks_like_text(head: Column) -> Column:
     return F.coalesce((F.instr(chars, "\x00") == 0) & (share > TEXT_PRINTABLE_SHARE), F.lit(False))
 
 
-def is_probably_text(path: Column, head: Column) -> Column:
-    return file_extension(path).isin(*TEXT_EXTENSIONS) | looks_like_text(head)
+def is_probably_text(path: Column, content: Column, probe_bytes: int | None = None) -> Column:
+    return file_extension(path).isin(*TEXT_EXTENSIONS) | looks_like_text(content, probe_bytes)
 
 
 def repository_key(slug: Column, name: Column, full_name: Column) -> Column:

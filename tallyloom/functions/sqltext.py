@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 # Possessive quantifiers: long literals and comments are matched in a loop, not by recursion.
 QUOTED = r"""'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
-COMMENT = r"--[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-NUMBER = r"\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b"
+COMMENT = r"--[^\n]*+|#[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
+# Hex, decimal and ``.5``.  Digits that a dotted name goes on from (my-project-12.d.t) are no number.
+NUMBER = (r"(?:\b0[xX][0-9a-fA-F]+|\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+          r"|(?<![\w.)\]])\.[0-9]+(?:[eE][+-]?[0-9]+)?)\b(?!(?:-[\w-]*)?\.[A-Za-z_])")
 SPACES = r"\s+"
 AROUND_SIGNS = r" *([(),=<>+*/;-]) *"
 TAIL = r"[; ]+$"
@@ -41,8 +43,11 @@ def canonical(sql: Column) -> Column:
 
 
 def mask(canonical_text: Column) -> Column:
-    """Canonical text with every string and number replaced by ``?``."""
-    return F.regexp_replace(F.regexp_replace(canonical_text, QUOTED, "?"), NUMBER, "?")
+    """Canonical text with every string and number replaced by ``?``; back-quoted names stay."""
+    parts = F.split(F.regexp_replace(canonical_text, QUOTED, "?"), "`")
+    # Every second part stands between back quotes.
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 1, part).otherwise(
+        F.regexp_replace(part, NUMBER, "?"))), "`")
 
 
 def shape_text(sql: Column) -> Column:
@@ -89,11 +94,11 @@ def raw_complexity(joins: Column, ctes: Column, windows: Column, subqueries: Col
 
 _JOIN = r"(?:(?:left|right|full|inner|cross)(?: outer)? )?join"
 _MARK = "|".join([
-    rf"(?:from|{_JOIN}) ?(?:[\w.-]++|\()",
+    rf"(?:from|{_JOIN}) ?(?:[\w.-]++|\(|@)",
     r"[\w-]++ as\((?:select|with)\b",
     r"(?:union|intersect|except)(?: all| distinct)?\b",
     rf"(?:{'|'.join(AGGREGATES)})\((?:distinct\b)?",
-    r"limit [?]", r"order by\b",
+    r"limit (?:[?]|@\w+)", r"order by\b",
 ])
 
 
@@ -112,7 +117,11 @@ def marks(shape: Column) -> Column:
 
     The functions below pick from this array; give it a column of its own.
     """
-    return _all(F.translate(shape, "`", ""), rf"\b({_MARK})", 1)
+    plain = F.translate(shape, "`", "")
+    # A FROM that names no table: inside a call such as extract, and in a comparison.
+    plain = F.regexp_replace(plain, r"\b((?:extract|trim|substring|overlay)\([^()]*?)\bfrom\b", "$1of")
+    plain = F.regexp_replace(plain, r"\bdistinct from\b", "distinct of")
+    return _all(plain, rf"\b({_MARK})", 1)
 
 
 def _is_cte(mark: Column) -> Column:
@@ -150,7 +159,7 @@ def join_edges(rels: Column) -> Column:
     """Sorted distinct ``a|b|type`` for each join whose both neighbours are base tables.
 
     A join is paired with the table named right before it; sides that are CTEs or derived
-    tables give no edge.
+    tables give no edge.  ``rels`` should be those of one query block (:func:`blocks`).
     """
     def edge(rel: Column, position: Column) -> Column:
         # Positions count from 0 and element_at from 1: this is the neighbour before.
@@ -178,22 +187,50 @@ def set_operators(found: Column) -> Column:
 
 
 def has_limit(found: Column) -> Column:
-    return F.array_contains(found, "limit ?")
+    return F.exists(found, lambda m: m.startswith("limit "))
 
 
 def has_order_by(found: Column) -> Column:
     return F.array_contains(found, "order by")
 
 
-def _balanced(depth: int) -> str:
-    """Text with brackets nested up to ``depth``, matched without backtracking."""
-    inner = "[^()]*+"
-    for _ in range(depth):
-        inner = rf"[^()]*+(?:\({inner}\)[^()]*+)*+"
-    return inner
+_OPENED, _CLOSED = "\u2039", "\u203a"
+
+
+def _depth(text: Column) -> Column:
+    """Deepest nesting of brackets."""
+    steps = F.transform(_all(text, r"[()]", 0), lambda b: F.when(b == "(", 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda acc, step: F.struct(
+        (acc["now"] + step).alias("now"),
+        F.greatest(acc["most"], acc["now"] + step).alias("most")), lambda acc: acc["most"])
+
+
+def blocks(text: Column) -> Column:
+    """The query blocks of a text: sub-query and CTE bodies from the inside out, the outer query
+    last, each with ``@`` for the blocks cut out of it.
+
+    In every round the innermost brackets go: those of a sub-query into a block, others into
+    marks that are brackets again at the end.  There are as many rounds as brackets are nested.
+    ``text`` should be a column already computed: it is read twice.
+    """
+    def plain(part: Column) -> Column:
+        return F.translate(part, _OPENED + _CLOSED, "()")
+
+    def step(acc: Column, _: Column) -> Column:
+        inner = _all(acc["text"], r"\(((?:select|with)\b[^()]*+)\)", 1)
+        cut = F.regexp_replace(acc["text"], r"\((?:select|with)\b[^()]*+\)", " @ ")
+        return F.struct(
+            F.regexp_replace(cut, r"\(([^()]*+)\)", f"{_OPENED}$1{_CLOSED}").alias("text"),
+            F.concat(acc["found"], inner).alias("found"))
+
+    depth = _depth(text)
+    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))
+    return F.aggregate(rounds, start, step, lambda acc: F.transform(
+        F.concat(acc["found"], F.array(acc["text"])), plain))
 
 
-_SUBQUERY = rf"\((?:select|with)\b{_balanced(8)}\)"
 _WHERE = r"\bwhere\b(.*)$"
 _AFTER_WHERE = r"\b(?:group by|having|qualify|window|order by|limit)\b.*$"
 _DATE = rf"(?:date|timestamp|cast)? ?\(?'{DATE_TEXT}'"
@@ -205,10 +242,10 @@ _HIGH = rf"(?:<=|\bbetween ?{_DATE}(?: as date)?\)? ?and) ?{_DATE_VALUE}"
 def branch_windows(canonical_text: Column) -> Column:
     """(low, high) per final SELECT: lowest literal lower bound, highest upper bound.
 
-    Sub-queries and CTE bodies are cut out first.
+    Sub-queries and CTE bodies are cut out first; brackets that do not match leave the result
+    undecided.
     """
-    outer = F.regexp_replace(canonical_text, _SUBQUERY, "@")
-    # Bodies nested too deeply to be cut out leave the result undecided.
+    outer = F.element_at(blocks(canonical_text), -1)
     outer = F.when(~outer.rlike(r"\((?:select|with)\b"), outer)
     branches = F.split(outer, r"\bunion(?: all| distinct)?\b")
     conditions = F.transform(branches, lambda b: F.regexp_replace(

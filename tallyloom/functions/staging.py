@@ -39,14 +39,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """A file scan for costly per-row work: rows are dealt to all cores when the files give
     fewer splits than that.  A scan with enough splits is returned as it is, unshuffled."""

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.predicates import card_kind
-from tallyloom.functions.scalars import clamp_sample_size
 
 ROW_SAMPLE = 10
 
@@ -30,12 +29,12 @@ def artifact_counts(**listings: DataFrame) -> DataFrame:
 
 
 def first_per_artifact(items: DataFrame, artifact: Column, order: list[str], n: int = 5) -> DataFrame:
-    """The first ``n`` (2 to 5) items of each artifact in listing order.
+    """The first ``n`` items of each artifact in listing order; callers that keep to a range
+    use :func:`tallyloom.functions.scalars.clamp_sample_size` first.
 
     The row-number filter is pushed below the shuffle as a group limit, so each task sends
     at most ``n`` rows per artifact.
     """
-    n = clamp_sample_size(n)
     window = Window.partitionBy("artifact").orderBy(*order)
     return (items.withColumn("artifact", artifact)
             .withColumn("position", F.row_number().over(window)).where(F.col("position") <= n))
@@ -71,12 +70,21 @@ def row_as_map(names: Column, row: Column) -> Column:
 
 
 def sample_results(results: DataFrame, rows: int = ROW_SAMPLE) -> DataFrame:
-    """First rows of each executed card as maps; ``cols`` names, ``rows`` JSON texts."""
+    """First rows of each executed card as maps; ``cols`` names, ``rows`` JSON texts or lists.
+
+    A card without rows has null rows, count 0 and a ``data_error``: the text in the column
+    ``error`` where there is one.
+    """
+    nested = results.schema["rows"].dataType.elementType.typeName() == "array"
     kept = F.slice("rows", 1, rows)
+    as_text = (lambda r: F.to_json(r)) if nested else (lambda r: r)
+    told = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
     return results.select(
         "card_id", F.col("cols").alias("columns"),
-        F.transform(kept, lambda r: row_as_map(F.col("cols"), r)).alias("rows"),
-        F.least(F.size("rows"), F.lit(rows)).alias("row_count_sampled"))
+        F.transform(kept, lambda r: row_as_map(F.col("cols"), as_text(r))).alias("rows"),
+        F.when(F.col("rows").isNotNull(), F.least(F.size("rows"), F.lit(rows))).otherwise(0)
+         .alias("row_count_sampled"),
+        F.when(F.col("rows").isNull(), F.coalesce(told, F.lit("no result"))).alias("data_error"))
 
 
 def sample_result_rows(rows: DataFrame, order: list[str], n: int = ROW_SAMPLE) -> DataFrame:

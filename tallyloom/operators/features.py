@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class FeatureGroup:
-    """A table and the columns that identify its entities."""
+    """A table and the columns that identify its entities; ``time_column`` says which of
+    several rows of an entity is the latest."""
 
     name: str
     table: DataFrame
     entity_id_columns: tuple[str, ...]
+    time_column: str | None = None
 
     def __post_init__(self):
         if not self.entity_id_columns:
@@ -35,14 +38,23 @@ def feature_view(groups: list[FeatureGroup], features: list[list[str]],
                  entity: str = "entity_id") -> DataFrame:
     """Full-outer join of the groups on their entity id, with the listed features.
 
-    Group and feature lists must have equal length; every group has one entity column here.
+    Group and feature lists must have equal length.  Several id columns are joined by ``|``.
+    Each entity has one row: of repeated ones the latest by the group's time column, without
+    one that with the largest features.  A feature name that several groups have is written
+    ``group_feature``.  Rows without an id are left out.
     """
     if len(groups) != len(features):
         raise ValueError("one feature list per feature group is needed")
+    used = Counter(name for names in features for name in set(names))
     parts = []
     for group, names in zip(groups, features):
-        (key,) = group.entity_id_columns
-        parts.append(group.table.select(F.col(key).cast("string").alias(entity), *names))
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in group.entity_id_columns])
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group.entity_id_columns])
+        order = [F.col(group.time_column).alias("_at")] if group.time_column else []
+        values = F.struct(*order, *[F.col(n) for n in names])
+        latest = group.table.where(known).groupBy(key.alias(entity)).agg(F.max(values).alias("_row"))
+        parts.append(latest.select(entity, *[
+            F.col(f"_row.{n}").alias(f"{group.name}_{n}" if used[n] > 1 else n) for n in names]))
     return reduce(lambda a, b: a.join(b, entity, "full"), parts)
 
 

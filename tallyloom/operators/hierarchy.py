@@ -1,8 +1,9 @@
-"""Task hierarchy: all descendants of a task, to a depth of ten."""
+"""Task hierarchy: all descendants of a task."""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import present
 from tallyloom.functions.staging import stage
 
-MAX_DEPTH = 10
-
 
 def _clean(edges: DataFrame) -> DataFrame:
     return edges.where(present(F.col("parent_gid").cast("string"))
@@ -20,14 +19,15 @@ def _clean(edges: DataFrame) -> DataFrame:
 
 
 def expanded_nodes(edges: DataFrame, roots: DataFrame | None = None,
-                   max_depth: int = MAX_DEPTH) -> DataFrame:
+                   max_depth: int | None = None) -> DataFrame:
     """(root_gid, node, depth) of every task whose subtasks are listed for a root.
 
     Breadth first, so ``depth`` is the least distance.  Each (root, node) appears once,
     which also ends cycles.  Only tasks that have subtasks matter here: leaves are left
     out, so a parent with very many plain children adds one row, not one per child.
     ``roots`` defaults to every task that has subtasks.  Each level is a written table, so
-    the plan does not grow with the depth.
+    the plan does not grow with the depth.  Levels follow until one is empty, or until
+    ``max_depth`` when the caller sets one.
     """
     edges = _clean(edges)
     parents = edges.select(F.col("parent_gid").alias("node")).distinct()
@@ -38,7 +38,7 @@ def expanded_nodes(edges: DataFrame, roots: DataFrame | None = None,
     level = stage(first.select(F.col("node").alias("root_gid"), "node",
                                F.lit(0).alias("depth")), "hierarchy-level")
     levels = [level]
-    for depth in range(1, max_depth):
+    for depth in (count(1) if max_depth is None else range(1, max_depth)):
         seen = reduce(DataFrame.unionByName, levels).select("root_gid", "node")
         reached = (level.join(steps, level["node"] == steps["parent_gid"])
                    .select("root_gid", F.col("child_gid").alias("node")).distinct())
@@ -51,21 +51,29 @@ def expanded_nodes(edges: DataFrame, roots: DataFrame | None = None,
 
 
 def subtask_closure(edges: DataFrame, roots: DataFrame | None = None,
-                    max_depth: int = MAX_DEPTH) -> DataFrame:
+                    max_depth: int | None = None) -> DataFrame:
     """Listed subtasks per root: every edge that leaves an expanded task.
 
     A task with two parents is listed once per parent, its own subtasks once; in a cycle
-    the root is listed again.
+    the root is listed again.  With ``max_depth``, ``truncated`` tells the tasks whose own
+    subtasks it leaves out.
     """
     nodes = expanded_nodes(edges, roots, max_depth)
     edges = _clean(edges)
-    return nodes.join(edges, nodes["node"] == edges["parent_gid"]).select(
+    listed = nodes.join(edges, nodes["node"] == edges["parent_gid"]).select(
         "root_gid", "parent_gid", F.col("child_gid").alias("task_gid"),
         (F.col("depth") + 1).alias("depth"))
+    if max_depth is None:
+        return listed
+    parents = edges.select(F.col("parent_gid").alias("task_gid"), F.lit(True).alias("_open")).distinct()
+    known = nodes.select("root_gid", F.col("node").alias("task_gid"), F.lit(True).alias("_known"))
+    return (listed.join(parents, "task_gid", "left").join(known, ["root_gid", "task_gid"], "left")
+            .withColumn("truncated", F.col("_open").isNotNull() & F.col("_known").isNull())
+            .drop("_open", "_known"))
 
 
 def subtask_counts(edges: DataFrame, roots: DataFrame | None = None,
-                   max_depth: int = MAX_DEPTH) -> DataFrame:
+                   max_depth: int | None = None) -> DataFrame:
     """Number of listed subtasks per root, without listing them: children are counted per
     parent first, then added up over the expanded tasks."""
     nodes = expanded_nodes(edges, roots, max_depth)

@@ -126,10 +126,16 @@ def fold_updates(changes: DataFrame, keys: list[str], fields: list[str], ts: str
     return changes.groupBy(*keys).agg(F.max(F.struct(ts, *fields)).alias("c")).select(*keys, "c.*")
 
 
-def update_rows(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the updated fields replaced; rows without an update stay as they are."""
-    fields = [c for c in updates.columns if c not in keys]
-    marked = updates.select(*keys, F.struct(*fields).alias("_new"))
+def update_rows(current: DataFrame, updates: DataFrame, keys: list[str],
+                ts: str | None = None) -> DataFrame:
+    """Rows with the updated fields replaced; rows without an update stay as they are.
+
+    Of several updates of a key the last by ``ts`` wins, of equal times, or without times, the
+    largest values; so every row of ``current`` comes out once.
+    """
+    fields = [c for c in updates.columns if c not in keys and c != ts]
+    order = [ts] if ts else []
+    marked = updates.groupBy(*keys).agg(F.max(F.struct(*order, *fields)).alias("_new"))
     joined = current.join(marked, keys, "left")
     return joined.select(*[F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in fields
                            else F.col(c) for c in current.columns])

@@ -21,7 +21,6 @@ FEATURE_COLUMNS = [
     "is_service_account", "has_persistent_destination", "is_dml",
 ]
 SINGLE_RUN = "SINGLE_EXECUTION"
-BROADCAST_DIGESTS = 100_000
 
 
 def flatten_jobs(jobs: DataFrame) -> DataFrame:
@@ -54,13 +53,21 @@ def with_shapes(jobs: DataFrame, mask_once: bool = False) -> DataFrame:
     return keyed.drop("query").join(texts, "_text_id").drop("_text_id")
 
 
+def text_digest(query):
+    """Digest by which texts are grouped and joined, so that no text is a shuffle key."""
+    return F.unhex(F.sha2(query, 256))
+
+
 def raw_query_counts(jobs: DataFrame) -> DataFrame:
-    return jobs.groupBy("query").agg(F.count(F.lit(1)).alias("executions"))
+    """Executions of each text, with its digest; one copy of a text leaves each map task."""
+    return (jobs.groupBy(text_digest(F.col("query")).alias("digest"))
+            .agg(F.count(F.lit(1)).alias("executions"), F.any_value("query").alias("query")))
 
 
 def top_raw_queries(jobs: DataFrame, n: int = 50_000) -> DataFrame:
     """The ``n`` most frequent texts; equal counts in text order."""
-    return raw_query_counts(jobs).orderBy(F.desc("executions"), "query").limit(n)
+    return raw_query_counts(jobs).orderBy(F.desc("executions"), "query").limit(n).select(
+        "query", "executions")
 
 
 def query_previews(jobs: DataFrame, n: int = 5, length: int = 100) -> DataFrame:
@@ -71,14 +78,11 @@ def query_previews(jobs: DataFrame, n: int = 5, length: int = 100) -> DataFrame:
 def candidate_jobs(jobs: DataFrame, n: int = 50_000) -> DataFrame:
     """Jobs whose text is among the ``n`` most frequent.
 
-    Texts are compared by digest: ``n`` digests of 32 bytes are broadcast while that stays
-    under a few megabytes, and then no job row moves, however frequent its text.  A larger
-    ``n`` leaves the join to the planner.
+    Texts are compared by digest; the planner chooses the join from the sizes it finds.
     """
-    digest = F.unhex(F.sha2(F.col("query"), 256))
+    digest = text_digest(F.col("query"))
     top = top_raw_queries(jobs, n).select(digest.alias("_digest"))
-    wanted = F.broadcast(top) if n <= BROADCAST_DIGESTS else top
-    return jobs.withColumn("_digest", digest).join(wanted, "_digest", "left_semi").drop("_digest")
+    return jobs.withColumn("_digest", digest).join(top, "_digest", "left_semi").drop("_digest")
 
 
 def usage_facts(shaped: DataFrame) -> DataFrame:

@@ -27,21 +27,22 @@ def valid_repositories(repos: DataFrame) -> DataFrame:
     return repos.where(P.is_valid_repository(F.col("name"), F.col("full_name"), F.col("html_url")))
 
 
-def capped_repositories(repos: DataFrame, limit: int = 1000) -> DataFrame:
-    """The listing's own result cap, in name order."""
-    return repos.orderBy("org", "repo").limit(limit)
+def countable_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    return files.where(P.is_countable_file(F.col("type"), F.col("path"), F.col("size"), max_bytes))
 
 
-def countable_files(files: DataFrame) -> DataFrame:
-    return files.where(P.is_countable_file(F.col("type"), F.col("path"), F.col("size")))
+def file_counts(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    return countable_files(files, max_bytes).groupBy(*KEY).agg(F.count(F.lit(1)).alias("files"))
 
 
-def file_counts(files: DataFrame) -> DataFrame:
-    return countable_files(files).groupBy(*KEY).agg(F.count(F.lit(1)).alias("files"))
+def oversized_files(files: DataFrame, max_bytes: int) -> DataFrame:
+    """Files per repository that ``max_bytes`` leaves out of :func:`file_counts`."""
+    return countable_files(files).where(F.col("size") > max_bytes).groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("skipped_files"))
 
 
 def text_files(contents: DataFrame) -> DataFrame:
-    """Rows of (path, content) whose name or first bytes say text."""
+    """Rows of (path, content) whose name or content says text."""
     return contents.where(P.is_probably_text(F.col("path"), F.col("content")))
 
 

@@ -14,8 +14,10 @@ PARTS = ["leaf_tables", "join_edges", "agg_funcs", "set_ops", "has_limit", "has_
 
 def with_date_window(queries: DataFrame, sql: str = "query") -> DataFrame:
     """Add ``date_window``: literal date bounds of the final result, intersected over UNION."""
-    return (queries.withColumn("_windows", Q.branch_windows(Q.canonical(F.col(sql))))
-            .withColumn("date_window", Q.intersect_windows(F.col("_windows"))).drop("_windows"))
+    return (queries.withColumn("_text", Q.canonical(F.col(sql)))
+            .withColumn("_windows", Q.branch_windows(F.col("_text")))
+            .withColumn("date_window", Q.intersect_windows(F.col("_windows")))
+            .drop("_windows", "_text"))
 
 
 def with_signature(queries: DataFrame, sql: str = "query", shape: str | None = None,
@@ -29,14 +31,19 @@ def with_signature(queries: DataFrame, sql: str = "query", shape: str | None = N
     texts = queries.withColumn("_text", Q.canonical(F.col(sql)))
     texts = texts.withColumn("_shape", Q.mask(F.col("_text")))
     parts = texts.select("*", Q.marks(F.col("_shape")).alias("_marks"),
+                         F.transform(Q.blocks(F.col("_shape")), Q.marks).alias("_blocks"),
                          Q.branch_windows(F.col("_text")).alias("_windows"))
     marks = F.col("_marks")
-    parts = parts.select("*", Q.table_heads(marks).alias("_heads"), Q.cte_names(marks).alias("_ctes"))
-    parts = parts.withColumn("_rels", Q.relations(F.col("_heads"), F.col("_ctes"), keep_catalog))
+    parts = parts.select("*", Q.table_heads(marks).alias("_heads"), Q.cte_names(marks).alias("_ctes"),
+                         F.transform("_blocks", Q.table_heads).alias("_block_heads"))
+    parts = parts.select("*", Q.relations(F.col("_heads"), F.col("_ctes"), keep_catalog).alias("_rels"),
+                         F.transform("_block_heads", lambda heads: Q.relations(
+                             heads, F.col("_ctes"), keep_catalog)).alias("_block_rels"))
+    edges = F.flatten(F.transform("_block_rels", Q.join_edges))
     return parts.select(
         *queries.columns, *([F.col("_shape").alias(shape)] if shape else []),
         Q.leaf_tables(F.col("_rels")).alias("leaf_tables"),
-        Q.join_edges(F.col("_rels")).alias("join_edges"),
+        F.sort_array(F.array_distinct(edges)).alias("join_edges"),
         Q.aggregate_functions(marks).alias("agg_funcs"),
         Q.set_operators(marks).alias("set_ops"),
         Q.has_limit(marks).alias("has_limit"),
@@ -68,20 +75,23 @@ def compare_signatures(left: DataFrame, right: DataFrame, key: str) -> DataFrame
     ).withColumn("signature_equal", F.size("delta") == 0)
 
 
-def token_changes(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """Token comparison of two texts per key: same sequence, and added and removed counts
-    of the multiset difference."""
-    words = pairs.select(key, Q.tokens(F.col(left)).alias("old"), Q.tokens(F.col(right)).alias("new"))
-    same = (F.col("old") == F.col("new")).alias("text_equal")
-    # Both sides in one pass: an item of the first text weighs 1, of the second -1.
-    items = words.select(key, same, F.explode(F.concat(
-        F.transform("old", lambda w: F.struct(w.alias("token"), F.lit(1).alias("weight"))),
-        F.transform("new", lambda w: F.struct(w.alias("token"), F.lit(-1).alias("weight"))))
-    ).alias("item")).select(key, "text_equal", "item.*")
-    balance = items.groupBy(key, "text_equal", "token").agg(F.sum("weight").alias("left_over"))
-    return balance.groupBy(key, "text_equal").agg(
-        F.sum(F.greatest("left_over", F.lit(0))).alias("tokens_removed"),
-        F.sum(F.greatest(-F.col("left_over"), F.lit(0))).alias("tokens_added"))
+def _numbered(tokens: Column) -> Column:
+    """Tokens in order, each with the number of its equals before it: no item is repeated."""
+    # The sorted array is bound once, since lambdas compute what they refer to again.
+    return F.get(F.transform(F.array(F.array_sort(tokens)), lambda words: F.transform(
+        words, lambda w, i: F.concat_ws(" ", i - F.array_position(words, w), w))), F.lit(0))
+
+
+def token_changes(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``pairs`` with the token comparison of two texts: same sequence, and removed and added
+    counts of the multiset difference.  All of it is computed inside the row."""
+    words = pairs.select("*", Q.tokens(F.col(left)).alias("_old"), Q.tokens(F.col(right)).alias("_new"))
+    items = words.select("*", _numbered(F.col("_old")).alias("_old_items"),
+                         _numbered(F.col("_new")).alias("_new_items"))
+    return items.select(
+        *pairs.columns, (F.col("_old") == F.col("_new")).alias("text_equal"),
+        F.size(F.array_except("_old_items", "_new_items")).cast("long").alias("tokens_removed"),
+        F.size(F.array_except("_new_items", "_old_items")).cast("long").alias("tokens_added"))
 
 
 def diff_pairs(pairs: DataFrame, key: str, left: str = "left_query",
@@ -89,7 +99,7 @@ def diff_pairs(pairs: DataFrame, key: str, left: str = "left_query",
     """Compare two texts per row: same text once comments, spacing and case are evened out,
     same shape, same signature, changed signature parts, and token-level change counts."""
     # Both signatures are columns of the same row; no join is needed.
-    pair = with_signature(pairs, left, "_left_shape")
+    pair = with_signature(token_changes(pairs, left, right), left, "_left_shape")
     for part in PARTS:
         pair = pair.withColumnRenamed(part, f"golden_{part}")
     pair = with_signature(pair, right, "_right_shape")
@@ -97,7 +107,7 @@ def diff_pairs(pairs: DataFrame, key: str, left: str = "left_query",
         F.when(~F.col(f"golden_{part}").eqNullSafe(F.col(part)), F.lit(part)) for part in PARTS]))
     return (pair.select(
                 key, (F.col("_left_shape") == F.col("_right_shape")).alias("shape_equal"),
-                changed.alias("changed_parts"))
-            .withColumn("signature_equal", F.size("changed_parts") == 0)
-            .join(token_changes(pairs, key, left, right), key, "left")
-            .fillna(0, ["tokens_removed", "tokens_added"]))
+                changed.alias("changed_parts"), "text_equal",
+                F.coalesce("tokens_removed", F.lit(0)).alias("tokens_removed"),
+                F.coalesce("tokens_added", F.lit(0)).alias("tokens_added"))
+            .withColumn("signature_equal", F.size("changed_parts") == 0))

@@ -1,6 +1,7 @@
 """Driver tables seen as the domain tables of the operators.
 
-Each adapter is a plain projection.  Texts that both engines must build alike are SQL
+Each adapter is a plain projection.  An id of 0 counts as missing in asset records, so keys that
+start at 0 are shifted by one there.  Texts that both engines must build alike are SQL
 expressions valid in Spark and in DuckDB.
 """
 
@@ -124,12 +125,12 @@ def query_pairs(t: Tables) -> DataFrame:
 def widgets(t: Tables) -> DataFrame:
     plain = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
     return t.lineitem.select(
-        F.col("l_orderkey").alias("dashboard_id"),
+        (F.col("l_orderkey") + 1).alias("dashboard_id"),
         F.expr("l_partkey * 1000 + CAST(l_quantity AS BIGINT)").alias("pos"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("widget_id"),
         (~plain).alias("has_visualization"),
         F.when(F.col("l_returnflag") == "N", "text").when(~plain, "chart").alias("viz_type"),
-        F.col("l_partkey").alias("query_id"),
+        (F.col("l_partkey") + 1).alias("query_id"),
         F.when(F.col("l_linestatus") == "F", "").otherwise("note").alias("text"),
         F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 3).alias("col"))
 
@@ -138,7 +139,7 @@ def saved_queries(t: Tables) -> DataFrame:
     as_of = F.to_timestamp(F.lit(ORDERS_AS_OF))
     age = F.make_dt_interval(F.col("p_size"))
     return t.part.select(
-        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+        (F.col("p_partkey") + 1).alias("id"), F.col("p_name").alias("name"),
         F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("description"),
         F.lit("select 1").alias("query"), F.lit(None).cast("string").alias("created_at"),
         _iso(as_of - age).alias("updated_at"),
@@ -149,12 +150,12 @@ def saved_queries(t: Tables) -> DataFrame:
 
 def fetched_queries(t: Tables) -> DataFrame:
     """Queries whose details could be read: all but one kind."""
-    return t.part.where(F.col("p_type") != "LARGE").select(F.col("p_partkey").alias("id"))
+    return t.part.where(F.col("p_type") != "LARGE").select((F.col("p_partkey") + 1).alias("id"))
 
 
 def dashboards(t: Tables) -> DataFrame:
     return t.orders.select(
-        F.col("o_orderkey").alias("id"),
+        (F.col("o_orderkey") + 1).alias("id"),
         F.concat(F.lit("Weekly revenue and refunds overview of customer no. "),
                  F.col("o_custkey").cast("string")).alias("name"),
         F.concat(F.lit("d-"), F.col("o_orderkey").cast("string")).alias("slug"),
@@ -225,8 +226,8 @@ def task_links(t: Tables) -> DataFrame:
 
 
 def subtasks(t: Tables) -> DataFrame:
-    return t.customer.where(F.col("c_custkey") > 0).select(
-        F.expr("c_custkey div 4").alias("parent_gid"), F.col("c_custkey").alias("child_gid"))
+    return t.customer.select(F.expr("c_custkey div 4").alias("parent_gid"),
+                             (F.col("c_custkey") + 1).alias("child_gid"))
 
 
 def repos(t: Tables) -> DataFrame:

@@ -200,8 +200,10 @@ def golden_query_features(t):
         "is_single_execution", _time("last_execution_timestamp"),
         F.round("execution_regularity_stdev", 4).alias("execution_regularity_stdev"),
         *_r("complexity_score", "hours_since_last_run"),
-        (F.when(F.col("is_single_execution"), F.col("regularity_hours")).otherwise("hours"))
-        .alias("regularity_kind"))
+        # Text with two decimals: compared as a number to one, off the edges of rounding.
+        F.when(F.col("is_single_execution"), F.col("regularity_hours")).otherwise(
+            F.floor(F.col("regularity_hours").try_cast("double") * 10 + 0.01).cast("string"))
+        .alias("regularity_tenths"))
 
 
 @registered
@@ -399,7 +401,7 @@ def task_details_merged(t):
 
 @registered
 def task_projects(t):
-    projects = t.customer.where(F.col("c_acctbal") > 0).select(
+    projects = t.customer.select(
         F.col("c_custkey").alias("gid"), F.col("c_name").alias("name"),
         F.col("c_nationkey").alias("workspace_id"))
     listed = A.tasks(t).select("gid", "project_gid")
@@ -446,13 +448,13 @@ def repo_active_share(t):
 
 @registered
 def repo_activity_rank(t):
-    return repos.by_activity(repos.capped_repositories(_repo_metrics(t))).select(
+    return repos.by_activity(_repo_metrics(t)).select(
         "org", "repo", "activity")
 
 
 @registered
 def text_file_ratio(t):
-    """Documents and pages whose first bytes pass the text test, per kind."""
+    """Documents and pages that pass the text test, per kind."""
     docs = t.documents.select(F.lit("documents").alias("kind"), F.col("text").alias("body"))
     pages = t.pages.select(F.lit("pages").alias("kind"), F.col("html").alias("body"))
     texty = P.looks_like_text(F.encode("body", "UTF-8"))
@@ -515,7 +517,8 @@ def dag_log_scan(t):
 def _streamed_tables(t, name, project):
     """Adapter over a driver table read as a stream."""
     schema = getattr(t, name).schema
-    files = t.spark.readStream.schema(schema).format("parquet").load(f"{t.folder}/{name}*.parquet")
+    # Exactly this table, as a pattern: a stream takes a single file only by one.
+    files = t.spark.readStream.schema(schema).format("parquet").load(f"{t.folder}/{name}.parque[t]")
     streamed = Tables(t.spark, t.folder)
     streamed.__dict__[name] = files
     return project(streamed)
@@ -523,10 +526,11 @@ def _streamed_tables(t, name, project):
 
 @registered
 def dag_status_stream(t):
-    """Run status followed as a stream, from what has landed."""
+    """Outcome of every run, followed as a stream over what has landed."""
     logs = live_monitor.tail(_streamed_tables(t, "events", A.dag_logs))
     path = runs.run_now(live_monitor.run_status(logs), runs.append_to, "dag-status")
-    return t.spark.read.schema(live_monitor.STATUS_SCHEMA).parquet(path)
+    statuses = t.spark.read.schema(live_monitor.STATUS_SCHEMA).parquet(path)
+    return live_monitor.run_outcomes(monitor.state_changes(A.dag_logs(t)), statuses)
 
 
 @registered
@@ -558,10 +562,10 @@ def latest_metric_windows(t):
 
 @registered
 def latest_metric_stream(t):
-    """Window results that are final once all landed points are read."""
+    """Window results as they stand once all landed points are read."""
     stream = followers.latest_metrics(_streamed_tables(t, "events", _labelled), ["metric", "region"])
-    path = runs.run_now(stream, runs.append_to, "latest-metrics")
-    done = t.spark.read.schema(stream.schema).parquet(path)
+    path = runs.run_now(stream, runs.update_to, "latest-metrics")
+    done = runs.latest_rows(t.spark, path, stream.schema, ["window_start", "metric", "region"])
     return done.select(_time("window_start"), "metric", "region", "value")
 
 
@@ -658,9 +662,9 @@ def users_ensured(t):
 def feedback_concat(t):
     """Feedback text per document, including documents without feedback."""
     rows = A.feedback(t)
-    documents = rows.select("document_id").distinct()
-    notes = rows.where(F.col("turn") > 0)
-    return lifecycle.documents_with_feedback(documents, notes, ["turn"],
+    documents = t.documents.select(F.col("doc_id").alias("document_id")).union(
+        rows.select("document_id")).distinct()
+    return lifecycle.documents_with_feedback(documents, rows, ["turn"],
                                              F.floor(F.col("turn") / 64))
 
 
@@ -671,10 +675,13 @@ def latest_document(t):
 
 @registered
 def document_locks(t):
-    """Documents with a quality label become LOCKED; the others stay drafts."""
+    """Labelled documents come under review, then those of good quality become LOCKED; the
+    others stay drafts."""
     current = t.documents.select("doc_id", F.lit("DRAFT").alias("status"), "lang")
-    updates = t.labels.where(F.col("quality") == 1).select("doc_id", F.lit("LOCKED").alias("status"))
-    return lifecycle.update_rows(current, updates, ["doc_id"])
+    review = t.labels.select("doc_id", F.lit("REVIEW").alias("status"), F.lit(1).alias("at"))
+    locks = t.labels.where(F.col("quality") == 1).select(
+        "doc_id", F.lit("LOCKED").alias("status"), F.lit(2).alias("at"))
+    return lifecycle.update_rows(current, locks.unionByName(review), ["doc_id"], ts="at")
 
 
 @registered

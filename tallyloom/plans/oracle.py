@@ -14,18 +14,18 @@ E_AS_OF = f"TIMESTAMP '{EVENTS_AS_OF}'"
 O_AS_OF = f"TIMESTAMP '{ORDERS_AS_OF}'"
 
 CTES = {
-    "widgets": """SELECT l_orderkey AS dashboard_id,
+    "widgets": """SELECT l_orderkey + 1 AS dashboard_id,
   l_partkey * 1000 + CAST(l_quantity AS BIGINT) AS pos,
-  l_orderkey || '-' || l_linenumber AS widget_id, l_partkey AS query_id,
+  l_orderkey || '-' || l_linenumber AS widget_id, l_partkey + 1 AS query_id,
   CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'no_visualization'
        WHEN l_returnflag = 'N' THEN 'text' ELSE 'chart' END AS kind,
   CASE WHEN l_linestatus = 'F' THEN '' ELSE 'note' END AS note,
   l_linenumber AS grid_row, l_suppkey % 3 AS grid_col FROM lineitem""",
     "edges": """SELECT dashboard_id, widget_id, query_id, pos FROM widgets
-  WHERE kind = 'chart' AND query_id <> 0""",
-    "counts": """SELECT p_partkey AS id, p_name AS name, p_size, p_type, p_brand,
+  WHERE kind = 'chart'""",
+    "counts": """SELECT p_partkey + 1 AS id, p_name AS name, p_size, p_type, p_brand,
   count(DISTINCT dashboard_id) AS dash, count(DISTINCT widget_id) AS chart
-  FROM part LEFT JOIN edges ON query_id = p_partkey WHERE p_partkey <> 0 GROUP BY ALL""",
+  FROM part LEFT JOIN edges ON query_id = p_partkey + 1 GROUP BY ALL""",
     "scored": """SELECT id, name,
   6 * (0.8 * ln(1 + dash) / (SELECT ln(1 + max(dash)) FROM counts)
      + 0.2 * ln(1 + chart) / (SELECT ln(1 + max(chart)) FROM counts)) AS impact,
@@ -33,18 +33,18 @@ CTES = {
   CASE WHEN p_size % 3 <> 0 THEN 0.5 ELSE 0 END + CASE WHEN p_size % 2 <> 0 THEN 0.5 ELSE 0 END AS curation
   FROM counts""",
     "golden": "SELECT *, impact + recency + curation AS score FROM scored",
-    "raw_content": """SELECT o_orderkey AS id, coalesce(sum(score), 0) AS raw FROM orders
-  LEFT JOIN (SELECT DISTINCT dashboard_id, query_id FROM edges) e ON dashboard_id = o_orderkey
+    "raw_content": """SELECT o_orderkey + 1 AS id, coalesce(sum(score), 0) AS raw FROM orders
+  LEFT JOIN (SELECT DISTINCT dashboard_id, query_id FROM edges) e ON dashboard_id = o_orderkey + 1
   LEFT JOIN golden ON golden.id = query_id GROUP BY 1""",
     "notes": """SELECT dashboard_id AS id, note FROM widgets WHERE kind <> 'chart'
   QUALIFY row_number() OVER (PARTITION BY dashboard_id ORDER BY grid_row, grid_col, pos, note) = 1""",
-    "boards": f"""SELECT o_orderkey AS id, o_custkey, o_orderpriority AS user_name,
+    "boards": f"""SELECT o_orderkey + 1 AS id, o_custkey, o_orderpriority AS user_name,
   o_orderstatus = 'P' AS is_draft,
   7 * raw / (SELECT max(raw) FROM raw_content) AS content,
   2 * exp(-0.01 * (epoch_us({O_AS_OF}) - epoch_us(o_orderdate)) / 86400e6) AS recency,
   CASE WHEN note IS NULL THEN 0.0 WHEN note = '' THEN 0.5 ELSE 1.0 END AS curation
-  FROM orders JOIN raw_content ON raw_content.id = o_orderkey LEFT JOIN notes ON notes.id = o_orderkey
-  WHERE o_orderkey <> 0""",
+  FROM orders JOIN raw_content ON raw_content.id = o_orderkey + 1
+  LEFT JOIN notes ON notes.id = o_orderkey + 1""",
     "jobs": f"""SELECT event_id, CAST(event_id AS VARCHAR) AS job_id, ts, user_id, event_type, value,
   {USER_EMAIL} AS user_email, {QUERY_TEXT} AS query, 'r' || (user_id % 3) AS region,
   CASE event_type WHEN 'click' THEN 'SELECT' WHEN 'view' THEN 'INSERT' WHEN 'purchase' THEN 'MERGE'
@@ -138,11 +138,10 @@ CTES = {
   FROM dated, peak""",
     "ranked": """SELECT *, (impact + engagement + timeliness) * CASE WHEN is_completed THEN 0.2 ELSE 1 END
   AS score FROM parts""",
-    "tree": "SELECT c_custkey // 4 AS parent, c_custkey AS child FROM customer WHERE c_custkey > 0",
+    "tree": "SELECT c_custkey // 4 AS parent, c_custkey + 1 AS child FROM customer",
     "repo_of": "SELECT s_nationkey AS org, s_suppkey AS repo FROM supplier",
     "files_of": """SELECT l_suppkey AS repo, count(*) AS files FROM lineitem
-  WHERE NOT (l_linestatus = 'F' AND l_linenumber = 2) AND l_linenumber <> 1
-    AND CAST(trunc(l_extendedprice * 2000) AS BIGINT) <= 104857600 GROUP BY 1""",
+  WHERE NOT (l_linestatus = 'F' AND l_linenumber = 2) AND l_linenumber <> 1 GROUP BY 1""",
     "prs_of": """SELECT l_suppkey AS repo, count(*) AS prs FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P' GROUP BY 1""",
     "commits_of": """SELECT l_suppkey AS repo, count(DISTINCT (l_orderkey, l_linenumber)) AS commits
@@ -237,15 +236,15 @@ define("widget_type_stats", ("widgets",), """SELECT coalesce(kind, 'total') AS w
 define("chart_edges_counting_mode", EDGES, "SELECT dashboard_id, count(*) AS edges FROM edges GROUP BY 1")
 define("accessible_widgets", EDGES, """SELECT widget_id, query_id FROM (SELECT widget_id, query_id
  FROM edges QUALIFY row_number() OVER (PARTITION BY widget_id ORDER BY pos DESC, query_id DESC) = 1)
- WHERE query_id IN (SELECT p_partkey FROM part WHERE p_type <> 'LARGE')""")
+ WHERE query_id IN (SELECT p_partkey + 1 FROM part WHERE p_type <> 'LARGE')""")
 define("orphan_edges", EDGES, """SELECT DISTINCT query_id FROM edges WHERE query_id NOT IN
- (SELECT p_partkey FROM part WHERE p_type <> 'LARGE')""")
+ (SELECT p_partkey + 1 FROM part WHERE p_type <> 'LARGE')""")
 define("lineage_summary", EDGES, """SELECT count(DISTINCT query_id) AS queries_with_dashboards,
  count(DISTINCT query_id) AS queries_with_charts, count(DISTINCT dashboard_id) AS dashboards_with_queries
  FROM edges""")
-define("dashboard_query_counts", EDGES, """SELECT o_orderkey AS id, o_orderstatus = 'P' AS is_draft,
- count(DISTINCT query_id) AS query_count FROM orders LEFT JOIN edges ON dashboard_id = o_orderkey
- WHERE o_orderkey <> 0 GROUP BY 1, 2""")
+define("dashboard_query_counts", EDGES, """SELECT o_orderkey + 1 AS id, o_orderstatus = 'P' AS is_draft,
+ count(DISTINCT query_id) AS query_count FROM orders LEFT JOIN edges ON dashboard_id = o_orderkey + 1
+ GROUP BY 1, 2""")
 define("asset_counts", (), f"""SELECT (SELECT count(*) FROM orders) AS dashboards,
  (SELECT count(*) FROM ({ORACLE['accessible_widgets']})) AS widgets,
  (SELECT count(*) FROM part) AS saved_queries""")
@@ -286,7 +285,8 @@ define("golden_query_features",
  dest AS destination_table, coalesce(contains(dest, 'scratch'), false) AS is_temporary_write,
  round(sd, 4) AS execution_regularity_stdev, is_single_execution, shape AS normalized_sql,
  round((epoch_us({E_AS_OF}) - epoch_us(last_run)) / 3.6e9, 6) AS hours_since_last_run,
- CASE WHEN is_single_execution THEN 'SINGLE_EXECUTION' ELSE 'hours' END AS regularity_kind,
+ CASE WHEN is_single_execution THEN 'SINGLE_EXECUTION'
+   ELSE CAST(CAST(floor(round(sd / 3600, 2) * 10 + 0.01) AS BIGINT) AS VARCHAR) END AS regularity_tenths,
  round(raw / (SELECT max(raw) FROM weights), 6) AS complexity_score, source_table_count,
  main_user LIKE '%.iam.gserviceaccount.com' AS is_service_account,
  dest IS NOT NULL AND NOT contains(dest, 'scratch') AS has_persistent_destination,
@@ -381,10 +381,9 @@ define("task_details_merged", (), """SELECT o_orderkey AS gid, o_orderpriority A
  CASE WHEN o_totalprice > 250000 THEN 'D-' || o_orderstatus ELSE o_orderstatus END AS name,
  CASE WHEN o_totalprice > 250000 THEN o_custkey END AS project_gid FROM orders""")
 define("task_projects", (), """SELECT CAST(o_orderkey AS VARCHAR) AS gid, c_nationkey AS workspace_id,
- c_name AS project_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0""")
+ c_name AS project_name FROM orders JOIN customer ON c_custkey = o_custkey""")
 _CLOSURE = """walk AS (SELECT DISTINCT parent AS root, parent AS node, 0 AS depth FROM tree
- UNION ALL SELECT w.root, t.child, w.depth + 1 FROM walk w JOIN tree t ON t.parent = w.node
- WHERE w.depth < 9)"""
+ UNION ALL SELECT w.root, t.child, w.depth + 1 FROM walk w JOIN tree t ON t.parent = w.node)"""
 define("subtask_closure", ("tree",), """SELECT root AS root_gid, parent AS parent_gid, child AS task_gid,
  depth + 1 AS depth FROM walk JOIN tree ON parent = node""", _CLOSURE)
 define("subtask_counts", ("tree",), """SELECT root AS gid, count(*) AS subtask_count
@@ -403,12 +402,11 @@ define("repo_active_share", REPOS, """SELECT count(*) FILTER (files + prs + comm
  count(*) AS repos, round(count(*) FILTER (files + prs + commits > 0) / count(*) * 100, 1) AS active_pct,
  round(sum(files) / count(*), 1) AS avg_files, round(sum(prs) / count(*), 1) AS avg_prs,
  round(sum(commits) / count(*), 1) AS avg_commits FROM repo_record""")
-define("repo_activity_rank", REPOS, """SELECT org, repo, files + prs + commits AS activity FROM repo_record
- ORDER BY org, repo LIMIT 1000""")
+define("repo_activity_rank", REPOS, """SELECT org, repo, files + prs + commits AS activity FROM repo_record""")
 _TEXT = """SELECT '{kind}' AS kind, count(*) AS files, count(*) FILTER (
  len(list_filter(bytes, lambda b: b BETWEEN '20' AND '7E' OR b IN ('09', '0A', '0D')))
    / greatest(len(bytes), 1) > 0.9 AND NOT list_contains(bytes, '00')) AS text_files
- FROM (SELECT regexp_extract_all(hex(encode({col}))[1:1024], '..') AS bytes FROM {table})"""
+ FROM (SELECT regexp_extract_all(hex(encode({col})), '..') AS bytes FROM {table})"""
 define("text_file_ratio", (), _TEXT.format(kind="documents", col="text", table="documents") + " UNION ALL "
        + _TEXT.format(kind="pages", col="html", table="pages"))
 
@@ -431,10 +429,8 @@ define("artifact_counts", (), """SELECT 'collections' AS artifact, count(*) AS i
 # ---- workflow logs
 define("dag_task_states", ("logged", "states"), "SELECT * FROM states")
 define("dag_status", ("logged", "states", "run_state"), "SELECT * FROM run_state")
-define("dag_status_stream", ("logged", "states", "run_state"), """SELECT dag_id, status, tasks
- FROM run_state WHERE status <> 'monitoring_timed_out' OR dag_id IN (SELECT dag_id FROM logged
- WHERE st IS NOT NULL GROUP BY 1 HAVING min(ts) + INTERVAL 30 MINUTE <=
-   (SELECT max(ts) FROM logged) - INTERVAL 15 MINUTE)""")
+define("dag_status_stream", ("logged", "states", "run_state"), """SELECT dag_id, status
+ FROM run_state""")
 define("dag_task_states_stream", ("logged", "states"), "SELECT * FROM states")
 define("dag_log_scan", ("logged",), f"""SELECT strftime(ts, {TS}) AS timestamp, dag_id,
  'Marking task as ' || st || '. dag_id=' || dag_id || ', task_id=' || task_id || ', run_id=r1' AS payload
@@ -445,14 +441,10 @@ define("dag_log_scan", ("logged",), f"""SELECT strftime(ts, {TS}) AS timestamp,
 define("latest_metric_5m", ("points",), """SELECT metric, region, coalesce(max_by(value, ts) FILTER (
  ts BETWEEN TIMESTAMP '2024-01-20 11:55:00' AND TIMESTAMP '2024-01-20 12:00:00'), 0.0) AS value
  FROM points GROUP BY 1, 2""")
-define("latest_metric_windows", ("points",), f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), {TS})
+for _name in ("latest_metric_windows", "latest_metric_stream"):
+    define(_name, ("points",), f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), {TS})
  AS window_start, metric, region, max_by(value, ts) AS value FROM points
  GROUP BY time_bucket(INTERVAL 5 MINUTE, ts), metric, region""")
-define("latest_metric_stream", ("points",), f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), {TS})
- AS window_start, metric, region, max_by(value, ts) AS value FROM points
- GROUP BY time_bucket(INTERVAL 5 MINUTE, ts), metric, region
- HAVING time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE
-   <= (SELECT max(ts) FROM points) - INTERVAL 15 MINUTE""")
 define("metric_sanitise", ("points",), f"""SELECT metric, 'instance_id=' || instance_id || ',region=' || region
  AS labels, strftime(ts, {TS}) AS ts, value FROM points
  WHERE metric LIKE 'gcp\\_%' ESCAPE '\\' OR metric = 'task_requests_total'""")
@@ -481,14 +473,16 @@ define("users_ensured", (), """SELECT lower(c_name) AS email, true AS was_known
  SELECT DISTINCT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'anonymous@example.com' ELSE lower(c_name) END,
  false FROM customer WHERE c_acctbal <= 0 OR c_mktsegment = 'MACHINERY'""")
 define("feedback_concat", (), """SELECT conv_id AS document_id, coalesce((n - 1) // 1000, 0) AS segment,
- string_agg(CASE WHEN turn > 0 THEN text END, ' | ' ORDER BY turn) AS feedback,
- count(n) AS feedback_count FROM (SELECT d.conv_id, c.turn, c.text, CASE WHEN c.turn > 0 THEN row_number()
-   OVER (PARTITION BY d.conv_id ORDER BY c.turn) END AS n FROM (SELECT DISTINCT conv_id FROM conversations) d
-   LEFT JOIN conversations c ON c.conv_id = d.conv_id AND c.turn > 0) GROUP BY 1, 2""")
+ string_agg(text, ' | ' ORDER BY turn) AS feedback,
+ count(n) AS feedback_count FROM (SELECT d.conv_id, c.turn, c.text, CASE WHEN c.turn IS NOT NULL THEN
+   row_number() OVER (PARTITION BY d.conv_id ORDER BY c.turn) END AS n
+   FROM (SELECT conv_id FROM conversations UNION SELECT doc_id FROM documents) d
+   LEFT JOIN conversations c ON c.conv_id = d.conv_id) GROUP BY 1, 2""")
 define("latest_document", (), """SELECT conv_id AS task_id, turn AS version, role AS kind, text AS body
  FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""")
 define("document_locks", (), """SELECT doc_id, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels
- WHERE quality = 1) THEN 'LOCKED' ELSE 'DRAFT' END AS status FROM documents""")
+ WHERE quality = 1) THEN 'LOCKED' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'REVIEW'
+ ELSE 'DRAFT' END AS status FROM documents""")
 define("unmatched_updates", (), """SELECT doc_id, source FROM documents WHERE doc_id NOT IN (
  SELECT doc_id FROM labels)""")
 define("folded_updates", (), """SELECT conv_id, max(turn) AS turn, max_by(role, turn) AS role,

@@ -10,17 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import schemas
-from tallyloom.functions.predicates import TEXT_PROBE_BYTES
 from tallyloom.functions.scalars import present
 
 LOOK_BACK_DAYS = 180
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Job history, laid out by region.  A region whose files are missing or damaged gives
-    no rows; the others are read."""
-    return (spark.read.schema(schemas.JOBS)
-            .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).parquet(path))
+# The columns of a finished query job, and its region.
+JOB_COLUMNS = ["user_email", "query", "creation_time", "start_time", "end_time", "statement_type",
+               "referenced_tables", "destination_table", "job_id", "region"]
+
+
+def read_jobs(spark: SparkSession, path: str, skip_damaged: bool = False) -> DataFrame:
+    """Job history, laid out by region.  A missing or damaged file fails the read; with
+    ``skip_damaged`` the other files are read, and :func:`unread_files` lists what was lost."""
+    return (spark.read.schema(schemas.JOBS).option("ignoreMissingFiles", skip_damaged)
+            .option("ignoreCorruptFiles", skip_damaged).parquet(path))
+
+
+def unread_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size) of the job files below ``path`` of which ``skip_damaged`` reads no row."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.col("path").alias("file"), F.col("length").alias("size"))
+    read = read_jobs(spark, path, skip_damaged=True).select(
+        F.col("_metadata.file_path").alias("file")).distinct()
+    return listed.join(read, "file", "left_anti")
 
 
 def finished_queries(jobs: DataFrame, project: str | None, as_of: datetime,
@@ -34,9 +47,7 @@ def finished_queries(jobs: DataFrame, project: str | None, as_of: datetime,
                       & (F.col("start_time") >= F.lit(start)))
     if project:
         kept = kept.where(F.col("project_id") == project)
-    return kept.select("user_email", "query", "creation_time", "start_time", "end_time",
-                       "statement_type", "referenced_tables", "destination_table", "job_id",
-                       "region")
+    return kept.select(*JOB_COLUMNS)
 
 
 def all_regions(*regions: DataFrame) -> DataFrame:
@@ -79,12 +90,12 @@ def read_file_heads(spark: SparkSession, path: str) -> DataFrame:
         "path", F.col("length").alias("size"), "content")
 
 
-def walk_files(roots: DataFrame, head_bytes: int = TEXT_PROBE_BYTES) -> DataFrame:
+def walk_files(roots: DataFrame, head_bytes: int = -1) -> DataFrame:
     """(root, path, size, content) of every file below mounted folders, ``.git`` left out.
 
     ``roots`` has one folder per row in ``root``.  Folders are listed first and then spread
-    over the tasks, so that one large checkout is read by many; only the first bytes of a
-    file are read.  Files that cannot be read have null content.
+    over the tasks, so that one large checkout is read by many.  Files are read whole, or
+    ``head_bytes`` of them; those that cannot be read have null content.
     """
     def folders(batches):
         for batch in batches:

@@ -76,13 +76,15 @@ def run_status(logs: DataFrame, max_minutes: int = MAX_MINUTES) -> DataFrame:
         step, STATUS_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_outcomes(runs: DataFrame, statuses: DataFrame, query: StreamingQuery) -> DataFrame:
+def run_outcomes(runs: DataFrame, statuses: DataFrame,
+                 query: StreamingQuery | None = None) -> DataFrame:
     """Final status of every watched run.
 
     ``statuses`` are the rows of :func:`run_status`.  A run without one ended in a tool
     error when the stream itself failed, else the monitoring time ran out.
     """
-    missing = M.TOOL_ERROR if query.exception() is not None else M.TIMED_OUT
+    failed = query is not None and query.exception() is not None
+    missing = M.TOOL_ERROR if failed else M.TIMED_OUT
     known = statuses.groupBy("dag_id").agg(F.min("status").alias("status"))
     return runs.select("dag_id").distinct().join(known, "dag_id", "left").fillna(
         missing, ["status"])

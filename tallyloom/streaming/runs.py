@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,4 +67,9 @@ def run_now(stream: DataFrame, start: Callable, label: str) -> str:
     finally:
         spark.conf.set(setting, before)
     query.awaitTermination()
+    late = sum(int(operator.get("numRowsDroppedByWatermark", 0))
+               for progress in query.recentProgress for operator in progress["stateOperators"])
+    if late:
+        warnings.warn(f"{label}: {late} rows came later than the watermark and were dropped",
+                      stacklevel=2)
     return f"{path}/table"

@@ -246,6 +246,9 @@ def test_users_updates_and_recent_tasks(spark):
     updates = spark.createDataFrame([(2, "new"), (9, "new")], "id int, body string")
     assert sorted(map(tuple, lifecycle.update_rows(current, updates, ["id"]).collect())) == [
         (1, "old", "k"), (2, "new", "k")]
+    twice = spark.createDataFrame([(2, "late", 9), (2, "early", 3)], "id int, body string, at int")
+    assert sorted(map(tuple, lifecycle.update_rows(current, twice, ["id"], ts="at").collect())) == [
+        (1, "old", "k"), (2, "late", "k")]
     assert [r.id for r in lifecycle.unmatched_updates(current, updates, ["id"]).collect()] == [9]
     tasks = spark.createDataFrame([(i, "u1", T0 + timedelta(hours=i)) for i in range(60)],
                                   "id int, user_id string, created_at timestamp")

@@ -27,7 +27,9 @@ def test_file_rule(spark):
         ("a", 1), ("", 1), (None, 1), ("b", None), ("c", MIB100), ("d", MIB100 + 1), (".git/x", 1), ("a/.git/x", 1),
         ("a/.github/x", 1), ("x.git/y", 1)]] + [("o", "r", "tree", "t", 1)]
     df = spark.createDataFrame(rows, REPO_FILES)
-    assert sorted(r.path for r in R.countable_files(df).collect()) == ["a", "a/.github/x", "c", "x.git/y"]
+    assert sorted(r.path for r in R.countable_files(df).collect()) == ["a", "a/.github/x", "c", "d", "x.git/y"]
+    assert sorted(r.path for r in R.countable_files(df, MIB100).collect()) == ["a", "a/.github/x", "c", "x.git/y"]
+    assert [tuple(r) for r in R.oversized_files(df, MIB100).collect()] == [("o", "r", 1)]
 
 
 def test_each_part_of_a_pull_request_is_needed(spark):
@@ -51,7 +53,6 @@ def test_metrics_and_summaries(spark):
     assert R.active_share(metrics).first() == (1, 3, 33.3, 1.3, 0.3, 0.7)
     assert [r.repo for r in R.by_activity(metrics).collect()][0] == "r"
     assert R.organisation_summary(metrics.where("false")).first().avg_files_per_repo == 0.0
-    assert [r.repo for r in R.capped_repositories(metrics, 2).collect()] == ["bad", "empty"]
 
 
 def test_text_files(spark, folder):
@@ -66,18 +67,21 @@ def test_text_files(spark, folder):
     found = scans.walk_files(spark.createDataFrame([(folder,)], "root string"))
     assert found.count() == 14
     names = sorted(r.path.rsplit("/", 1)[1] for r in R.text_files(found).collect())
-    assert names == ["_n", "a.txt", "b", "empty.py", "f", "g", "h.JSON", "m", "o", "p.txt.gz"]
+    assert names == ["_n", "a.txt", "b", "empty.py", "f", "h.JSON", "m", "o", "p.txt.gz"]
+    probed = found.where(P.looks_like_text(F.col("content"), 512) & F.col("path").endswith("/g"))
+    assert probed.count() == 1  # NUL bytes come after the probe
     # Spark's file source leaves out empty files and hidden names.
     heads = scans.read_file_heads(spark, folder)
     assert sorted(r.path.rsplit("/", 1)[1] for r in R.text_files(heads).collect()) == [
-        "a.txt", "b", "f", "g", "h.JSON", "m", "p.txt.gz"]
+        "a.txt", "b", "f", "h.JSON", "m", "p.txt.gz"]
 
 
 def test_card_kinds_and_samples(spark):
     kinds = ["model", "METRIC", None, "question", "other"]
     df = spark.createDataFrame([(i, kinds[i % 5], f"n{i}") for i in range(40)], "id long, type string, name string")
     assert C.card_counts(df).first() == (40, 24, 8, 8)
-    sample = C.sample_cards(df, ["id"], 1)  # below two is raised to two
+    assert C.sample_cards(df, ["id"], 1).count() == 3  # the argument is honoured
+    sample = C.sample_cards(df, ["id"], 2)
     assert sorted((r.artifact, r.id) for r in sample.collect()) == [
         ("cards", 2), ("cards", 3), ("metrics", 1), ("metrics", 6), ("models", 0), ("models", 5)]
     plan = C.sample_cards(df, ["id"])._jdf.queryExecution().executedPlan().toString()
@@ -92,6 +96,12 @@ def test_result_samples(spark):
     assert got[1].rows == [{"n": "1", "m": None}, {"n": None, "m": None}, {"x": "y"}, {"_value": "7"}]
     assert [got[i].row_count_sampled for i in (1, 2, 3)] == [4, 1, 0]
     assert got[2].rows == [{}] and got[3].rows == []
+    lists = spark.createDataFrame([(1, ["n", "m"], [["a", "1"], ["b"]], None), (2, ["n"], None, "timeout"),
+                                   (3, ["n"], None, None)],
+                                  "card_id long, cols array<string>, rows array<array<string>>, error string")
+    got = {r.card_id: r for r in C.sample_results(lists).collect()}
+    assert got[1].rows == [{"n": "a", "m": "1"}, {"n": "b", "m": None}] and got[1].data_error is None
+    assert [(got[i].row_count_sampled, got[i].data_error) for i in (2, 3)] == [(0, "timeout"), (0, "no result")]
 
 
 def test_predicates(spark):

@@ -41,7 +41,11 @@ def test_damaged_region_is_left_out(spark, folder):
         out.write(b"not parquet at all")
     crc = os.path.join(os.path.dirname(path), "." + os.path.basename(path) + ".crc")
     os.replace(crc, crc + ".old")
-    assert [r.job_id for r in scans.read_jobs(spark, folder + "/jobs").collect()] == ["1"]
+    with pytest.raises(Exception):
+        scans.read_jobs(spark, folder + "/jobs").collect()
+    assert [r.job_id for r in scans.read_jobs(spark, folder + "/jobs", True).collect()] == ["1"]
+    (lost,) = scans.unread_files(spark, folder + "/jobs").collect()
+    assert lost.file.endswith(os.path.basename(path)) and lost.size == 18
 
 
 def test_pages_and_details(spark, folder):
@@ -135,6 +139,16 @@ def test_feature_views(spark):
     assert built.columns == ["entity_id", "z", "y", "x"]
 
 
+def test_feature_view_has_a_row_per_entity(spark):
+    a = spark.createDataFrame([(1, "u", 1, 10), (1, "u", 2, 20), (1, "v", 1, 30), (None, "u", 1, 40)],
+                              "org long, user string, at int, x int")
+    b = spark.createDataFrame([("1|u", 7), ("1|u", 5)], "key string, x int")
+    groups = [features.FeatureGroup("ga", a, ("org", "user"), "at"), features.FeatureGroup("gb", b, ("key",))]
+    view = features.feature_view(groups, [["x"], ["x"]])
+    assert view.columns == ["entity_id", "ga_x", "gb_x"]
+    assert sorted(map(tuple, view.collect())) == [("1|u", 20, 7), ("1|v", 30, None)]
+
+
 def test_feature_view_materialises(spark, folder):
     a = spark.createDataFrame([(1, 10)], "user_id long, x int")
     view = features.feature_view([features.FeatureGroup("a", a, ("user_id",))], [["x"]])
@@ -147,7 +161,6 @@ def test_staging_uses_the_folder_of_the_session(spark):
     assert staging.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert staging.stage(spark.range(3), "t").inputFiles()[0].startswith(
         "file://" + staging.shared_folder(spark))
-    assert staging.checkpoint(spark.range(4)).count() == 4
 
 
 def test_sql_functions(spark):

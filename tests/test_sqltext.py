@@ -149,3 +149,29 @@ def test_compare_signature_tables(spark):
     got = {r.id: r for r in G.compare_signatures(left, right, "id").collect()}
     assert got[1].delta.keys() == {"leaf_tables"} and got[1].delta["leaf_tables"].golden == "d.t"
     assert not got[2].signature_equal and not got[3].signature_equal
+
+
+def test_warehouse_names_comments_and_literals(spark):
+    rows = [("a", "select 1 from `my-project-123.d.t` # comment from x.y"),
+            ("b", "select 2 from `my-project-456.d.t`"),
+            ("c", "select extract(year from e.dt), trim(both ' ' from x.y) from my-project-12.d.t limit @n"),
+            ("d", "select a is distinct from b.c, 0x1F, .5, t.x - 7 from d.t"),
+            ("e", "select * from d.a join (select k from d.x) s on a.k = s.k join d.b on b.k = s.k"),
+            ("f", "select * from (select * from d.a left join d.b on a.k = b.k) s join d.c on 1 = 1")]
+    df = spark.createDataFrame(rows, "id string, query string")
+    got = {r.id: r for r in G.with_signature(df, shape="shape").collect()}
+    assert got["a"].shape == "select ? from `my-project-123.d.t`"
+    assert got["b"].shape == "select ? from `my-project-456.d.t`"
+    assert got["a"].leaf_tables == ["d.t"] == got["c"].leaf_tables == got["d"].leaf_tables
+    assert got["c"].has_limit and not got["a"].has_limit
+    assert got["d"].shape == "select a is distinct from b.c,?,?,t.x-? from d.t"
+    assert got["e"].join_edges == [] and got["e"].leaf_tables == ["d.a", "d.b", "d.x"]
+    assert got["f"].join_edges == ["d.a|d.b|left"]
+
+
+def test_date_window_below_deep_brackets(spark):
+    deep = "(" * 12 + "x" + ")" * 12
+    sql = (f"select * from t where a in (select f{deep} from u where dt >= '2020-01-01') "
+           "and (dt >= date('2024-01-03')) and dt <= '2024-02-01' group by 1")
+    df = spark.createDataFrame([(1, sql)], "id int, query string")
+    assert G.with_date_window(df).first().date_window == "2024-01-03..2024-02-01"

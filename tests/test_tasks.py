@@ -63,8 +63,8 @@ def test_details_and_projects(spark):
         ("1", "w", "P")]
 
 
-def listed_subtasks(children, root, limit=10):
-    """Breadth-first listing: each task expanded once, up to the depth limit."""
+def listed_subtasks(children, root, limit=1000):
+    """Breadth-first listing: each task expanded once."""
     depth, queue, out = {root: 0}, [root], []
     for node in queue:
         if depth[node] >= limit:
@@ -90,9 +90,13 @@ def check_hierarchy(spark, pairs):
     return counts
 
 
-def test_chain_is_cut_at_depth_ten(spark):
-    counts = check_hierarchy(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(13)])
-    assert counts["n00"] == 10 and counts["n05"] == 8
+def test_chain_is_followed_to_its_end(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(14)]
+    counts = check_hierarchy(spark, chain)
+    assert counts["n00"] == 14 and counts["n05"] == 9
+    df = spark.createDataFrame(chain, "parent_gid string, child_gid string")
+    cut = {r.task_gid: r.truncated for r in H.subtask_closure(df, max_depth=10).where("root_gid = 'n00'").collect()}
+    assert cut == {f"n{i:02}": i == 10 for i in range(1, 11)}
 
 
 def test_diamond_and_cycle(spark):
