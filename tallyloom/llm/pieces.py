@@ -23,7 +23,7 @@ SPACE = "▁"
 #: Entries that a worker remembers: of words in two generations of this size, the older of which is
 #: forgotten when the younger is full; of pairs until there are twice as many.  Results never
 #: depend on them.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Longer stretches without a space are not remembered.
 LONGEST_REMEMBERED = 48
 _UNKNOWN = -1
@@ -193,12 +193,14 @@ def token_digests(docs: DataFrame, model: bytes) -> DataFrame:
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = piece_model(model)
         for batch in batches:
-            rows = [table.round_trip(t or "") for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "n_tokens": [n for n, _, _ in rows],
-                "ids_sha256": [hashlib.sha256(i.encode()).hexdigest() for _, i, _ in rows],
-                "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for _, _, d in rows]})
+            rows = []
+            for text in batch["text"]:
+                count, ids, decoded = table.round_trip(text or "")
+                rows.append((count, hashlib.sha256(ids.encode()).hexdigest(),
+                             hashlib.sha256(decoded.encode()).hexdigest()))
+            found = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            found.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(), True)
+            yield found
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
         digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
