@@ -13,28 +13,31 @@ from pyspark.sql import functions as F
 LEAST_WORDS = 20
 WINDOW = 8
 REPEATED_PERCENT = 30
-#: A document is rejected if its lines lose more than this part of its words.
-LOST = 0.5
+#: A document is rejected if its lines lose more than this part of its words, per cent.
+LOST_PERCENT = 50
 #: A line shorter than this many words must end with a closing mark.
 SHORT_LINE = 10
-#: Separators of links in a row; a line with at least this many, and one a word or so, is navigation.
-SEPARATORS = 3
-#: Symbols, or exclamation and question marks, a word that a line may have.
-SYMBOL_SHARE = 0.3
-SHOUT_SHARE = 0.5
+#: A line is navigation if so many of its words, and a third of them, are separators of links.
+LINKS = 3
+#: Symbols, or exclamation and question marks (beyond three), that a line may have for 100 words.
+SYMBOL_PERCENT = 30
+SHOUT_PERCENT = 50
 
 # Symbols that count, marks that close a line, separators of navigation, and phrases
 # of page furniture (whole lines of few words that hold one of them).
-SYMBOLS = re.compile(r"[#*$%&|<>]")
-CLOSING = re.compile("[.!?…。！？:;][\"'”’»)\\]]*$")
-SEPARATOR = re.compile(r"(?:^|\s)(?:\||»|›|·|•|>|/|::)(?=\s|$)")
-FURNITURE = re.compile(
-    r"(?i)\b(?:cookies?|javascript|terms of (?:use|service)|privacy policy|all rights reserved"
-    r"|sign (?:in|up)|log ?in|subscribe|newsletter|read more|click here|share (?:this|on)"
-    r"|skip to content|powered by|lorem ipsum"
-    r"|mentions légales|tous droits réservés|lire la suite|s'abonner"
-    r"|impressum|datenschutz|alle rechte vorbehalten|weiterlesen"
-    r"|aviso legal|todos los derechos reservados|leer más|suscríbete)\b")
+SYMBOLS = "[#*$%&|<>]"
+CLOSING = r"""[.!?…。！？:;]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+SEPARATORS = ("|", "»", "›", "·", "•", ">", "/", "::")
+FURNITURE = (
+    "(?i)cookies?|javascript|terms of (?:use|service)|privacy policy|all rights reserved"
+    "|sign (?:in|up)|log ?in|subscribe|newsletter|read more|click here|share (?:this|on)"
+    "|skip to content|powered by|lorem ipsum"
+    "|mentions légales|tous droits réservés|lire la suite|s'abonner"
+    "|impressum|datenschutz|alle rechte vorbehalten|weiterlesen"
+    "|aviso legal|todos los derechos reservados|leer más|suscríbete")
+
+_SYMBOLS, _CLOSING, _FURNITURE = (re.compile(p) for p in (SYMBOLS, CLOSING, FURNITURE))
+_SEPARATORS = {s.encode() for s in SEPARATORS}
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -65,45 +68,47 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(marks)[:-1] > 0).sum())
 
 
-def line_fails(line: str, words: int) -> bool:
-    """Whether a line that is not blank breaks a rule: few words without a closing mark, more than
-    SYMBOL_SHARE symbols a word, shouting, navigation, or page furniture."""
-    if words < SHORT_LINE and not CLOSING.search(line.rstrip()):
+def line_fails(line: str, words: list[bytes]) -> bool:
+    """Whether a line that is not blank breaks a rule: few words without a closing mark, too many
+    symbols, shouting, navigation, or page furniture."""
+    n = len(words)
+    if n < SHORT_LINE and not _CLOSING.search(line):
         return True
-    if len(SYMBOLS.findall(line)) > SYMBOL_SHARE * words:
+    if 100 * len(_SYMBOLS.findall(line)) > SYMBOL_PERCENT * n:
         return True
-    if line.count("!") + line.count("?") > max(3, SHOUT_SHARE * words):
+    if 100 * (line.count("!") + line.count("?")) > max(300, SHOUT_PERCENT * n):
         return True
-    if 3 * len(SEPARATOR.findall(line)) >= max(3 * SEPARATORS, words):
+    links = sum(w in _SEPARATORS for w in words)
+    if links >= LINKS and 3 * links >= n:
         return True
-    return words <= 2 * SHORT_LINE and FURNITURE.search(line) is not None
+    return n <= 2 * SHORT_LINE and _FURNITURE.search(line) is not None
 
 
 def measured(text: str | None) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned).
 
     Words are runs of other characters than space and 09-0D.  ``cleaned`` is the text without the
-    lines that fail and those repeating an earlier line; kept documents lose no more than LOST of
-    their words to it.
+    lines that fail and those repeating an earlier line; kept documents lose no more than
+    LOST_PERCENT of their words to it.
     """
     text = text or ""
     words = text.encode().split()
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     lines, seen, kept_lines, duplicates, left = text.split("\n"), set(), [], 0, 0
     for line in lines:
-        count = len(line.encode().split())
-        if not count:
+        own = line.encode().split()
+        if not own:
             kept_lines.append(line)
         elif line in seen:
             duplicates += 1
-        elif not line_fails(line, count):
+        elif not line_fails(line, own):
             kept_lines.append(line)
-            left += count
+            left += len(own)
         seen.add(line)
     repeats = repeated_words(words)
     base_failed = len(words) < LEAST_WORDS or 100 * repeats > REPEATED_PERCENT * len(words)
-    kept = not base_failed and len(words) - left <= LOST * len(words)
-    return (len(words), chars, len(SYMBOLS.findall(text)), duplicates, repeats, base_failed, kept,
+    kept = not base_failed and 100 * (len(words) - left) <= LOST_PERCENT * len(words)
+    return (len(words), chars, len(_SYMBOLS.findall(text)), duplicates, repeats, base_failed, kept,
             "\n".join(kept_lines))
 
 
@@ -140,3 +145,45 @@ def cleaned_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.drop("_m")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The verdicts in SQL.
+VERDICTS_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts),
+placed AS (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS pos
+           FROM worded WHERE len(words) >= {WINDOW}),
+twice AS (SELECT rid, pos FROM placed
+          QUALIFY count(*) OVER (PARTITION BY rid, array_to_string(words[pos:pos + {WINDOW - 1}], ' ')) > 1),
+repeated AS (SELECT rid, count(DISTINCT pos + k) AS n FROM twice, range({WINDOW}) t(k) GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM texts),
+counted AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own,
+                   row_number() OVER (PARTITION BY rid, line ORDER BY nr) > 1 AS again FROM lines),
+sized AS (SELECT *, len(own) AS n, len(regexp_extract_all(line, '{SYMBOLS}')) AS symbols,
+                 length(line) - length(translate(line, '!?', '')) AS shouts,
+                 len(list_filter(own, lambda w: w IN ({", ".join(map(_quoted, SEPARATORS))}))) AS links
+          FROM counted WHERE len(own) > 0),
+judged AS (SELECT *,
+    (n < {SHORT_LINE} AND NOT regexp_matches(line, {_quoted(CLOSING)}))
+    OR 100 * symbols > {SYMBOL_PERCENT} * n OR 100 * shouts > greatest(300, {SHOUT_PERCENT} * n)
+    OR (links >= {LINKS} AND 3 * links >= n)
+    OR (n <= {2 * SHORT_LINE} AND regexp_matches(line, {_quoted(FURNITURE)})) AS fails FROM sized),
+summed AS (SELECT rid, count(*) FILTER (again) AS doubles,
+                  coalesce(sum(n) FILTER (NOT again AND NOT fails), 0) AS remaining FROM judged GROUP BY rid),
+base AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols,
+         coalesce(doubles, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+         len(words) < {LEAST_WORDS} OR 100 * coalesce(r.n, 0) > {REPEATED_PERCENT} * len(words) AS base_failed,
+         coalesce(remaining, 0) AS remaining
+  FROM worded LEFT JOIN summed USING (rid) LEFT JOIN repeated r USING (rid))
+SELECT * EXCLUDE (remaining),
+       NOT base_failed AND 100 * (n_words - remaining) <= {LOST_PERCENT} * n_words AS kept
+FROM base
+"""

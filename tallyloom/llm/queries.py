@@ -85,4 +85,5 @@ ORACLE: dict[str, str] = {
     "op4_chat_examples": chat.DIGESTS_SQL,
     "op6_embedding_duplicates": vectors.DUPLICATES_SQL,
     "op8_license_scan": licenses.SCAN_SQL,
+    "op9_line_rules": linerules.VERDICTS_SQL,
 }
