@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from tallyloom.functions import sqltext as Q
-from tallyloom.functions.predicates import DATE_SHARD
+from tallyloom.functions.predicates import DATE_SHARD, DML, TEMPORARY
 
 
 def _quote(pattern: str) -> str:
@@ -24,17 +24,17 @@ def register_functions(spark: SparkSession) -> None:
     text = f"trim(regexp_replace({text}, {_quote(Q.TAIL)}, ''))"
     define("canonical_query(q STRING)", "STRING", text)
     define("query_shape(q STRING)", "STRING",
-           f"regexp_replace(regexp_replace(canonical_query(q), {_quote(Q.QUOTED)}, '?'), "
-           f"{_quote(Q.NUMBER)}, '?')")
+           f"array_join(transform(split(regexp_replace(canonical_query(q), {_quote(Q.QUOTED)}, '?'), "
+           f"'`'), (p, i) -> if(i % 2 = 1, p, regexp_replace(p, {_quote(Q.NUMBER)}, '?'))), '`')")
     define("query_shape_id(q STRING)", "STRING",
            "sha2(coalesce(nullif(query_shape(coalesce(q, '')), ''), coalesce(q, '')), 256)")
     define("raw_complexity(joins BIGINT, ctes BIGINT, windows BIGINT, subqueries BIGINT, grouped BOOLEAN)",
            "BIGINT", "joins + 2 * ctes + 3 * windows + subqueries + cast(grouped AS BIGINT)")
     define("is_temporary_write(d STRING)", "BOOLEAN",
-           "coalesce(lower(d) RLIKE '_temp_|_tmp_|scratch|temp_', false)")
+           f"coalesce(lower(d) RLIKE {_quote(TEMPORARY)}, false)")
     define("is_service_account(e STRING)", "BOOLEAN",
            "coalesce(lower(e) LIKE '%.iam.gserviceaccount.com', false)")
     define("is_dml(k STRING)", "BOOLEAN",
-           "coalesce(upper(k) RLIKE 'INSERT|MERGE|UPDATE|DELETE|CREATE_TABLE_AS_SELECT', false)")
+           f"coalesce(upper(k) RLIKE {_quote(DML)}, false)")
     define("logical_table_name(n STRING)", "STRING",
            f"regexp_replace(n, {_quote(DATE_SHARD)}, '')")

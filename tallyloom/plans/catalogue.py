@@ -7,8 +7,11 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom import schemas
 from tallyloom.functions import predicates as P
 from tallyloom.functions.grouped import distinct_counts
+from tallyloom.functions.sqltext import is_date_text
+from tallyloom.functions.staging import new_path
 from tallyloom.operators import (assets, catalog, features, hierarchy, inventory, lifecycle, metrics,
                                  monitor, querylog, repos, signatures, tasks)
 from tallyloom.plans import adapters as A
@@ -738,3 +741,118 @@ def feature_key_check(t):
 @registered
 def distinct_event_types(t):
     return features.distinct_event_types(t.events)
+
+
+# ---- landed files: written by a sink, read back by a source ---------------------------
+
+
+@registered
+def landed_jobs(t):
+    """Jobs landed by region and read again."""
+    path = new_path(t.spark, "jobs")
+    A.jobs(t).write.partitionBy("region").parquet(path)
+    return scans.read_jobs(t.spark, path).select("job_id", "region", "state", _time("creation_time"))
+
+
+@registered
+def landed_documents(t):
+    """Dashboards written as JSON records and read with their schema."""
+    path = new_path(t.spark, "dashboards")
+    sinks.write_records(A.dashboards(t), path)
+    found = scans.read_documents(t.spark, path, schemas.DASHBOARDS)
+    return found.select("id", "slug", F.col("created_by.name").alias("author"), "is_draft")
+
+
+@registered
+def exported_records(t):
+    """Events as JSON records, read back."""
+    path = new_path(t.spark, "records")
+    sinks.write_records(t.events.select("event_id", "event_type", "value"), path)
+    return t.spark.read.schema("event_id long, event_type string, value double").json(path)
+
+
+@registered
+def exported_csv(t):
+    """Saved queries as quoted CSV in export order, read back."""
+    path = new_path(t.spark, "csv")
+    sinks.write_csv(A.saved_queries(t), path, ["id", "name", "schedule", "description", "absent"])
+    return t.spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+@registered
+def dumped_cards(t):
+    """Cards dumped by artifact and read back."""
+    path = new_path(t.spark, "dump")
+    cards = A.cards(t).withColumn("artifact", P.card_kind(F.coalesce("type", F.lit(""))))
+    sinks.write_dump(catalog.dump_lines(cards, "list", F.struct("id", "name")), path)
+    found = t.spark.read.schema(schemas.DUMP_LINE).json(path)
+    return found.select("artifact", "kind", "id", F.get_json_object("data", "$.name").alias("name"))
+
+
+@registered
+def served_features(t):
+    """The feature view as a serving table."""
+    path = new_path(t.spark, "serving")
+    features.materialise(_view(t), path)
+    return t.spark.read.parquet(path).select("entity_id", "event_count", "order_count")
+
+
+@registered
+def log_lines_in_order(t):
+    lines = monitor.in_time_order(A.dag_logs(t))
+    return lines.select(_time("timestamp"), "dag_id", "payload")
+
+
+@registered
+def regions_together(t):
+    """Jobs of three regions read one by one."""
+    found = scans.all_regions(*[A.jobs(t).where(F.col("region") == f"r{k}") for k in range(3)])
+    return found.groupBy("region").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@registered
+def named_repositories(t):
+    """Repositories by slug, name or full name; nameless ones are left out."""
+    key = F.col("s_suppkey")
+    listed = t.supplier.select(
+        F.col("s_nationkey").cast("string").alias("org"),
+        F.when(key % 3 == 0, F.concat(F.lit("slug-"), key)).alias("slug"),
+        F.when(key % 2 == 0, F.col("s_name")).otherwise("").alias("name"),
+        F.when(key % 5 != 0, F.concat(F.lit("org/repo-"), key)).alias("full_name"),
+        F.lit("https://git.example/").alias("html_url"), F.lit(None).cast("long").alias("size"),
+        *[F.lit(None).cast("boolean").alias(c) for c in ("fork", "private", "archived")],
+        F.lit("").alias("default_branch"))
+    valid = repos.valid_repositories(listed).select("full_name", F.lit(True).alias("valid"))
+    return repos.repositories(listed).select("org", "repo", "full_name", "size", "default_branch").join(
+        valid, "full_name", "left").fillna(False, ["valid"])
+
+
+@registered
+def page_extensions(t):
+    """Pages per ending of their URL path."""
+    path = F.concat(F.substring_index("url", "?", 1), F.when(F.col("page_id") % 2 == 0, ".html.gz").otherwise(".JSON"))
+    return t.pages.groupBy(P.file_extension(path).alias("extension")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@registered
+def date_texts(t):
+    """Order dates in several spellings, and which of them are date literals."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = (F.when(F.col("o_orderkey") % 3 == 0, day).when(F.col("o_orderkey") % 3 == 1, F.concat(day, F.lit("T")))
+             .when(F.col("o_orderkey") % 2 == 0, F.replace(day, F.lit("-"), F.lit("/"))))
+    return t.orders.select("o_orderkey", is_date_text(text).alias("is_date"))
+
+
+@registered
+def running_progress(t):
+    """Progress numbers of status texts."""
+    status = F.when(F.col("event_type") == "view", "RUNNING").when(
+        F.col("event_type") == "error", "RUNNING:x").otherwise(
+        F.concat(F.lit("RUNNING:"), F.col("event_id") % 100))
+    return t.events.select("event_id", P.progress_of(status).alias("progress"))
+
+
+@registered
+def events_of_a_task(t):
+    events = lifecycle.of_task(lifecycle.parse_events(A.progress_json(t)), 7)
+    return events.select(_time("ts"), "type", "stage", "progress")

@@ -498,3 +498,36 @@ define("feature_key_check", (), """SELECT l_orderkey, l_linenumber, count(*) AS
  GROUP BY 1, 2 HAVING count(*) > 1""")
 define("distinct_event_types", (), """SELECT user_id, count(DISTINCT event_type) AS distinct_event_types
  FROM events GROUP BY 1""")
+
+# ---- landed files
+define("landed_jobs", ("jobs",), f"""SELECT job_id, region, strftime(ts, {TS}) AS creation_time,
+ CASE WHEN value > 100 THEN 'RUNNING' ELSE 'DONE' END AS state FROM jobs""")
+define("landed_documents", (), """SELECT o_orderkey + 1 AS id, 'd-' || o_orderkey AS slug,
+ o_orderpriority AS author, CASE WHEN o_orderstatus = 'P' THEN true END AS is_draft FROM orders""")
+define("exported_records", (), "SELECT event_id, event_type, value FROM events")
+define("exported_csv", (), """SELECT CAST(p_partkey + 1 AS VARCHAR) AS id, p_name AS name,
+ CASE WHEN p_size % 2 <> 0 THEN '{"interval": 60}' END AS schedule,
+ CASE WHEN p_size % 3 <> 0 THEN p_type END AS description FROM part""")
+define("dumped_cards", ("card",), "SELECT artifact, 'list' AS kind, id, name FROM card")
+define("served_features", ("activity", "spending", "viewed"),
+       "SELECT entity_id, event_count, order_count FROM viewed")
+define("log_lines_in_order", ("logged",), f"""SELECT strftime(ts, {TS}) AS timestamp, dag_id,
+ CASE WHEN st IS NULL THEN 'Heartbeat of task_id=' || task_id ELSE 'Marking task as ' || st || '. dag_id='
+   || dag_id || ', task_id=' || task_id || ', run_id=r1' END AS payload FROM logged""")
+define("regions_together", ("jobs",), "SELECT region, count(*) AS jobs FROM jobs GROUP BY 1")
+define("named_repositories", (), """SELECT * FROM (SELECT CAST(s_nationkey AS VARCHAR) AS org,
+ CASE WHEN s_suppkey % 3 = 0 THEN 'slug-' || s_suppkey WHEN s_suppkey % 2 = 0 THEN s_name
+   WHEN s_suppkey % 5 <> 0 THEN 'repo-' || s_suppkey END AS repo,
+ CASE WHEN s_suppkey % 5 <> 0 THEN 'org/repo-' || s_suppkey END AS full_name,
+ CAST(0 AS BIGINT) AS size, 'main' AS default_branch, s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 AS valid
+ FROM supplier) WHERE repo IS NOT NULL""")
+define("page_extensions", (), """SELECT CASE WHEN page_id % 2 = 0 THEN 'html' ELSE 'json' END AS extension,
+ count(*) AS pages FROM pages GROUP BY 1""")
+define("date_texts", (), "SELECT o_orderkey, o_orderkey % 3 = 0 AS is_date FROM orders")
+define("running_progress", (), """SELECT event_id, CAST(CASE WHEN event_type IN ('view', 'error') THEN 0
+ ELSE event_id % 100 END AS INT) AS progress FROM events""")
+define("events_of_a_task", (), f"""SELECT strftime(ts, {TS}) AS ts,
+ CASE WHEN event_type = 'click' THEN 'tick' ELSE 'stage' END AS type,
+ CASE WHEN event_type <> 'click' THEN {STAGE} END AS stage,
+ CAST(CASE WHEN event_type = 'click' THEN event_id % 250 END AS INT) AS progress
+ FROM events WHERE user_id = 7""")

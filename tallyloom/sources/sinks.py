@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+DUMP_PARTS = 64
+
 
 def _flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for formats without nesting."""
@@ -35,8 +37,10 @@ def write_records(df: DataFrame, path: str) -> None:
 
 
 def write_dump(lines: DataFrame, path: str) -> None:
-    """Envelope lines (artifact, kind, id, data), one file per artifact, replaced each run."""
-    (lines.repartition("artifact").write.mode("overwrite")
+    """Envelope lines (artifact, kind, id, data), a folder per artifact, replaced each run.  An
+    artifact is written by up to ``DUMP_PARTS`` tasks, so a large one is no bottleneck."""
+    part = F.pmod(F.xxhash64("kind", "id"), F.lit(DUMP_PARTS))
+    (lines.repartition("artifact", part).write.mode("overwrite")
      .partitionBy("artifact").json(path))
 
 
