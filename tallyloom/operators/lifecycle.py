@@ -12,6 +12,7 @@ from tallyloom.schemas import TASK_EVENT_BODY
 
 ANONYMOUS = "anonymous@example.com"
 DONE_AT = 200
+STATUS_EXTRAS = ("created_at", "started_at", "completed_at", "test_status")
 
 # The stage changes a task may make.
 STAGE_MOVES = [
@@ -46,7 +47,8 @@ def with_durations(snapshot: DataFrame) -> DataFrame:
 
 
 def status_response(snapshot: DataFrame) -> DataFrame:
-    """Status label of each task; error text only for failed ones, details from its JSON."""
+    """Status label of each task; error text only for failed ones, details from its JSON, and the
+    times and test status that the snapshot has."""
     status = P.status_label(F.col("state"), F.col("pr_url"))
     detail = [F.get_json_object("task_json", f"$.{f}").alias(f)
               for f in ("instructions", "repo", "engine")]
@@ -54,7 +56,7 @@ def status_response(snapshot: DataFrame) -> DataFrame:
         "task_id", F.coalesce("state", F.lit("unknown")).alias("state"), status.alias("status"),
         F.when(status == "COMPLETED", F.col("pr_url")).alias("pr_url"),
         F.when(status == "FAILED", F.coalesce("error", F.lit("Unknown error"))).alias("error"),
-        *detail)
+        *detail, *[c for c in STATUS_EXTRAS if c in snapshot.columns])
 
 
 def recent_tasks(tasks: DataFrame, user_id, n: int = 50) -> DataFrame:
@@ -81,9 +83,19 @@ def uuid_of(text: Column) -> Column:
         (1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def ensure_users(users: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Users after get-or-create by e-mail; a missing address is the anonymous one."""
-    emails = wanted.select(F.coalesce(F.nullif("email", F.lit("")), F.lit(ANONYMOUS))
+def ensure_users(users: DataFrame, wanted: DataFrame, request: str | None = None) -> DataFrame:
+    """Users after get-or-create, by id where ``wanted`` has one that is known, else by e-mail.
+
+    A missing address becomes an anonymous one: of its own for each value of the column
+    ``request`` when that is named, else one for all.
+    """
+    if "id" in wanted.columns:
+        known = users.select(F.col("id").alias("_id"))
+        wanted = wanted.join(known, F.col("id") == F.col("_id"), "left_anti")
+    name, _, host = ANONYMOUS.partition("@")
+    missing = F.lit(ANONYMOUS) if request is None else F.concat(
+        F.lit(f"{name}-"), uuid_of(F.col(request).cast("string")), F.lit(f"@{host}"))
+    emails = wanted.select(F.coalesce(F.nullif("email", F.lit("")), missing)
                            .alias("email")).distinct()
     new = emails.join(users, "email", "left_anti").select(
         uuid_of(F.col("email")).alias("id"), "email")

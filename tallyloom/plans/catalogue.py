@@ -607,7 +607,7 @@ def task_state_snapshot(t):
 def task_status_labels(t):
     return lifecycle.status_response(
         lifecycle.state_snapshot(A.task_hash_events(t), HASH_FIELDS)).select(
-        "task_id", "state", "status", "pr_url", "error", "engine")
+        "task_id", "state", "status", "pr_url", "error", "engine", "started_at")
 
 
 @registered
@@ -655,9 +655,10 @@ def users_ensured(t):
     """Known and newly added users."""
     known = t.customer.where(F.col("c_acctbal") > 0).select(
         F.col("c_custkey").cast("string").alias("id"), F.lower("c_name").alias("email"))
-    wanted = t.customer.select(F.when(F.col("c_mktsegment") != "MACHINERY", F.lower("c_name"))
-                               .alias("email"))
-    everyone = lifecycle.ensure_users(known, wanted)
+    wanted = t.customer.select(
+        F.when(F.col("c_nationkey") % 2 == 0, F.col("c_custkey").cast("string")).alias("id"),
+        F.when(F.col("c_mktsegment") != "MACHINERY", F.lower("c_name")).alias("email"), "c_custkey")
+    everyone = lifecycle.ensure_users(known, wanted, request="c_custkey")
     return everyone.select("email", (F.length("id") < 36).alias("was_known"))
 
 

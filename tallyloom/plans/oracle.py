@@ -457,7 +457,7 @@ for _name in ("task_state_snapshot", "task_snapshot_stream"):
 define("task_status_labels", ("hashes", "snapshot"), """SELECT task_id, coalesce(state, 'unknown') AS state,
  status, CASE WHEN status = 'COMPLETED' THEN pr_url END AS pr_url,
  CASE WHEN status = 'FAILED' THEN coalesce(error, 'Unknown error') END AS error,
- task_json ->> '$.engine' AS engine FROM (SELECT *, CASE WHEN state = 'done' AND pr_url IS NOT NULL
+ task_json ->> '$.engine' AS engine, started_at FROM (SELECT *, CASE WHEN state = 'done' AND pr_url IS NOT NULL
    THEN 'COMPLETED' WHEN state = 'running' THEN 'PROCESSING' WHEN state = 'failed' THEN 'FAILED'
    ELSE 'QUEUED' END AS status FROM snapshot)""")
 define("task_stage_checks", ("staged",), f"""SELECT event_id, task_id, from_stage, stage,
@@ -470,8 +470,10 @@ define("tasks_of_users", (), """SELECT o_custkey AS user_id, o_orderkey AS task_
  FROM orders JOIN customer ON c_custkey = o_custkey""")
 define("users_ensured", (), """SELECT lower(c_name) AS email, true AS was_known FROM customer
  WHERE c_acctbal > 0 UNION ALL
- SELECT DISTINCT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'anonymous@example.com' ELSE lower(c_name) END,
- false FROM customer WHERE c_acctbal <= 0 OR c_mktsegment = 'MACHINERY'""")
+ SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'anonymous-' || d[1:8] || '-' || d[9:12] || '-' || d[13:16]
+   || '-' || d[17:20] || '-' || d[21:32] || '@example.com' ELSE lower(c_name) END, false
+ FROM (SELECT *, md5(CAST(c_custkey AS VARCHAR)) AS d FROM customer)
+ WHERE c_acctbal <= 0 OR (c_mktsegment = 'MACHINERY' AND c_nationkey % 2 <> 0)""")
 define("feedback_concat", (), """SELECT conv_id AS document_id, coalesce((n - 1) // 1000, 0) AS segment,
  string_agg(text, ' | ' ORDER BY turn) AS feedback,
  count(n) AS feedback_count FROM (SELECT d.conv_id, c.turn, c.text, CASE WHEN c.turn IS NOT NULL THEN
