@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.scalars import MICROS_PER_SECOND
 
@@ -25,7 +26,10 @@ def distinct_counts(df: DataFrame, keys: list[str], counted: dict[str, str]) ->
         (name, column), = counted.items()
         return (df.where(F.col(column).isNotNull()).select(*keys, column).distinct()
                   .groupBy(*keys).agg(F.count(F.lit(1)).alias(name)))
-    items = [F.struct(F.lit(i).alias("which"), F.col(c).cast("string").alias("item"))
+    # Whole numbers stay numbers; columns of different kinds meet as text.
+    whole = all(isinstance(df.schema[c].dataType, T.IntegralType) for c in counted.values())
+    kind = "long" if whole else "string"
+    items = [F.struct(F.lit(i).alias("which"), F.col(c).cast(kind).alias("item"))
              for i, c in enumerate(counted.values())]
     marks = (df.select(*keys, F.inline(F.array(*items)))
                .where(F.col("item").isNotNull()).distinct())

@@ -11,7 +11,7 @@ from tallyloom import schemas
 from tallyloom.functions import predicates as P
 from tallyloom.functions.grouped import distinct_counts
 from tallyloom.functions.sqltext import is_date_text
-from tallyloom.functions.staging import new_path
+from tallyloom.functions.staging import new_path, stage
 from tallyloom.operators import (assets, catalog, features, hierarchy, inventory, lifecycle, metrics,
                                  monitor, querylog, repos, signatures, tasks)
 from tallyloom.plans import adapters as A
@@ -347,7 +347,8 @@ def _task_features(t):
 
 
 def _scored_tasks(t):
-    return tasks.score_tasks(_task_features(t), ORDERS_AS_OF)
+    # Staged, so that the dataset maxima do not take the counts a second time.
+    return tasks.score_tasks(stage(_task_features(t), "task-features"), ORDERS_AS_OF)
 
 
 @registered
