@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.batches import small_batches
+
 #: Rules on whole documents: the fewest words, and the most words in repeated windows, per cent.
 LEAST_WORDS = 20
 WINDOW = 8
@@ -133,14 +135,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
     Null texts count as empty and fail; repeated rows and rows without doc_id are returned as they
     come; an empty table gives an empty result; other columns are not looked at.
     """
-    return (docs.select(F.col("doc_id").cast("long"), _measures(F.col("text")).alias("m"))
+    return (small_batches(docs)
+            .select(F.col("doc_id").cast("long"), _measures(F.col("text")).alias("m"))
             .select("doc_id", "m.*"))
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` with all their columns; ``text`` is the cleaned text and
     ``n_chars``, if there is such a column, its length."""
-    kept = (docs.withColumn("_m", _measures(F.col("text"))).where("_m.kept")
+    kept = (small_batches(docs).withColumn("_m", _measures(F.col("text"))).where("_m.kept")
             .withColumn("text", F.col("_m.cleaned")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.batches import small_batches
 from tallyloom.llm.samples import labelled_sample
 
 #: The model is fitted on at most so many labelled documents of each class, first by a hash of doc_id.
@@ -250,6 +251,7 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
             return pd.Series(np.full(len(texts), 0.5))
         return pd.Series(model.score(np.array([features(t) for t in texts])))
 
-    return (docs.select(F.col("doc_id").cast("long"), score(F.col("text")).alias("score"))
+    return (small_batches(docs)
+            .select(F.col("doc_id").cast("long"), score(F.col("text")).alias("score"))
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                     (F.col("score") >= PREDICTED_FROM).cast("int").alias("predicted")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.staging import stage
+from tallyloom.llm.batches import small_batches
 from tallyloom.llm.components import connected
 
 BITS = 64
@@ -58,8 +59,9 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             yield batch.assign(doc_id=batch["doc_id"].astype("Int64"),
                                fingerprint=marks.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(*docs.columns).alias("row"),
-                       "text").mapInPandas(marked, "doc_id long, row long, fingerprint long")
+    whole = F.xxhash64(*docs.columns).alias("row")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), whole, "text").mapInPandas(
+        marked, "doc_id long, row long, fingerprint long")
 
 
 def _masks(blocks: int, max_bits: int) -> list[int]:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.staging import stage
+from tallyloom.llm.batches import small_batches
 from tallyloom.llm.samples import labelled_sample
 
 #: The model is fitted on at most so many labelled documents of each class, first by a hash of doc_id.
@@ -325,7 +326,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     without doc_id are returned as they come (the latter not held out); an empty table gives an
     empty result; other columns are not looked at.
     """
-    seen = docs.select(F.col("doc_id").cast("long"), _evidence(F.col("text"), model).alias("evidence"))
+    seen = small_batches(docs).select(F.col("doc_id").cast("long"),
+                                      _evidence(F.col("text"), model).alias("evidence"))
     score = 1 / (1 + F.exp(-(F.lit(model.offset) + F.lit(model.slope) * F.log1p("evidence"))))
     return (seen.withColumn("score", score)
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -335,5 +337,5 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 def accepted_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not predicted toxic."""
     score = 1 / (1 + F.exp(-(F.lit(model.offset) + F.lit(model.slope) * F.log1p("_evidence"))))
-    return (docs.withColumn("_evidence", _evidence(F.col("text"), model))
+    return (small_batches(docs).withColumn("_evidence", _evidence(F.col("text"), model))
             .where(score < PREDICTED_FROM).drop("_evidence"))
