@@ -19,11 +19,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.batches import small_batches
+
 SPACE = "▁"
 #: Entries that a worker remembers: of words in two generations of this size, the older of which is
-#: forgotten when the younger is full; of pairs until there are twice as many.  Results never
-#: depend on them.
-REMEMBERED = 1 << 16
+#: forgotten when the younger is full; of pairs until there are as many.  Results never depend on
+#: them.
+REMEMBERED = 1 << 18
 #: Longer stretches without a space are not remembered.
 LONGEST_REMEMBERED = 48
 _UNKNOWN = -1
@@ -57,8 +59,9 @@ class PieceModel:
         lines = "" if any("\n" in p for p in self.id_of if len(p) > 1) else "\n"
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}{lines}]+|{SPACE}+" + (r"|\n" * bool(lines)))
         self._apart: dict[int, bool] = {}
-        self._words: dict[str, tuple[int, str, str]] = {}
-        self._older: dict[str, tuple[int, str, str]] = {}
+        self._words: dict[str, str] = {}
+        self._older: dict[str, str] = {}
+        self._other: dict[str, str] = {}
 
     def _merged(self, text: str) -> list[str]:
         """Greedy merging by score, leftmost first; for strings of two pieces at most."""
@@ -98,7 +101,7 @@ class PieceModel:
             if apart:
                 table[end + 1] = piece
                 done = end
-        if len(remembered) > 2 * REMEMBERED:
+        if len(remembered) > REMEMBERED:
             remembered.clear()
         return table
 
@@ -123,6 +126,8 @@ class PieceModel:
 
     def _joined(self, ids: list[int]) -> str:
         """The pieces' text; runs of byte pieces are UTF-8, a damaged byte is U+FFFD."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join(map(self.text.__getitem__, ids)).replace(SPACE, " ")
         out, run = [], b""
         for i in ids:
             if i in self.byte_of:
@@ -137,24 +142,36 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         return self._joined(ids).removeprefix(" ")
 
-    def _learn(self, part: str) -> tuple[int, str, str]:
+    def _learn(self, part: str) -> str:
+        """Ids of a stretch, joined by commas.  Only those that decode to the stretch again are
+        remembered; what others decode to is put aside for :meth:`round_trip`."""
         known = self._older.get(part)
         if known is None:
             ids = self.encode_stretch(part)
-            known = len(ids), ",".join(map(str, ids)), self._joined(ids)
-        if len(part) <= LONGEST_REMEMBERED:
-            self._words[part] = known
+            known = ",".join(map(str, ids))
+            decoded = self._joined(ids)
+            if len(part) > LONGEST_REMEMBERED or decoded != part.replace(SPACE, " "):
+                self._other[part] = decoded
+                return known
+        self._words[part] = known
         return known
 
     def round_trip(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, ids joined by commas, and what they decode to.  Words are remembered;
-        a word's bytes lie in one stretch, so stretches decode one by one."""
+        """Number of ids, ids joined by commas, and what they decode to.
+
+        A character's bytes lie in one stretch, so stretches decode one by one, those that are
+        remembered to themselves.
+        """
         if len(self._words) >= REMEMBERED:
             self._older, self._words = self._words, {}
         get, learn = self._words.get, self._learn
-        known = [get(part) or learn(part) for part in self._stretches(text)]
-        counts, ids, texts = zip(*known) if known else ((), (), ())
-        return sum(counts), ",".join(ids), "".join(texts).removeprefix(" ")
+        other = self._other
+        other.clear()
+        parts = self._stretches(text)
+        joined = ",".join([get(part) or learn(part) for part in parts])
+        texts = [other.get(part, part) for part in parts] if other else parts
+        decoded = "".join(texts).replace(SPACE, " ").removeprefix(" ")
+        return joined.count(",") + bool(joined), joined, decoded
 
 
 @lru_cache(maxsize=2)
@@ -178,7 +195,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids,
                                 "decoded": [table.decode(i) for i in ids]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(
         encoded, "doc_id long, ids array<int>, decoded string")
 
 
@@ -202,5 +219,5 @@ def token_digests(docs: DataFrame, model: bytes) -> DataFrame:
             found.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(), True)
             yield found
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(
         digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
