@@ -3,11 +3,13 @@
 A template of a size class is compared with windows a little larger than the class, at steps small
 enough that each place where it stands lies whole in a window.  Their smallest salted hashes agree in
 some band with near certainty; what agrees is then verified by exact containment of shingles.
+Templates shorter than a shingle are found exactly, as sequences of whole words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,25 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Short notices and SPDX lines.  Words hold no punctuation, so the MIT line is found in MIT-0 too.
+NOTICES = [
+    ("All-rights-reserved", "All rights reserved"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("BSD", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+]
+
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often it is used inside."""
@@ -99,13 +120,17 @@ def _minima(hashes: Column) -> Column:
         F.transform(found, lambda h: h.bitwiseXOR(s)))))
 
 
-def template_table(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """One row a template of five words or more: license, template, size (class, a power of two),
-    shingles and minima."""
+def _read(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     rows = docs.sparkSession.createDataFrame(
         [(license, k, text) for k, (license, text) in enumerate(templates)],
         "license string, template int, text string")
-    read = rows.withColumn("words", words_of(F.col("text")))
+    return rows.withColumn("words", words_of(F.col("text")))
+
+
+def template_table(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """One row a template of five words or more: license, template, size (class, a power of two),
+    shingles and minima.  Shorter ones are in ``short_templates``."""
+    read = _read(docs, templates)
     hashed = read.select("license", "template", _shingles(F.col("words")).alias("shingles"),
                          _hashes(F.col("words")).alias("hashes")).where(F.size("shingles") > 0)
     size = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("shingles")))).cast("int")
@@ -113,6 +138,28 @@ def template_table(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFra
                          _minima(F.col("hashes")).alias("minima"))
 
 
+def short_templates(docs: DataFrame, templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """License and words of each template of fewer than five words.  One without a word could match
+    nothing and is refused."""
+    short = _read(docs, templates).where(F.size("words") < SHINGLE_WORDS).orderBy("template").collect()
+    empty = [(row["license"], row["text"]) for row in short if not row["words"]]
+    if empty:
+        raise ValueError(f"templates without a word: {empty}")
+    return [(row["license"], row["words"]) for row in short]
+
+
+def _short_found(docs: DataFrame, short: list[tuple[str, list[str]]]) -> DataFrame:
+    """doc_id, license and containment (1) where the words of a short template follow each other."""
+    inside, between = WORD[:-1], "[^" + WORD[1:]
+    patterns = [f"(?<!{inside}){between.join(words)}(?!{inside})" for _, words in short]
+    texts = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+    some = texts.where(F.col("text").rlike("|".join(patterns)))
+    which = F.array(*[F.when(F.col("text").rlike(pattern), F.lit(license))
+                      for (license, _), pattern in zip(short, patterns)])
+    return some.select("doc_id", F.explode(F.array_compact(which)).alias("license"),
+                       F.lit(1.0).alias("containment"))
+
+
 def _windows(count: Column, size: int) -> Column:
     """Windows over ``count`` shingles for a class, half as long again as it, at steps of half a
     class: (class, at, length)."""
@@ -122,18 +169,8 @@ def _windows(count: Column, size: int) -> Column:
         F.lit(size).alias("class"), at.alias("at"), F.lit(size + step).alias("length")))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
-         contained: float = CONTAINED) -> DataFrame:
-    """doc_id, license and containment: the largest part of a template's shingles that one window
-    holds, of ``contained`` at least; a row for each license of a document.
-
-    Whole texts of ``docs`` (doc_id, text).  A window can only agree with a template in a band if it
-    holds the shingle that gives the template's minimum, so texts without any of these shingles
-    are left out before windows are made.  Templates are a bounded list and are broadcast.  Null,
-    empty and short texts match nothing; repeated rows and rows without doc_id count as one document
-    a doc_id; an empty table gives an empty result; other columns are not looked at.
-    """
-    known = template_table(docs, templates)
+def _long_found(docs: DataFrame, known: DataFrame, contained: float) -> DataFrame:
+    """doc_id, license and containment for each window and template of ``known`` that agree."""
     listed = known.select("class", "minima").collect()
     salts = docs.sparkSession.range(1).select(_salts().alias("s")).first()["s"]
     heads = sorted({m ^ s for row in listed for m, s in zip(row["minima"], salts)})
@@ -158,16 +195,35 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     agreed = found.join(F.broadcast(bands), ["class", "band", "minimum"])
     part = (F.size(F.array_intersect("shingles", _shingles(F.col("words"))))
             / F.size("shingles")).alias("containment")
-    return (agreed.select("doc_id", "license", part).where(F.col("containment") >= contained)
-            .groupBy("doc_id", "license").agg(F.max("containment").alias("containment")))
+    return agreed.select("doc_id", "license", part).where(F.col("containment") >= contained)
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + NOTICES,
+         contained: float = CONTAINED) -> DataFrame:
+    """doc_id, license and containment: the largest part of a template's shingles that one window
+    holds, of ``contained`` at least; a row for each license of a document.
 
+    Whole texts of ``docs`` (doc_id, text).  A window can only agree with a template in a band if it
+    holds the shingle that gives the template's minimum, so texts without any of these shingles
+    are left out before windows are made.  A template shorter than a shingle has containment 1 where
+    its whole word sequence stands; one without a word is an error.  Templates are a bounded list and
+    are broadcast.  Null and empty texts match nothing; repeated rows and rows without doc_id count as one document
+    a doc_id; an empty table gives an empty result; other columns are not looked at.
+    """
+    short = short_templates(docs, templates)
+    parts = [_short_found(docs, short)] if short else []
+    if len(short) < len(templates):
+        parts.append(_long_found(docs, template_table(docs, templates), contained))
+    return (reduce(DataFrame.unionByName, parts).groupBy("doc_id", "license")
+            .agg(F.max("containment").alias("containment")))
 
-def _template_sql() -> str:
+
+def _template_sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
     return ", ".join("({}, {}, '{}')".format(k, repr(license), text.replace("'", "''"))
-                     for k, (license, text) in enumerate(TEMPLATES))
+                     for k, (license, text) in enumerate(templates))
 
 
-#: The scan in SQL: shingles joined on themselves, without hashes.
+#: The scan for TEMPLATES in SQL: shingles joined on themselves, without hashes.
 SCAN_SQL = rf"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id,
                       regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
@@ -189,3 +245,28 @@ parts AS (SELECT doc_id, license, count(DISTINCT shingle) / any_value(size) AS c
 SELECT doc_id, license, max(containment) AS containment FROM parts
 WHERE containment >= 0.8 GROUP BY doc_id, license
 """
+
+#: The scan for all templates in SQL: a template shorter than a shingle is one shingle, and a stretch
+#: may begin at any place.
+WHOLE_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id,
+                      regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
+templates(template, license, text) AS (VALUES {_template_sql(TEMPLATES + NOTICES)}),
+read AS (SELECT template, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM templates),
+known AS (SELECT *, least(len(words), 5) AS width FROM read),
+signs AS (SELECT DISTINCT template, license, width, array_to_string(words[pos + 1:pos + width], ' ') AS shingle
+          FROM (SELECT *, unnest(range(0, len(words) - width + 1)) AS pos FROM known)),
+sizes AS (SELECT template, count(*) AS size, pow(2, ceil(log2(count(*))))::INTEGER AS class
+          FROM signs GROUP BY template),
+placed AS (SELECT rid, doc_id, words, width, unnest(range(0, len(words) - width + 1)) AS pos
+           FROM texts, (SELECT DISTINCT width FROM known) WHERE len(words) >= width),
+shingled AS (SELECT rid, doc_id, width, pos, array_to_string(words[pos + 1:pos + width], ' ') AS shingle FROM placed),
+hits AS (SELECT rid, doc_id, pos, template, license, shingle, size, class + greatest(class // 2, 1) AS length
+         FROM shingled JOIN signs USING (width, shingle) JOIN sizes USING (template)),
+parts AS (SELECT a.doc_id, a.license, count(DISTINCT b.shingle) / any_value(a.size) AS containment
+          FROM hits a JOIN hits b ON a.rid = b.rid AND a.template = b.template
+               AND b.pos >= a.pos AND b.pos < a.pos + a.length
+          GROUP BY a.rid, a.doc_id, a.license, a.template, a.pos)
+SELECT doc_id, license, max(containment) AS containment FROM parts
+WHERE containment >= 0.8 GROUP BY doc_id, license
+"""

@@ -385,6 +385,23 @@ def test_licenses_in_long_texts_and_near_misses(spark):
     assert licenses.scan(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_short_license_templates_are_whole_word_sequences(spark):
+    rows = [(1, "© 2020 Nobody.\nALL  rights, reserved!", "a"), (2, "Overall rights reserved", "a"),
+            (3, "all rights are reserved", "a"), (4, "// SPDX-License-Identifier: MIT\n", "a"),
+            (5, "SPDX-License-Identifier: MITx", "a"), (6, "all rights reserved", "a"), (7, None, "a"),
+            (8, "# SPDX-License-Identifier: Apache-2.0", "a"), (None, "All rights reserved", "b"),
+            (9, "all_rights_reserved2 all rights", "a")]
+    found = sorted(map(tuple, licenses.scan(documents(spark, rows)).collect()), key=str)
+    assert found == sorted([
+        (1, "All-rights-reserved", 1.0), (4, "MIT", 1.0), (6, "All-rights-reserved", 1.0),
+        (8, "Apache-2.0", 1.0), (None, "All-rights-reserved", 1.0)], key=str)
+    only = licenses.scan(documents(spark, rows), [("short", "rights reserved"), ("one", "nobody")])
+    assert {(r["doc_id"], r["license"]) for r in only.collect()} == {
+        (1, "short"), (1, "one"), (2, "short"), (6, "short"), (None, "short")}
+    with pytest.raises(ValueError, match="without a word"):
+        licenses.scan(documents(spark, rows), [("none", "---")])
+
+
 # Quality rules
 
 def test_repeated_words_against_all_windows():
