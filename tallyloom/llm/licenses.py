@@ -1,9 +1,9 @@
 """License scans: MinHash bands over overlapping windows find templates, shingles verify them.
 
-A template of a size class is compared with windows a little larger than the class, at steps small
-enough that each place where it stands lies whole in a window.  Their smallest salted hashes agree in
-some band with near certainty; what agrees is then verified by exact containment of shingles.
-Templates shorter than a shingle are found exactly, as sequences of whole words.
+A template of a size class is compared with windows larger than the class, at steps small enough that
+each stretch half as long again as the class lies whole in a window, wherever it begins.  Their smallest salted hashes agree in
+some band with near certainty; what agrees is then verified by exact containment of
+shingles in every such stretch.  Templates shorter than a shingle are found exactly, as sequences of whole words.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 CONTAINED = 0.8
-#: Hashes a window, each a band of its own.  A window holds at most 1.5 times the largest template of
-#: its class, the smallest being half as large: at containment 0.8 a window and a template share a
-#: quarter of their shingles at least, and all bands miss with probability 0.75^32 = 0.0001.
-BANDS = 32
+#: Hashes a window, each a band of its own.  A window holds at most twice the largest template of its
+#: class, the smallest being half as large: at containment 0.8 a window and a template share 0.19 of
+#: their shingles at least, and all bands miss with probability 0.81^64 = 0.000001.
+BANDS = 64
 WORD = r"[\p{L}\p{N}]+"
 
 # Notices and opening paragraphs of public licences.
@@ -105,8 +105,9 @@ def _hashes(words: Column) -> Column:
 
 
 def _shingles(words: Column) -> Column:
-    return _let(words, lambda w: F.array_distinct(F.transform(_places(w), lambda i: F.array_join(
-        F.slice(w, i + 1, F.lit(SHINGLE_WORDS)), " "))))
+    """In their order, repeated ones too."""
+    return _let(words, lambda w: F.transform(_places(w), lambda i: F.array_join(
+        F.slice(w, i + 1, F.lit(SHINGLE_WORDS)), " ")))
 
 
 def _salts() -> Column:
@@ -131,7 +132,7 @@ def template_table(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFra
     """One row a template of five words or more: license, template, size (class, a power of two),
     shingles and minima.  Shorter ones are in ``short_templates``."""
     read = _read(docs, templates)
-    hashed = read.select("license", "template", _shingles(F.col("words")).alias("shingles"),
+    hashed = read.select("license", "template", F.array_distinct(_shingles(F.col("words"))).alias("shingles"),
                          _hashes(F.col("words")).alias("hashes")).where(F.size("shingles") > 0)
     size = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("shingles")))).cast("int")
     return hashed.select("license", "template", size.alias("class"), "shingles",
@@ -151,22 +152,31 @@ def short_templates(docs: DataFrame, templates: list[tuple[str, str]]) -> list[t
 def _short_found(docs: DataFrame, short: list[tuple[str, list[str]]]) -> DataFrame:
     """doc_id, license and containment (1) where the words of a short template follow each other."""
     inside, between = WORD[:-1], "[^" + WORD[1:]
-    patterns = [f"(?<!{inside}){between.join(words)}(?!{inside})" for _, words in short]
+    patterns = [between.join(words) for _, words in short]
+    whole = "(?<!{0})(?:{1})(?!{0})".format
     texts = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
-    some = texts.where(F.col("text").rlike("|".join(patterns)))
-    which = F.array(*[F.when(F.col("text").rlike(pattern), F.lit(license))
+    some = texts.where(F.col("text").rlike(whole(inside, "|".join(patterns))))
+    which = F.array(*[F.when(F.col("text").rlike(whole(inside, pattern)), F.lit(license))
                       for (license, _), pattern in zip(short, patterns)])
     return some.select("doc_id", F.explode(F.array_compact(which)).alias("license"),
                        F.lit(1.0).alias("containment"))
 
 
 def _windows(count: Column, size: int) -> Column:
-    """Windows over ``count`` shingles for a class, half as long again as it, at steps of half a
-    class: (class, at, length)."""
+    """Windows over ``count`` shingles for a class, at steps of half a class, such that each stretch
+    lies whole in one: (class, at, length)."""
     step = max(size // 2, 1)
     starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)), F.lit(step))
     return F.transform(starts, lambda at: F.struct(
-        F.lit(size).alias("class"), at.alias("at"), F.lit(size + step).alias("length")))
+        F.lit(size).alias("class"), at.alias("at"), F.lit(size + 2 * step - 1).alias("length")))
+
+
+def _containment(signs: Column, shingles: Column, size: Column) -> Column:
+    """The largest part of ``signs`` in a stretch of ``shingles`` half as long again as the class."""
+    length = size + F.greatest(F.floor(size / 2), F.lit(1)).cast("int")
+    return _let(shingles, lambda s: F.array_max(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(s) - length, F.lit(0)) + 1),
+        lambda at: F.size(F.array_intersect(signs, F.slice(s, at, length))) / F.size(signs))))
 
 
 def _long_found(docs: DataFrame, known: DataFrame, contained: float) -> DataFrame:
@@ -188,20 +198,24 @@ def _long_found(docs: DataFrame, known: DataFrame, contained: float) -> DataFram
         F.slice("words", F.col("w.at") + 1, F.col("w.length") + SHINGLE_WORDS - 1).alias("words"),
         F.slice("hashes", F.col("w.at") + 1, F.col("w.length")).alias("hashes"))
     near = windows.where(F.arrays_overlap("hashes", wanted))
-    found = near.select("doc_id", "class", "words", F.posexplode(
-        _minima(F.col("hashes"))).alias("band", "minimum"))
-    bands = known.select("license", "template", "class", "shingles",
+    found = near.select("doc_id", "class", "words", F.inline(F.array(F.struct(
+        _minima(F.col("hashes")).alias("lows"))))).select(
+        "*", F.posexplode("lows").alias("band", "minimum"))
+    bands = known.select("license", "template", "class", "shingles", "minima",
                          F.posexplode("minima").alias("band", "minimum"))
-    agreed = found.join(F.broadcast(bands), ["class", "band", "minimum"])
-    part = (F.size(F.array_intersect("shingles", _shingles(F.col("words"))))
-            / F.size("shingles")).alias("containment")
+    # A window and a template are verified once, in the first band in which they agree.
+    same = F.zip_with("lows", "minima", lambda a, b: a == b)
+    agreed = found.join(F.broadcast(bands), ["class", "band", "minimum"]).where(
+        F.array_position(same, F.lit(True)) == F.col("band") + 1)
+    part = _containment(F.col("shingles"), _shingles(F.col("words")), F.col("class")).alias("containment")
     return agreed.select("doc_id", "license", part).where(F.col("containment") >= contained)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + NOTICES,
          contained: float = CONTAINED) -> DataFrame:
-    """doc_id, license and containment: the largest part of a template's shingles that one window
-    holds, of ``contained`` at least; a row for each license of a document.
+    """doc_id, license and containment: the largest part of a template's shingles that one stretch
+    holds, of ``contained`` at least; a row for each license of a document.  A stretch is half as long
+    again as the template's class and may begin at any shingle.
 
     Whole texts of ``docs`` (doc_id, text).  A window can only agree with a template in a band if it
     holds the shingle that gives the template's minimum, so texts without any of these shingles

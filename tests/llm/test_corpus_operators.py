@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -385,6 +386,36 @@ def test_licenses_in_long_texts_and_near_misses(spark):
     assert licenses.scan(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_edited_licenses_at_every_offset_against_all_stretches(spark):
+    rng = random.Random(21)
+
+    def edited(text, inserted):
+        words = text.split()
+        return " ".join([*words[:len(words) // 2], *sentence(rng, inserted).split(), *words[len(words) // 2:]])
+    kinds = [(licenses.TEMPLATES[k], extra) for k, extra in ((5, 7), (11, 8), (2, 19))]
+    rows = [(1000 * n + offset, f"{sentence(rng, offset)} {edited(text, extra)} {sentence(rng, 90)}", "a")
+            for n, ((_, text), extra) in enumerate(kinds) for offset in range(70)]
+
+    def shingles(text):
+        words = re.findall(r"[^\W_]+", text.lower())
+        return [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+
+    want = {}
+    for doc_id, text, _ in rows:
+        have = shingles(text)
+        for license, template in licenses.TEMPLATES:
+            signs = set(shingles(template))
+            size = 1 << (len(signs) - 1).bit_length()
+            length = size + max(size // 2, 1)
+            part = max(len(signs & set(have[i:i + length])) / len(signs) for i in range(len(have)))
+            if part >= 0.8:
+                want[doc_id, license] = max(part, want.get((doc_id, license), 0))
+    assert {(1000 * n + offset, license) for n, ((license, _), _) in enumerate(kinds)
+            for offset in range(70)} <= set(want)
+    found = licenses.scan(documents(spark, rows)).collect()
+    assert {(r["doc_id"], r["license"]): r["containment"] for r in found} == want
+
+
 def test_short_license_templates_are_whole_word_sequences(spark):
     rows = [(1, "© 2020 Nobody.\nALL  rights, reserved!", "a"), (2, "Overall rights reserved", "a"),
             (3, "all rights are reserved", "a"), (4, "// SPDX-License-Identifier: MIT\n", "a"),
