@@ -66,6 +66,7 @@ QUOTES = '"“”„«»'
 
 CLAUSE_END = re.compile(r"[.!?;\n]+")
 TOKEN = re.compile(rf"[^\W_]+(?:['’][^\W_]+)?|[{QUOTES}]")
+ELISION = re.compile("['’]")
 
 
 class Transducer:
@@ -188,6 +189,10 @@ class Grammar:
         state, total = self.chain.start, 0.0
         for token in TOKEN.findall(text):
             weight = self.insult(token)
+            if not weight and token not in CLASSES:
+                # An elided word (d'abruti): what follows the apostrophe is a word of its own.
+                token = ELISION.split(token)[-1]
+                weight = self.insult(token)
             symbol = "insult" if weight else CLASSES.get(token, "word")
             state, written, factor = self.chain.step(state, symbol)
             if written in ("insult", "denied"):

@@ -135,6 +135,15 @@ def test_clauses_are_scored_not_words():
     assert rules.evidence("IDIOT!! Idiot") == 8.0 and rules.evidence(None) == 0.0
 
 
+def test_elided_words_are_looked_up_without_their_article():
+    rules = toxicity.Grammar(toxicity.Model((("abruti$", 4.0), ("ordure$", 3.0), ("encul", 5.0))))
+    assert rules.evidence("Espèce d'abruti !") == 4.0 == rules.evidence("Espèce d’abruti !")
+    assert rules.evidence("L'ordure et fils d'enculé.") == 8.0
+    assert rules.evidence("Ce n'est pas d'abruti.") == pytest.approx(4 * toxicity.DENIED)
+    assert rules.evidence("They don't sell abruti.") == pytest.approx(4 * toxicity.DENIED)
+    assert rules.evidence("D'abrutis, l'ordureux.") == 0.0
+
+
 def test_accepted_documents_keep_their_columns(spark):
     docs = documents(spark, [(1, "You idiot, you moron, you scum.", "a"), (2, "A quiet day.", "a"),
                              (3, None, "b")])
