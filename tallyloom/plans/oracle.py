@@ -316,6 +316,8 @@ define("query_previews", ("jobs",), """SELECT left(query, 100) AS preview, count
  FROM jobs GROUP BY query ORDER BY executions DESC, query LIMIT 5""")
 define("candidate_jobs", ("jobs",), """SELECT job_id, user_email, query FROM jobs WHERE query IN (
  SELECT query FROM jobs GROUP BY query ORDER BY count(*) DESC, query LIMIT 100)""")
+define("candidate_jobs_whole", ("jobs",), """SELECT job_id, user_email, query FROM jobs WHERE query IN (
+ SELECT query FROM jobs GROUP BY query ORDER BY count(*) DESC, query LIMIT 50000)""")
 define("coverage_reduction", SHAPES, """SELECT count(*) AS jobs, count(DISTINCT shape) AS shapes,
  round((1 - count(DISTINCT shape) / count(*)) * 100, 6) AS reduction_pct FROM shapes""")
 define("query_signatures", ("jobs", "windows"), """SELECT job_id, CASE event_type
