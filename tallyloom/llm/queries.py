@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.functions.staging import new_path
-from tallyloom.llm import chat, licenses, linerules, mixing, pieces, quality, simhash, toxicity, vectors, warc
+from tallyloom.llm import (centroids, chat, licenses, linerules, mixing, pieces, pii, quality, simhash, toxicity,
+                           vectors, warc, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +74,20 @@ def op10_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame
     return pieces.token_digests(table(spark, folder, "documents"), model)
 
 
+def op11_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """deviation is null where it does not fit a long; the operator has it as a decimal."""
+    rows = whitening.whitened(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_source_mixture": op2_source_mixture,
@@ -84,6 +100,9 @@ QUERIES: dict[str, Query] = {
     "op8_whole_license_scan": op8_whole_license_scan,
     "op9_line_rules": op9_line_rules,
     "op10_sentencepiece_round_trip": op10_sentencepiece_round_trip,
+    "op11_bootstrapped_pii": op11_bootstrapped_pii,
+    "op12_whitening": op12_whitening,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE: dict[str, str] = {
@@ -94,4 +113,5 @@ ORACLE: dict[str, str] = {
     "op8_license_scan": licenses.SCAN_SQL,
     "op8_whole_license_scan": licenses.WHOLE_SQL,
     "op9_line_rules": linerules.VERDICTS_SQL,
+    "op13_centroids": centroids.CLUSTERS_SQL,
 }

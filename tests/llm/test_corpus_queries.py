@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, name):
     assert oracle_compare.difference(QUERIES[name](spark, FOLDER), con, ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"op12_whitening"}))
 def test_query_has_a_row_for_every_document(spark, name):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     found = QUERIES[name](spark, FOLDER)
@@ -26,8 +26,8 @@ def test_query_has_a_row_for_every_document(spark, name):
     assert found.join(docs, "doc_id", "left_anti").isEmpty()
 
 
-def test_ten_operators_and_no_cross_joins(spark):
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+def test_all_operators_and_no_cross_joins(spark):
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     for name in sorted(QUERIES):
         plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
