@@ -207,16 +207,16 @@ def luhn_number(start, valid=True):
             return number
 
 
-def planted(hidden=7):
+def planted(hidden=20):
     """Cards in one context; numbers without a right check digit there and, partly, in a second
     context, which points to further ones; other numbers in prose."""
     rows, fails = [], [luhn_number(4000 + k, False) for k in range(hidden)]
-    for k in range(30):
+    for k in range(99):
         rows.append((k, f"The card number is {luhn_number(100 + k)} until May {k}."))
     for k, number in enumerate(fails):
         rows.append((100 + k, f"The card number is {number} until June."))
         rows.append((200 + k, f"Booked under account {number} by us."))
-    rows += [(300 + k, f"Booked under account {luhn_number(9000 + k, False)} by us.") for k in range(3)]
+    rows += [(300 + k, f"Booked under account {luhn_number(9000 + k, False)} by us.") for k in range(2)]
     rows += [(400 + k, f"In all {123456 + k} people came in {2000 + k}.") for k in range(20)]
     rows += [(None, rows[0][1]), (1, rows[1][1]), (500, None), (501, "")]
     return rows
@@ -271,8 +271,8 @@ def test_patterns_discover_identifiers_in_rounds(spark):
     assert len(found) == len(rows)
     by_id = {r["doc_id"]: r for r in found}
     # The first round finds what stands in the cards' context, wherever it stands again.
-    assert all(once[k + j]["n_added"] == 1 for k in range(7) for j in (100, 200))
-    assert all(once[300 + k]["n_added"] == 0 and by_id[300 + k]["n_added"] == 1 for k in range(3))
+    assert all(once[k + j]["n_added"] == 1 for k in range(20) for j in (100, 200))
+    assert all(once[300 + k]["n_added"] == 0 and by_id[300 + k]["n_added"] == 1 for k in range(2))
     assert all(by_id[400 + k]["n_added"] == 0 for k in range(20))
     text = dict(rows)[300]
     at = text.index("0")
