@@ -232,37 +232,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + NOTICES
             .agg(F.max("containment").alias("containment")))
 
 
-def _template_sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
+def _template_sql(templates: list[tuple[str, str]]) -> str:
     return ", ".join("({}, {}, '{}')".format(k, repr(license), text.replace("'", "''"))
                      for k, (license, text) in enumerate(templates))
 
 
-#: The scan for TEMPLATES in SQL: shingles joined on themselves, without hashes.
-SCAN_SQL = rf"""
-WITH texts AS (SELECT row_number() OVER () AS rid, doc_id,
-                      regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
-placed AS (SELECT rid, doc_id, words, unnest(range(0, len(words) - 4)) AS pos FROM texts WHERE len(words) >= 5),
-shingled AS (SELECT rid, doc_id, pos, array_to_string(words[pos + 1:pos + 5], ' ') AS shingle FROM placed),
-templates(template, license, text) AS (VALUES {_template_sql()}),
-known AS (SELECT template, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM templates),
-signs AS (SELECT DISTINCT template, license, array_to_string(words[pos + 1:pos + 5], ' ') AS shingle
-          FROM (SELECT *, unnest(range(0, len(words) - 4)) AS pos FROM known WHERE len(words) >= 5)),
-sizes AS (SELECT template, count(*) AS size, pow(2, ceil(log2(count(*))))::INTEGER AS class
-          FROM signs GROUP BY template),
-hits AS (SELECT rid, doc_id, pos, template, license, shingle, size, class, greatest(class // 2, 1) AS step
-         FROM shingled JOIN signs USING (shingle) JOIN sizes USING (template)),
-windowed AS (SELECT *, unnest(range(greatest(0, pos - class) // step, pos // step + 1)) * step AS start
-             FROM hits),
-parts AS (SELECT doc_id, license, count(DISTINCT shingle) / any_value(size) AS containment
-          FROM windowed WHERE start <= pos AND pos < start + class + step
-          GROUP BY rid, doc_id, license, template, start)
-SELECT doc_id, license, max(containment) AS containment FROM parts
-WHERE containment >= 0.8 GROUP BY doc_id, license
-"""
-
-#: The scan for all templates in SQL: a template shorter than a shingle is one shingle, and a stretch
+#: The scan in SQL: a template shorter than a shingle is one shingle, and a stretch
 #: may begin at any place.
-WHOLE_SQL = rf"""
+SCAN_SQL = rf"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id,
                       regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
 templates(template, license, text) AS (VALUES {_template_sql(TEMPLATES + NOTICES)}),

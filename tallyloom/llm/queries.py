@@ -56,12 +56,6 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The templates of five words or more, as its SQL has them."""
-    return licenses.scan(table(spark, folder, "documents"), licenses.TEMPLATES)
-
-
-def op8_whole_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """All templates, short notices and SPDX lines among them."""
     return licenses.scan(table(spark, folder, "documents"))
 
 
@@ -97,7 +91,6 @@ QUERIES: dict[str, Query] = {
     "op6_embedding_duplicates": op6_embedding_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_license_scan": op8_license_scan,
-    "op8_whole_license_scan": op8_whole_license_scan,
     "op9_line_rules": op9_line_rules,
     "op10_sentencepiece_round_trip": op10_sentencepiece_round_trip,
     "op11_bootstrapped_pii": op11_bootstrapped_pii,
@@ -111,7 +104,6 @@ ORACLE: dict[str, str] = {
     "op4_chat_examples": chat.DIGESTS_SQL,
     "op6_embedding_duplicates": vectors.DUPLICATES_SQL,
     "op8_license_scan": licenses.SCAN_SQL,
-    "op8_whole_license_scan": licenses.WHOLE_SQL,
     "op9_line_rules": linerules.VERDICTS_SQL,
     "op13_centroids": centroids.CLUSTERS_SQL,
 }
