@@ -231,7 +231,6 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     repeated rows count as often as they come, an empty table gives an empty result, other columns
     are not looked at.
     """
-    spark = vectors.sparkSession
     whole = stage(whole_vectors(vectors), "whole-vectors")
     fits = fit(whole, components)
     errors = identity_errors(whole, fits)
@@ -247,29 +246,26 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
                     rest = rest.astype(np.int64)
                 else:
                     z = z.astype(object)
+                said = [(float(v / known.trace) if known.trace > 0 else None) for v in known.values]
                 yield pd.DataFrame({
-                    "vec_id": batch.loc[index, "vec_id"].array, "size": size,
+                    "vec_id": batch.loc[index, "vec_id"].array, "n": known.n,
                     "square": [Decimal(int(v)) for v in (z * z).sum(axis=1)],
                     "cross": [Decimal(int(v)) for v in z @ rest],
-                    "whitened": list(w)})
-
-    told = [(size, k + 1, known.n, Decimal(sum(r * r for r in known.rest)),
-             float(v / known.trace) if known.trace > 0 else None,
-             None if np.isnan(errors[size]) else errors[size])
-            for size, known in fits.items() for k, v in enumerate(known.values)]
-    table = spark.createDataFrame(
-        told, "size int, component int, n long, rests decimal(38,0), explained double,"
-              " identity_error double")
+                    "rests": Decimal(sum(r * r for r in known.rest)), "whitened": list(w),
+                    "explained": [said] * len(w), "identity_error": errors[size]})
+
     n = F.col("n").cast("decimal(19,0)")
     deviation = n * (n * F.col("square") - 2 * F.col("cross")) + F.col("rests")
     # The id is text on its way through Python, which would make doubles of longs beside nulls.
-    rows = (whole.withColumn("vec_id", F.col("vec_id").cast("string")).mapInPandas(
-        project, "vec_id string, size int, square decimal(38,0), cross decimal(38,0),"
-                 " whitened array<double>")
-        .select(F.col("vec_id").cast("long").alias("vec_id"), "size", "square", "cross",
-                F.posexplode("whitened").alias("place", "whitened"))
-        .withColumn("component", F.col("place") + 1))
-    return rows.join(table, ["size", "component"]).select(
-        "vec_id", "component", "n", deviation.cast("decimal(38,0)").alias("deviation"),
-        F.nanvl("whitened", F.lit(None).cast("double")).alias("whitened"), "explained",
-        "identity_error")
+    rows = whole.withColumn("vec_id", F.col("vec_id").cast("string")).mapInPandas(
+        project, "vec_id string, n long, square decimal(38,0), cross decimal(38,0),"
+                 " rests decimal(38,0), whitened array<double>, explained array<double>,"
+                 " identity_error double")
+    missing = F.lit(None).cast("double")
+    return (rows.select(F.col("vec_id").cast("long").alias("vec_id"), "n",
+                        deviation.cast("decimal(38,0)").alias("deviation"), "identity_error",
+                        F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "found"))
+            .select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation",
+                    F.nanvl("found.whitened", missing).alias("whitened"),
+                    F.nanvl("found.explained", missing).alias("explained"),
+                    F.nanvl("identity_error", missing).alias("identity_error")))
