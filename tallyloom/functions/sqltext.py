@@ -2,12 +2,13 @@
 
 Comments are removed first and literals masked next, so that what stands inside a literal
 is never taken for syntax.
-Known limits: raw and triple-quoted strings are not recognised as such, and joins written
-with a comma are not counted.
+Known limit: raw and triple-quoted strings are not recognised as such.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +21,6 @@ NUMBER = (r"(?:\b0[xX][0-9a-fA-F]+|\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 SPACES = r"\s+"
 AROUND_SIGNS = r" *([(),=<>+*/;-]) *"
 TAIL = r"[; ]+$"
-TABLE_NAME = r"[\w-]+(?:\.[\w-]+)+"
 DATE_TEXT = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 # The aggregate functions a signature lists.
@@ -37,9 +37,10 @@ def _tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, TAIL, ""))
 
 
-def canonical(sql: Column) -> Column:
-    """Comment-free, lower-case, evenly spaced text with its literals kept."""
-    return _tidy(strip_comments(sql))
+def canonical(sql: Column, stripped: bool = False) -> Column:
+    """Comment-free, lower-case, evenly spaced text with its literals kept; ``stripped`` says that
+    comments are gone already."""
+    return _tidy(sql if stripped else strip_comments(sql))
 
 
 def mask(canonical_text: Column) -> Column:
@@ -91,168 +92,226 @@ def raw_complexity(joins: Column, ctes: Column, windows: Column, subqueries: Col
 
 
 # ---- signature parts ----------------------------------------------------------------
-
+#
+# A text is cut into marks (brackets, clause words, table heads, calls, dates) by one pattern, and the
+# marks are folded from left to right over a stack of scopes.
+
+_PART = r"[\w-]+"
+_NAME = rf"(?!(?:{'|'.join(AGGREGATES)})\(){_PART}(?:\.{_PART})*+"
+_NO_ALIAS = (r"(?!(?:as|on|using|where|group|order|having|limit|qualify|window|join|left|right|full|inner"
+             r"|cross|natural|union|intersect|except|select|with|set|when|then|for|tablesample|pivot"
+             r"|unpivot|values|and|or|offset|fetch|lateral|from|is|in|not|between|like)\b)")
+_ALIAS = rf"(?: ?as\b)? ?({_NO_ALIAS}[a-z_]\w*+)"
+_DAY = rf"'({DATE_TEXT})'[?]"
+_DATE = rf"(?:(?:date |timestamp |datetime )?{_DAY}|(?:date|timestamp|datetime|cast)\({_DAY}(?: as \w+)?\))"
 _JOIN = r"(?:(?:left|right|full|inner|cross)(?: outer)? )?join"
+_SET = (r"(?:union|intersect|except)(?: all| distinct)?(?= (?:select|with|values|from|table)\b"
+        r"|\(+(?:select|with|values|from|table)\b)")
+_CLAUSE = (r"where|group by|having|qualify|window(?= \w+ as\()|order by|limit (?:[?]|@\w+|[0-9]+)"
+           r"|select|with(?! offset| ordinality| ties)")
+# What a mark is made of: groups of the alternatives below, in the order of _FIELDS.
 _MARK = "|".join([
-    rf"(?:from|{_JOIN}) ?(?:[\w.-]++|\(|@)",
-    r"[\w-]++ as\((?:select|with)\b",
-    r"(?:union|intersect|except)(?: all| distinct)?\b",
-    rf"(?:{'|'.join(AGGREGATES)})\((?:distinct\b)?",
-    r"limit (?:[?]|@\w+)", r"order by\b",
+    rf"(>=|<=|\bbetween ){_DATE}(?: ?and {_DATE})?",
+    r"\bdistinct from\b",
+    # Table heads: FROM, JOIN or a comma, a name with its alias or the bracket of its arguments.
+    rf"(?:(\bfrom|\b{_JOIN})\b|(,))(?: ?lateral\b)?(?: ?({_NO_ALIAS}{_NAME})(?:(\()|{_ALIAS})?)?",
+    rf"\b((?:{'|'.join(AGGREGATES)})\((?:distinct\b)?)",
+    rf"(\()(?:(select|with)\b|({_NO_ALIAS}{_NAME})(?!\()(?:{_ALIAS})?)?",
+    rf"(\))(?:{_ALIAS})?",
+    rf"\b({_SET})|\b({_CLAUSE})",
 ])
+_FIELDS = {"compared": "$1", "first": "$2$3", "last": "$4$5", "head": "$6$7", "name": "$8$14", "call": "$9",
+           "alias": "$10$15$17", "aggregate": "$11", "bracket": "$12$16", "query": "$13", "set": "$18",
+           "clause": "$19"}
+_OPENS, _ENDS = "\x01", "\x02"
 
 
-def _all(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def dated(canonical_text: Column) -> Column:
+    """Canonical text with literals masked, dates beside their masks: what else a literal holds is
+    never read."""
+    return F.regexp_replace(canonical_text, f"('{DATE_TEXT}')|{QUOTED}", "$1?")
 
 
-def _without_catalog(name: Column) -> Column:
-    """Last two parts of a dotted name."""
-    return F.substring_index(name, ".", -2)
+def shape_of_dated(dated_text: Column) -> Column:
+    """:func:`mask` of the text that :func:`dated` was made from."""
+    return mask(F.regexp_replace(dated_text, rf"'{DATE_TEXT}'[?]", "?"))
 
 
-def marks(shape: Column) -> Column:
-    """The pieces of a shape that signatures are made of, found in one pass: table heads
-    (``from t``, ``left join t``), CTE heads, set operators, aggregate calls, LIMIT, ORDER BY.
+def marks(dated_text: Column) -> Column:
+    """The pieces of a text that its signature is made of, found in one pass, as structs of _FIELDS.
 
-    The functions below pick from this array; give it a column of its own.
+    The functions below read this array; give it a column of its own.
     """
-    plain = F.translate(shape, "`", "")
-    # A FROM that names no table: inside a call such as extract, and in a comparison.
-    plain = F.regexp_replace(plain, r"\b((?:extract|trim|substring|overlay)\([^()]*?)\bfrom\b", "$1of")
-    plain = F.regexp_replace(plain, r"\bdistinct from\b", "distinct of")
-    return _all(plain, rf"\b({_MARK})", 1)
+    plain = F.translate(dated_text, "`" + _OPENS + _ENDS, "")
+    cut = F.regexp_replace(plain, _MARK, _OPENS + "".join(g + _ENDS for g in _FIELDS.values()))
+    pieces = F.slice(F.split(cut, _OPENS), 2, 1 << 30)
+    return F.transform(pieces, lambda piece: _let(F.split(piece, _ENDS), lambda parts: F.struct(
+        *[F.get(parts, k).alias(name) for k, name in enumerate(_FIELDS)])))
 
 
-def _is_cte(mark: Column) -> Column:
-    return mark.endswith(" as(select") | mark.endswith(" as(with")
+_FRAME = "struct<kind:string,clause:string,last:string,live:boolean,names:array<string>>"
+_TEXTS, _WINDOW = "array<string>", "struct<low:string,high:string>"
 
 
-def cte_names(found: Column) -> Column:
-    return F.transform(F.filter(found, _is_cte), lambda m: F.substring_index(m, " as(", 1))
+def _all(text: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def table_heads(found: Column) -> Column:
-    return F.filter(found, lambda m: ~_is_cte(m) & (m.startswith("from") | m.contains("join")))
+def _with(value: Column | None, fields: tuple[str, ...], changes: dict[str, Column]) -> Column:
+    """A struct with some of its fields changed."""
+    return F.struct(*[(changes[name] if name in changes else value[name]).alias(name) for name in fields])
 
 
-def relations(heads: Column, ctes: Column, keep_catalog: bool = False) -> Column:
-    """(name, kind) per head: name empty unless a qualified table that is no CTE, kind null
-    for FROM, else the join type.  ``heads`` and ``ctes`` should be columns already computed."""
-    def relation(head: Column) -> Column:
-        name = F.regexp_extract(head, rf"(?:from|join) ({TABLE_NAME})$", 1)
-        name = name if keep_catalog else _without_catalog(name)
-        is_cte = F.array_contains(ctes, F.substring_index(name, ".", -1))
-        word = F.regexp_extract(head, r"^(left|right|full|cross) ", 1)
-        kind = F.when(~head.startswith("from"), F.when(word == "", "inner").otherwise(word))
-        return F.struct(F.when(is_cte, "").otherwise(name).alias("name"), kind.alias("kind"))
-    return F.transform(heads, relation)
+def _frame(value: Column | None, **changes: Column) -> Column:
+    return _with(value, ("kind", "clause", "last", "live", "names"), changes)
 
 
-def leaf_tables(rels: Column) -> Column:
-    """Sorted distinct qualified names of :func:`relations`."""
-    names = F.filter(F.transform(rels, lambda r: r["name"]), lambda n: n != "")
-    return F.sort_array(F.array_distinct(names))
+def _state(value: Column | None, **changes: Column) -> Column:
+    return _with(value, ("below", "top", "expects", "tables", "edges", "lows", "highs", "windows", "whole"),
+                 {"expects": F.lit(False)} | changes)
 
 
-def join_edges(rels: Column) -> Column:
-    """Sorted distinct ``a|b|type`` for each join whose both neighbours are base tables.
+def scopes(found: Column, keep_catalog: bool = False) -> Column:
+    """(tables, edges, windows, whole) from a fold of :func:`marks` over a stack of scopes.
 
-    A join is paired with the table named right before it; sides that are CTEs or derived
-    tables give no edge.  ``rels`` should be those of one query block (:func:`blocks`).
+    A scope is a bracket: a query, a group of joins, the arguments of a table function, or anything
+    else; it knows its clause, the table named last, its aliases, and whether it is part of the final
+    result (``live``).  tables: qualified names after FROM, JOIN or a comma of a FROM clause; a name
+    whose first part is an alias of its scopes is a path into a row, and a name without a dot is a CTE
+    or unknown.  edges: ``a|b|type`` of a table and the one named right before it in the same FROM, if
+    both are tables.  windows: the lowest lower and highest upper date of the WHERE of each final
+    SELECT.  whole: whether all brackets match.
     """
-    def edge(rel: Column, position: Column) -> Column:
-        # Positions count from 0 and element_at from 1: this is the neighbour before.
-        before = F.try_element_at(rels, F.greatest(position, F.lit(1)))["name"]
-        text = F.concat_ws("|", F.least(before, rel["name"]), F.greatest(before, rel["name"]),
-                           rel["kind"])
-        return F.when((position > 0) & rel["kind"].isNotNull() & (rel["name"] != "")
-                      & (before != ""), text)
-    return F.sort_array(F.array_distinct(F.array_compact(F.transform(rels, edge))))
+    none, text = F.array().cast(_TEXTS), F.lit("")
+    start = _state(
+        None, below=F.array().cast(f"array<{_FRAME}>"),
+        top=_frame(None, kind=F.lit("query"), clause=F.lit("start"), last=text, live=F.lit(True), names=none),
+        tables=none, edges=none, lows=none, highs=none, windows=F.array().cast(f"array<{_WINDOW}>"),
+        whole=F.lit(True))
+
+    def table(acc: Column, m: Column) -> Column:
+        """The qualified name of a mark, empty if it is none or a path."""
+        first = F.substring_index(m["name"], ".", 1)
+        path = F.array_contains(acc["top"]["names"], first) | F.exists(
+            acc["below"], lambda f: F.array_contains(f["names"], first))
+        return F.when((m["call"] == "") & m["name"].contains(".") & ~path,
+                      m["name"] if keep_catalog else F.substring_index(m["name"], ".", -2)).otherwise("")
+
+    def alias(m: Column) -> Column:
+        return F.when(m["alias"] != "", m["alias"]).otherwise(F.substring_index(m["name"], ".", -1))
+
+    def more(texts: Column, one: Column) -> Column:
+        return F.when(one != "", F.concat(texts, F.array(one))).otherwise(texts)
+
+    def inner(top: Column) -> Column:
+        """The clause of a bracket that is no query: conditions go on in it."""
+        return F.when(top["clause"].isin("where", "start"), top["clause"]).otherwise("")
+
+    def headed(acc: Column, m: Column, name: Column) -> Column:
+        top = acc["top"]
+        word = F.substring_index(m["head"], " ", 1)
+        kind = F.when(word.isin("left", "right", "full", "cross"), word).otherwise("inner")
+        edge = F.when((m["head"] != "from") & (name != "") & (top["last"] != ""), F.concat_ws(
+            "|", F.least(top["last"], name), F.greatest(top["last"], name), kind)).otherwise("")
+        here = _frame(top, clause=F.lit("from"), last=name, names=F.when(
+            m["call"] == "", more(top["names"], alias(m))).otherwise(top["names"]))
+        seen = {"tables": more(acc["tables"], name), "edges": more(acc["edges"], edge)}
+        called = _state(acc, below=F.concat(acc["below"], F.array(here)), top=_frame(
+            top, kind=F.lit("call"), clause=text, last=text, names=none), **seen)
+        return F.when(m["call"] != "", called).otherwise(
+            _state(acc, top=here, expects=m["name"] == "", **seen))
+
+    def opened(acc: Column, m: Column) -> Column:
+        top, query = acc["top"], m["query"] != ""
+        new = F.when(query, _frame(top, kind=F.lit("query"), clause=F.lit("select"), last=text,
+                                   live=top["live"] & (top["clause"] == "start"), names=none)).otherwise(
+            _frame(top, kind=F.lit("other"), clause=inner(top), last=text, names=none))
+        # A derived table is no table that a join could be told of.
+        here = F.when(acc["expects"], _frame(top, last=text)).otherwise(top)
+        return _state(acc, below=F.concat(acc["below"], F.array(here)), top=new)
+
+    def grouped(acc: Column, m: Column, name: Column) -> Column:
+        group = _frame(acc["top"], kind=F.lit("group"), clause=F.lit("from"), last=name, live=F.lit(False),
+                       names=more(none, alias(m)))
+        return _state(acc, below=F.concat(acc["below"], F.array(acc["top"])), top=group,
+                      expects=m["name"] == "", tables=more(acc["tables"], name))
+
+    def closed(acc: Column, m: Column, under: Column) -> Column:
+        top, group = acc["top"], acc["top"]["kind"] == "group"
+        relation = (top["kind"] != "other") & (under["clause"] == "from")
+        # The aliases inside a group of joins are seen outside of it.
+        names = F.concat(under["names"], F.when(group, top["names"]).otherwise(none))
+        back = _frame(under, last=F.when(group, top["last"]).otherwise(under["last"]),
+                      names=F.when(relation, more(names, m["alias"])).otherwise(under["names"]))
+        return _state(acc, below=F.slice(acc["below"], 1, F.size(acc["below"]) - 1), top=back)
+
+    def dates(acc: Column, m: Column) -> Column:
+        to, from_ = m["compared"] == "<=", m["compared"] == ">="
+        last = F.when(m["last"] != "", m["last"]).when(to, m["first"]).otherwise("")
+        return _state(acc, lows=F.when(to, acc["lows"]).otherwise(more(acc["lows"], m["first"])),
+                      highs=F.when(from_, acc["highs"]).otherwise(more(acc["highs"], last)))
+
+    def parted(acc: Column) -> Column:
+        top = acc["top"]
+        here = _frame(top, clause=F.lit("start"), last=text)
+        return F.when(top["live"], _state(acc, top=here, lows=none, highs=none, windows=F.concat(
+            acc["windows"], F.array(_window(acc))))).otherwise(_state(acc, top=here))
+
+    def step(acc: Column, m: Column) -> Column:
+        top = acc["top"]
+        is_head = (m["head"] != "") & F.when(m["head"] == "from", top["kind"] == "query").otherwise(
+            top["clause"] == "from")
+        opens = (m["bracket"] == "(") | (m["aggregate"] != "") | (m["call"] != "")
+        return (F.when(is_head, _let(table(acc, m), lambda name: headed(acc, m, name)))
+                 .when(opens, F.when(acc["expects"] & (m["bracket"] == "(") & (m["query"] == ""), _let(
+                     table(acc, m), lambda name: grouped(acc, m, name))).otherwise(opened(acc, m)))
+                 .when(m["bracket"] == ")", F.when(F.size(acc["below"]) > 0, _let(
+                     F.element_at(acc["below"], -1), lambda under: closed(acc, m, under)))
+                       .otherwise(_state(acc, whole=F.lit(False))))
+                 .when(m["clause"] != "", _state(acc, top=_frame(top, clause=m["clause"])))
+                 .when((m["compared"] != "") & top["live"] & (top["clause"] == "where"), dates(acc, m))
+                 .when(m["set"] != "", parted(acc))
+                 .otherwise(acc))
+
+    return F.aggregate(found, start, step, lambda acc: F.struct(
+        F.sort_array(F.array_distinct(acc["tables"])).alias("tables"),
+        F.sort_array(F.array_distinct(acc["edges"])).alias("edges"),
+        F.concat(acc["windows"], F.array(_window(acc))).alias("windows"),
+        (acc["whole"] & (F.size(acc["below"]) == 0)).alias("whole")))
+
+
+def _window(acc: Column) -> Column:
+    return F.struct(F.array_min(acc["lows"]).alias("low"), F.array_max(acc["highs"]).alias("high"))
+
+
+def _told(found: Column, field: str) -> Column:
+    """What the marks hold in one field, where they hold something."""
+    return F.filter(found[field], lambda v: v != "")
 
 
 def aggregate_functions(found: Column) -> Column:
     """Sorted distinct ``name`` or ``name distinct`` of the aggregates called."""
-    calls = F.filter(found, lambda m: F.substring_index(m, "(", 1).isin(*AGGREGATES))
     return F.sort_array(F.array_distinct(F.transform(
-        calls, lambda m: F.rtrim(F.translate(m, "(", " ")))))
+        _told(found, "aggregate"), lambda m: F.rtrim(F.translate(m, "(", " ")))))
 
 
 def set_operators(found: Column) -> Column:
     """Sorted set operators, repeats kept, in upper case."""
-    first = F.filter(found, lambda m: F.substring_index(m, " ", 1).isin("union", "intersect", "except")
-                     & ~_is_cte(m))
-    return F.sort_array(F.transform(first, lambda m: F.upper(F.replace(
+    return F.sort_array(F.transform(_told(found, "set"), lambda m: F.upper(F.replace(
         m, F.lit(" distinct"), F.lit("")))))
 
 
 def has_limit(found: Column) -> Column:
-    return F.exists(found, lambda m: m.startswith("limit "))
+    return F.exists(found["clause"], lambda word: word.startswith("limit "))
 
 
 def has_order_by(found: Column) -> Column:
-    return F.array_contains(found, "order by")
-
-
-_OPENED, _CLOSED = "\u2039", "\u203a"
-
-
-def _depth(text: Column) -> Column:
-    """Deepest nesting of brackets."""
-    steps = F.transform(_all(text, r"[()]", 0), lambda b: F.when(b == "(", 1).otherwise(-1))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.aggregate(steps, start, lambda acc, step: F.struct(
-        (acc["now"] + step).alias("now"),
-        F.greatest(acc["most"], acc["now"] + step).alias("most")), lambda acc: acc["most"])
-
-
-def blocks(text: Column) -> Column:
-    """The query blocks of a text: sub-query and CTE bodies from the inside out, the outer query
-    last, each with ``@`` for the blocks cut out of it.
-
-    In every round the innermost brackets go: those of a sub-query into a block, others into
-    marks that are brackets again at the end.  There are as many rounds as brackets are nested.
-    ``text`` should be a column already computed: it is read twice.
-    """
-    def plain(part: Column) -> Column:
-        return F.translate(part, _OPENED + _CLOSED, "()")
-
-    def step(acc: Column, _: Column) -> Column:
-        inner = _all(acc["text"], r"\(((?:select|with)\b[^()]*+)\)", 1)
-        cut = F.regexp_replace(acc["text"], r"\((?:select|with)\b[^()]*+\)", " @ ")
-        return F.struct(
-            F.regexp_replace(cut, r"\(([^()]*+)\)", f"{_OPENED}$1{_CLOSED}").alias("text"),
-            F.concat(acc["found"], inner).alias("found"))
-
-    depth = _depth(text)
-    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))
-    return F.aggregate(rounds, start, step, lambda acc: F.transform(
-        F.concat(acc["found"], F.array(acc["text"])), plain))
-
-
-_WHERE = r"\bwhere\b(.*)$"
-_AFTER_WHERE = r"\b(?:group by|having|qualify|window|order by|limit)\b.*$"
-_DATE = rf"(?:date|timestamp|cast)? ?\(?'{DATE_TEXT}'"
-_DATE_VALUE = rf"(?:date|timestamp|cast)? ?\(?'({DATE_TEXT})'"
-_LOW = rf"(?:>=|\bbetween) ?{_DATE_VALUE}"
-_HIGH = rf"(?:<=|\bbetween ?{_DATE}(?: as date)?\)? ?and) ?{_DATE_VALUE}"
-
-
-def branch_windows(canonical_text: Column) -> Column:
-    """(low, high) per final SELECT: lowest literal lower bound, highest upper bound.
-
-    Sub-queries and CTE bodies are cut out first; brackets that do not match leave the result
-    undecided.
-    """
-    outer = F.element_at(blocks(canonical_text), -1)
-    outer = F.when(~outer.rlike(r"\((?:select|with)\b"), outer)
-    branches = F.split(outer, r"\bunion(?: all| distinct)?\b")
-    conditions = F.transform(branches, lambda b: F.regexp_replace(
-        F.regexp_extract(b, _WHERE, 1), _AFTER_WHERE, ""))
-    return F.transform(conditions, lambda where: F.struct(
-        F.array_min(_all(where, _LOW, 1)).alias("low"),
-        F.array_max(_all(where, _HIGH, 1)).alias("high")))
+    return F.array_contains(found["clause"], "order by")
 
 
 def intersect_windows(windows: Column) -> Column:
@@ -270,7 +329,7 @@ def is_date_text(text: Column) -> Column:
     return F.coalesce(text.rlike(rf"^{DATE_TEXT}$"), F.lit(False))
 
 
-def tokens(sql: Column) -> Column:
+def tokens(sql: Column, stripped: bool = False) -> Column:
     """Words, literals and signs of comment-free text; only literals keep their case."""
-    found = _all(strip_comments(sql), rf"({QUOTED}|[\w.]+|[^\s\w])", 1)
-    return F.transform(found, lambda t: F.when(t.rlike("^['\"]"), t).otherwise(F.lower(t)))
+    found = _all(sql if stripped else strip_comments(sql), rf"({QUOTED}|[\w.]+|[^\s\w])", 1)
+    return F.transform(found, lambda t: F.when(t.startswith("'") | t.startswith('"'), t).otherwise(F.lower(t)))

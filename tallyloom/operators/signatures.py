@@ -13,42 +13,37 @@ PARTS = ["leaf_tables", "join_edges", "agg_funcs", "set_ops", "has_limit", "has_
 
 
 def with_date_window(queries: DataFrame, sql: str = "query") -> DataFrame:
-    """Add ``date_window``: literal date bounds of the final result, intersected over UNION."""
-    return (queries.withColumn("_text", Q.canonical(F.col(sql)))
-            .withColumn("_windows", Q.branch_windows(F.col("_text")))
-            .withColumn("date_window", Q.intersect_windows(F.col("_windows")))
-            .drop("_windows", "_text"))
+    """Add ``date_window``: literal date bounds of the final result, intersected over UNION.
+    Brackets that do not match leave it null."""
+    marks = queries.withColumn("_marks", Q.marks(Q.dated(Q.canonical(F.col(sql)))))
+    read = marks.withColumn("_read", Q.scopes(F.col("_marks")))
+    return read.select(*queries.columns, _decided(F.col("_read")).alias("date_window"))
+
+
+def _decided(read: Column) -> Column:
+    return F.when(read["whole"], Q.intersect_windows(read["windows"]))
 
 
 def with_signature(queries: DataFrame, sql: str = "query", shape: str | None = None,
-                   keep_catalog: bool = False) -> DataFrame:
+                   keep_catalog: bool = False, stripped: bool = False) -> DataFrame:
     """Add the seven signature parts, each text array sorted; with ``shape``, also the
-    masked text under that name.
+    masked text under that name.  ``stripped``: the texts have no comments.
 
     Shared parts are columns of their own: Spark does not deduplicate expressions inside
     lambdas.
     """
-    texts = queries.withColumn("_text", Q.canonical(F.col(sql)))
-    texts = texts.withColumn("_shape", Q.mask(F.col("_text")))
-    parts = texts.select("*", Q.marks(F.col("_shape")).alias("_marks"),
-                         F.transform(Q.blocks(F.col("_shape")), Q.marks).alias("_blocks"),
-                         Q.branch_windows(F.col("_text")).alias("_windows"))
-    marks = F.col("_marks")
-    parts = parts.select("*", Q.table_heads(marks).alias("_heads"), Q.cte_names(marks).alias("_ctes"),
-                         F.transform("_blocks", Q.table_heads).alias("_block_heads"))
-    parts = parts.select("*", Q.relations(F.col("_heads"), F.col("_ctes"), keep_catalog).alias("_rels"),
-                         F.transform("_block_heads", lambda heads: Q.relations(
-                             heads, F.col("_ctes"), keep_catalog)).alias("_block_rels"))
-    edges = F.flatten(F.transform("_block_rels", Q.join_edges))
-    return parts.select(
-        *queries.columns, *([F.col("_shape").alias(shape)] if shape else []),
-        Q.leaf_tables(F.col("_rels")).alias("leaf_tables"),
-        F.sort_array(F.array_distinct(edges)).alias("join_edges"),
+    texts = queries.withColumn("_text", Q.dated(Q.canonical(F.col(sql), stripped)))
+    parts = texts.withColumn("_marks", Q.marks(F.col("_text")))
+    read = parts.withColumn("_read", Q.scopes(F.col("_marks"), keep_catalog))
+    marks, found = F.col("_marks"), F.col("_read")
+    return read.select(
+        *queries.columns, *([Q.shape_of_dated(F.col("_text")).alias(shape)] if shape else []),
+        found["tables"].alias("leaf_tables"), found["edges"].alias("join_edges"),
         Q.aggregate_functions(marks).alias("agg_funcs"),
         Q.set_operators(marks).alias("set_ops"),
         Q.has_limit(marks).alias("has_limit"),
         Q.has_order_by(marks).alias("has_order_by"),
-        Q.intersect_windows(F.col("_windows")).alias("date_window"))
+        _decided(found).alias("date_window"))
 
 
 def _shown(part: Column, is_array: bool) -> Column:
@@ -78,14 +73,15 @@ def compare_signatures(left: DataFrame, right: DataFrame, key: str) -> DataFrame
 def _numbered(tokens: Column) -> Column:
     """Tokens in order, each with the number of its equals before it: no item is repeated."""
     # The sorted array is bound once, since lambdas compute what they refer to again.
-    return F.get(F.transform(F.array(F.array_sort(tokens)), lambda words: F.transform(
+    return F.get(F.transform(F.array(F.sort_array(tokens)), lambda words: F.transform(
         words, lambda w, i: F.concat_ws(" ", i - F.array_position(words, w), w))), F.lit(0))
 
 
-def token_changes(pairs: DataFrame, left: str, right: str) -> DataFrame:
+def token_changes(pairs: DataFrame, left: str, right: str, stripped: bool = False) -> DataFrame:
     """``pairs`` with the token comparison of two texts: same sequence, and removed and added
     counts of the multiset difference.  All of it is computed inside the row."""
-    words = pairs.select("*", Q.tokens(F.col(left)).alias("_old"), Q.tokens(F.col(right)).alias("_new"))
+    words = pairs.select("*", Q.tokens(F.col(left), stripped).alias("_old"),
+                         Q.tokens(F.col(right), stripped).alias("_new"))
     items = words.select("*", _numbered(F.col("_old")).alias("_old_items"),
                          _numbered(F.col("_new")).alias("_new_items"))
     return items.select(
@@ -99,10 +95,12 @@ def diff_pairs(pairs: DataFrame, key: str, left: str = "left_query",
     """Compare two texts per row: same text once comments, spacing and case are evened out,
     same shape, same signature, changed signature parts, and token-level change counts."""
     # Both signatures are columns of the same row; no join is needed.
-    pair = with_signature(token_changes(pairs, left, right), left, "_left_shape")
+    plain = pairs.select(key, Q.strip_comments(F.col(left)).alias("_left"),
+                         Q.strip_comments(F.col(right)).alias("_right"))
+    pair = with_signature(token_changes(plain, "_left", "_right", True), "_left", "_left_shape", stripped=True)
     for part in PARTS:
         pair = pair.withColumnRenamed(part, f"golden_{part}")
-    pair = with_signature(pair, right, "_right_shape")
+    pair = with_signature(pair, "_right", "_right_shape", stripped=True)
     changed = F.array_compact(F.array(*[
         F.when(~F.col(f"golden_{part}").eqNullSafe(F.col(part)), F.lit(part)) for part in PARTS]))
     return (pair.select(

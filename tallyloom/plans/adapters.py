@@ -20,6 +20,8 @@ CENTS = "CAST(CAST(FLOOR(value * 100) AS BIGINT) AS STRING)"
 CENTS_UP = "CAST(CAST(FLOOR(value * 100) AS BIGINT) + 10 AS STRING)"
 SHARD = "CAST(user_id % 4 AS STRING)"
 DIM = "CAST(user_id % 2 AS STRING)"
+# A CTE with the name of a table.
+CTE = f"'dim_' || {DIM}"
 LOW = "'2024-01-0' || CAST(1 + user_id % 5 AS STRING)"
 HIGH = "'2024-01-1' || CAST(user_id % 9 AS STRING)"
 HIGH_OLD = "'2024-01-0' || CAST(3 + user_id % 4 AS STRING)"
@@ -28,19 +30,20 @@ LINE = "chr(10)"
 
 QUERY_TEXT = f"""CASE event_type
 WHEN 'click' THEN 'SELECT user_id, note -- pick ' || {CENTS} || {LINE} || 'FROM `p`.d.t' || {SHARD}
-  || ' WHERE value > ' || {CENTS} || ' AND note = ' || {QUOTE} || 'it' || {QUOTE} || {QUOTE} || 's -- '
-  || {CENTS} || {QUOTE} || ' LIMIT 10;'
+  || ' WHERE value > ' || {CENTS} || ' AND note = ' || {QUOTE} || 'it' || {QUOTE} || {QUOTE} || 's -- ('
+  || {CENTS} || ' union select' || {QUOTE} || ' LIMIT 10;'
 WHEN 'view' THEN 'select a.id,  COUNT(DISTINCT b.id)' || {LINE} || ' from p.d.t' || {SHARD}
   || ' a LEFT JOIN p.d.dim_' || {DIM} || ' b ON a.id = b.id WHERE a.dt >= DATE ' || {QUOTE} || {LOW}
   || {QUOTE} || ' AND (a.dt <= DATE ' || {QUOTE} || {HIGH} || {QUOTE} || ') GROUP BY a.id ORDER BY 2'
-WHEN 'purchase' THEN 'WITH base AS (SELECT id, SUM(value) AS s FROM p.d.t' || {SHARD}
-  || ' GROUP BY id) SELECT base.id, AVG(s), max(s) FROM base JOIN p.d.dim_' || {DIM}
-  || ' d ON base.id = d.id /* run ' || {CENTS} || ' */ GROUP BY base.id'
+WHEN 'purchase' THEN 'WITH ' || {CTE} || ' AS (SELECT id, SUM(value) AS s FROM p.d.t' || {SHARD}
+  || ' GROUP BY id) SELECT ' || {CTE} || '.id, AVG(s), max(s) FROM ' || {CTE} || ' JOIN p.d.dim_' || {DIM}
+  || ' d ON ' || {CTE} || '.id = d.id /* run ' || {CENTS} || ' */ GROUP BY ' || {CTE} || '.id'
 WHEN 'signup' THEN 'SELECT id, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY value DESC) AS rn FROM p.d.t'
-  || {SHARD} || ' WHERE value BETWEEN ' || {CENTS} || ' AND ' || {CENTS_UP} || ' AND dt BETWEEN '
+  || {SHARD} || ' x, p.d.dim_' || {DIM} || ' y WHERE value BETWEEN ' || {CENTS} || ' AND ' || {CENTS_UP} || ' AND dt BETWEEN '
   || {QUOTE} || {LOW} || {QUOTE} || ' AND ' || {QUOTE} || {HIGH} || {QUOTE}
 ELSE 'SELECT id FROM p.d.t' || {SHARD} || ' WHERE dt >= ' || {QUOTE} || {LOW} || {QUOTE}
-  || ' AND dt <= ' || {QUOTE} || '2024-01-20' || {QUOTE} || {LINE} || 'UNION ALL' || {LINE}
+  || ' AND dt <= ' || {QUOTE} || '2024-01-20' || {QUOTE} || ' AND note = ' || {QUOTE} || 'x union y limit ('
+  || {QUOTE} || {LINE} || 'UNION ALL' || {LINE}
   || 'SELECT id FROM p.d.old_t' || {SHARD} || ' WHERE dt >= ' || {QUOTE} || '2024-01-04' || {QUOTE}
   || ' AND dt <= ' || {QUOTE} || {HIGH_OLD} || {QUOTE} || ' AND value = ' || {CENTS}
 END"""

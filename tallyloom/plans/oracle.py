@@ -58,12 +58,12 @@ CTES = {
     WHEN 'click' THEN 'select user_id,note from `p`.d.t' || k || ' where value>? and note=? limit ?'
     WHEN 'view' THEN 'select a.id,count(distinct b.id)from p.d.t' || k || ' a left join p.d.dim_' || m
       || ' b on a.id=b.id where a.dt>=date ? and(a.dt<=date ?)group by a.id order by ?'
-    WHEN 'purchase' THEN 'with base as(select id,sum(value)as s from p.d.t' || k
+    WHEN 'purchase' THEN replace('with base as(select id,sum(value)as s from p.d.t' || k
       || ' group by id)select base.id,avg(s),max(s)from base join p.d.dim_' || m
-      || ' d on base.id=d.id group by base.id'
+      || ' d on base.id=d.id group by base.id', 'base', 'dim_' || m)
     WHEN 'signup' THEN 'select id,row_number()over(partition by kind order by value desc)as rn from p.d.t'
-      || k || ' where value between ? and ? and dt between ? and ?'
-    ELSE 'select id from p.d.t' || k || ' where dt>=? and dt<=? union all select id from p.d.old_t' || k
+      || k || ' x,p.d.dim_' || m || ' y where value between ? and ? and dt between ? and ?'
+    ELSE 'select id from p.d.t' || k || ' where dt>=? and dt<=? and note=? union all select id from p.d.old_t' || k
       || ' where dt>=? and dt<=? and value=?' END AS shape FROM jobs""",
     "shapes": "SELECT *, sha256(shape) AS query_shape_id FROM shaped",
     "gaps": """SELECT query_shape_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY
@@ -95,18 +95,18 @@ CTES = {
   FROM jobs""",
     "pairs": f"""SELECT *, event_id % 4 AS variant, {OTHER_TEXT} AS other FROM windows""",
     "judged": """SELECT event_id, variant, event_type,
-  (variant = 0 AND event_type = 'click') AS other_literal,  -- its note holds spaces
+  (variant = 0 AND event_type IN ('click', 'error')) AS other_literal,  -- their notes hold spaces
   (variant = 2 AND event_type <> 'click') AS other_table,
   (variant = 3 AND event_type NOT IN ('click', 'purchase')) AS other_dates,
   (variant = 1 AND event_type NOT IN ('view', 'signup')) AS new_order,
   (variant = 1) AS ordered, date_window, low, high_old FROM pairs""",
     "changed": """SELECT *, concat_ws(',', CASE WHEN other_table THEN 'leaf_tables' END,
-    CASE WHEN other_table AND event_type = 'view' THEN 'join_edges' END,
+    CASE WHEN other_table AND event_type IN ('view', 'signup') THEN 'join_edges' END,
     CASE WHEN new_order THEN 'has_order_by' END,
     CASE WHEN other_dates AND date_window IS NOT NULL THEN 'date_window' END) AS parts,
   concat_ws(',', CASE WHEN other_dates AND date_window IS NOT NULL THEN 'date_window' END,
     CASE WHEN new_order THEN 'has_order_by' END,
-    CASE WHEN other_table AND event_type = 'view' THEN 'join_edges' END,
+    CASE WHEN other_table AND event_type IN ('view', 'signup') THEN 'join_edges' END,
     CASE WHEN other_table THEN 'leaf_tables' END) AS sorted_parts,
   CASE WHEN other_dates THEN CASE event_type WHEN 'error' THEN 3 ELSE 1 END
        WHEN other_table OR other_literal THEN 1 ELSE 0 END AS swapped FROM judged""",
@@ -321,9 +321,10 @@ define("candidate_jobs_whole", ("jobs",), """SELECT job_id, user_email, query FR
 define("coverage_reduction", SHAPES, """SELECT count(*) AS jobs, count(DISTINCT shape) AS shapes,
  round((1 - count(DISTINCT shape) / count(*)) * 100, 6) AS reduction_pct FROM shapes""")
 define("query_signatures", ("jobs", "windows"), """SELECT job_id, CASE event_type
-   WHEN 'click' THEN 'd.t' || k WHEN 'signup' THEN 'd.t' || k
+   WHEN 'click' THEN 'd.t' || k
    WHEN 'error' THEN 'd.old_t' || k || ',d.t' || k ELSE 'd.dim_' || m || ',d.t' || k END AS leaf_tables,
- CASE event_type WHEN 'view' THEN 'd.dim_' || m || '|d.t' || k || '|left' ELSE '' END AS join_edges,
+ CASE event_type WHEN 'view' THEN 'd.dim_' || m || '|d.t' || k || '|left'
+   WHEN 'signup' THEN 'd.dim_' || m || '|d.t' || k || '|inner' ELSE '' END AS join_edges,
  CASE event_type WHEN 'view' THEN 'count distinct' WHEN 'purchase' THEN 'avg,max,sum' ELSE '' END AS agg_funcs,
  CASE event_type WHEN 'error' THEN 'UNION ALL' ELSE '' END AS set_ops,
  event_type = 'click' AS has_limit, event_type IN ('view', 'signup') AS has_order_by, date_window

@@ -70,7 +70,8 @@ def test_complexity_all_zero(spark):
 def test_leaf_tables_skip_ctes_and_bare_names(spark):
     row = signature(spark, """with t as (select * from p.d.T1) select * from t
       join `p`.`d`.`t2` on true join x.t y on true join bare on true""")
-    assert row.leaf_tables == ["d.t1", "d.t2"]
+    # x.t is qualified, so it is no reference to the CTE t.
+    assert row.leaf_tables == ["d.t1", "d.t2", "x.t"]
     assert signature(spark, "select 1 from p.d.t", keep_catalog=True).leaf_tables == ["p.d.t"]
 
 
@@ -175,3 +176,72 @@ def test_date_window_below_deep_brackets(spark):
            "and (dt >= date('2024-01-03')) and dt <= '2024-02-01' group by 1")
     df = spark.createDataFrame([(1, sql)], "id int, query string")
     assert G.with_date_window(df).first().date_window == "2024-01-03..2024-02-01"
+
+
+@pytest.mark.parametrize("sql, tables, edges", [
+    # comma joins, with and without aliases, beside other commas
+    ("select a.x, b.y from d.a, d.b where a.k in (1, 2)", ["d.a", "d.b"], ["d.a|d.b|inner"]),
+    ("select f(x, y) from d.a as a, d.b b join d.c on f(a, d.k) = 1, d.e order by x, d.z",
+     ["d.a", "d.b", "d.c", "d.e"], ["d.a|d.b|inner", "d.b|d.c|inner", "d.c|d.e|inner"]),
+    # paths into a row are no tables: of an alias, a table's own name, a CTE, an outer scope
+    ("select * from d.orders o, o.items i, i.parts", ["d.orders"], []),
+    ("select * from d.orders, orders.items left join d.b on true", ["d.b", "d.orders"], []),
+    ("with c as (select 1) select * from c, c.items", [], []),
+    ("select * from d.t t where exists (select 1 from t.tags g, d.u)", ["d.t", "d.u"], []),
+    # a table named like its CTE, inside and outside of it
+    ("with orders as (select * from d.orders) select * from orders join x.orders on true",
+     ["d.orders", "x.orders"], []),
+    # the partner after a sub-query in ON, in FROM, and in a group of joins
+    ("select * from d.a join d.b on a.k in (select k from d.x) join d.c on true",
+     ["d.a", "d.b", "d.c", "d.x"], ["d.a|d.b|inner", "d.b|d.c|inner"]),
+    ("select * from d.a, (select k from d.x, d.y) s left join d.c on true",
+     ["d.a", "d.c", "d.x", "d.y"], ["d.x|d.y|inner"]),
+    ("select * from (d.a right join d.b using (k, l)) full outer join d.c on true",
+     ["d.a", "d.b", "d.c"], ["d.a|d.b|right", "d.b|d.c|full"]),
+    ("select * from ((select 1 from d.a) union all (select 2 from d.b)) u, d.c", ["d.a", "d.b", "d.c"], []),
+    # calls in FROM are no tables; what they are called with is none either
+    ("select * from d.t t, unnest(t.items) i, d.f(x.y) g cross join d.u", ["d.t", "d.u"], []),
+    ("select * from d.t, lateral (select * from d.v, d.w) l, d.u",
+     ["d.t", "d.u", "d.v", "d.w"], ["d.v|d.w|inner"]),
+    # brackets, clause words and names inside literals
+    ("select ')', '(select 1 from x.y', \"from x.z, x.w\" from d.a, d.b where c = ' union select * from q.r '",
+     ["d.a", "d.b"], ["d.a|d.b|inner"]),
+    ("select trim(both ' ' from x.y), a is distinct from b.c from d.a", ["d.a"], []),
+    ("delete from d.t where k in (select k from d.u)", ["d.t", "d.u"], []),
+    ("select count(*) d, max(x) from d.t", ["d.t"], []),
+    ("insert into d.o (a, b) select * except (x, y) from d.t", ["d.t"], []),
+])
+def test_scopes(spark, sql, tables, edges):
+    row = signature(spark, sql)
+    assert (row.leaf_tables, row.join_edges) == (tables, edges)
+
+
+@pytest.mark.parametrize("sql, window", [
+    ("select 1 from d.t where note = 'no limit' and dt >= '2024-01-01' and dt <= '2024-01-31'",
+     "2024-01-01..2024-01-31"),
+    ("select 1 from d.t where note = 'x union y' and dt >= '2024-01-01' and dt <= '2024-01-31'",
+     "2024-01-01..2024-01-31"),
+    ("select 1 from d.t where note = ')) (select' and dt between '2024-01-01' and '2024-01-31'",
+     "2024-01-01..2024-01-31"),
+    ("select 1 from d.t where note = '>= ''2020-01-01''' and dt >= '2024-01-01' and dt <= '2024-01-31'",
+     "2024-01-01..2024-01-31"),
+    ("select 1 from d.t where x = '2020-01-01' and (dt >= '2024-01-01' or (y and dt <= timestamp('2024-01-31')))",
+     "2024-01-01..2024-01-31"),
+    # brackets around the branches
+    ("(select 1 from d.t where dt between '2024-01-01' and '2024-01-20') union all "
+     "(select 2 from d.u where dt between '2024-01-10' and '2024-01-30')", "2024-01-10..2024-01-20"),
+    ("create table d.o as (select 1 from d.t where dt between '2024-01-01' and '2024-01-20')",
+     "2024-01-01..2024-01-20"),
+    ("select 1 from (select * from d.t where dt between '2020-01-01' and '2020-01-20') "
+     "where dt between '2024-01-01' and '2024-01-20' order by dt >= '2010-01-01'", "2024-01-01..2024-01-20"),
+    ("select 1 from d.t join d.u on dt >= '2024-01-01' and dt <= '2024-01-31'", None),
+    ("select 1 from d.t where (dt >= '2024-01-01' and dt <= '2024-01-31'", None),
+    ("select 1 from d.t where dt >= '2024-01-01') and dt <= '2024-01-31'", None),
+])
+def test_date_window_in_its_scope(spark, sql, window):
+    assert signature(spark, sql).date_window == window
+
+
+def test_set_operators_are_not_column_lists(spark):
+    row = signature(spark, "select * except (a, b) from d.t except (select 1) except distinct select 2")
+    assert row.set_ops == ["EXCEPT", "EXCEPT"]
