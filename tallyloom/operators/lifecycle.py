@@ -29,10 +29,21 @@ def state_snapshot(events: DataFrame, fields: list[str], key: str = "task_id") -
     One aggregation for all fields; writes of a hot task are combined on the map side.
     Of equal times the greater value wins.
     """
-    def latest(field: str) -> Column:
-        write = F.when(F.col("field") == field, F.struct("ts", "value"))
-        return F.max(write)["value"].alias(field)
-    return events.groupBy(key).agg(*[latest(f) for f in fields])
+    return shown_snapshot(snapshot_state(events, fields, key), fields, key)
+
+
+def snapshot_state(events: DataFrame, fields: list[str], key: str = "task_id") -> DataFrame:
+    """(time, value) of the last write of each field: what :func:`merged_snapshots` can go on from."""
+    return events.groupBy(key).agg(*[
+        F.max(F.when(F.col("field") == f, F.struct("ts", "value"))).alias(f) for f in fields])
+
+
+def merged_snapshots(states: DataFrame, fields: list[str], key: str = "task_id") -> DataFrame:
+    return states.groupBy(key).agg(*[F.max(f).alias(f) for f in fields])
+
+
+def shown_snapshot(states: DataFrame, fields: list[str], key: str = "task_id") -> DataFrame:
+    return states.select(key, *[F.col(f)["value"].alias(f) for f in fields])
 
 
 def with_durations(snapshot: DataFrame) -> DataFrame:
@@ -173,15 +184,28 @@ def of_task(events: DataFrame, task_id) -> DataFrame:
 
 def progress_fold(events: DataFrame) -> DataFrame:
     """Latest stage, highest progress and completion per task (batch and streaming)."""
+    return shown_progress(progress_state(events))
+
+
+def progress_state(events: DataFrame) -> DataFrame:
+    """Last stage with its time, highest tick and number of ticks per task."""
     stage = F.when(F.col("type") == "stage", F.struct("ts", "stage", "status"))
     tick = F.when(F.col("type") == "tick", F.col("progress"))
-    folded = events.groupBy("task_id").agg(
-        F.max(stage).alias("s"), F.coalesce(F.max(tick), F.lit(0)).alias("progress"),
+    return events.groupBy("task_id").agg(
+        F.max(stage).alias("last"), F.max(tick).alias("progress"),
         F.count_if(F.col("type") == "tick").alias("ticks"))
-    return folded.select("task_id", F.col("s.stage").alias("stage"), F.col("s.status").alias("status"),
-                         "progress", "ticks", (F.col("progress") >= DONE_AT).alias("done"))
 
 
+def merged_progress(states: DataFrame) -> DataFrame:
+    return states.groupBy("task_id").agg(
+        F.max("last").alias("last"), F.max("progress").alias("progress"), F.sum("ticks").alias("ticks"))
+
+
+def shown_progress(states: DataFrame) -> DataFrame:
+    progress = F.coalesce("progress", F.lit(0))
+    return states.select("task_id", F.col("last.stage").alias("stage"), F.col("last.status").alias("status"),
+                         progress.alias("progress"), "ticks", (progress >= DONE_AT).alias("done"))
+
 
 def checked_stages(stages: DataFrame, order: list[str], bucket_seconds: int = 3600) -> DataFrame:
     """Stage rows with the stage before and whether that move is allowed.

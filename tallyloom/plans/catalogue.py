@@ -537,17 +537,23 @@ def _streamed_tables(t, name, project):
 @registered
 def dag_status_stream(t):
     """Outcome of every run, followed as a stream over what has landed."""
-    logs = live_monitor.tail(_streamed_tables(t, "events", A.dag_logs))
-    path = runs.run_now(live_monitor.run_status(logs), runs.append_to, "dag-status")
-    statuses = t.spark.read.schema(live_monitor.STATUS_SCHEMA).parquet(path)
-    return live_monitor.run_outcomes(monitor.state_changes(A.dag_logs(t)), statuses)
+    path = runs.run_now(_streamed_tables(t, "events", A.dag_logs), live_monitor.follow_to, "dag-status")
+    return live_monitor.run_outcomes(monitor.state_changes(A.dag_logs(t)),
+                                     live_monitor.run_statuses(t.spark, path))
+
+
+@registered
+def monitor_summary_stream(t):
+    """Tasks and status of every run, as the monitor's tables have them."""
+    path = runs.run_now(_streamed_tables(t, "events", A.dag_logs), live_monitor.follow_to, "monitor")
+    return live_monitor.summary(t.spark, path)
 
 
 @registered
 def dag_task_states_stream(t):
-    states = live_monitor.task_states(_streamed_tables(t, "events", A.dag_logs))
-    path = runs.run_now(states, runs.update_to, "dag-task-states")
-    return runs.latest_rows(t.spark, path, states.schema, ["dag_id", "task_id"])
+    start = followers.sink_to(live_monitor.follow_runs, look_back=None)
+    path = runs.run_now(_streamed_tables(t, "events", A.dag_logs), start, "dag-task-states")
+    return live_monitor.followed_states(t.spark, path).drop("timestamp")
 
 
 # ---- metrics ------------------------------------------------------------------------
@@ -619,9 +625,9 @@ def task_status_labels(t):
 
 @registered
 def task_snapshot_stream(t):
-    stream = followers.task_snapshot(_streamed_tables(t, "events", A.task_hash_events), HASH_FIELDS)
-    path = runs.run_now(stream, runs.update_to, "task-snapshot")
-    return runs.latest_rows(t.spark, path, stream.schema, ["task_id"])
+    start = followers.sink_to(followers.task_snapshot, fields=HASH_FIELDS, id_type="bigint")
+    path = runs.run_now(_streamed_tables(t, "events", A.task_hash_events), start, "task-snapshot")
+    return followers.snapshot_rows(t.spark, path, HASH_FIELDS, id_type="bigint")
 
 
 @registered
@@ -637,9 +643,9 @@ def task_progress(t):
 
 @registered
 def task_progress_stream(t):
-    stream = followers.task_progress(_streamed_tables(t, "events", A.progress_json))
-    path = runs.run_now(stream, runs.update_to, "task-progress")
-    return runs.latest_rows(t.spark, path, stream.schema, ["task_id"])
+    start = followers.sink_to(followers.task_progress, id_type="bigint")
+    path = runs.run_now(_streamed_tables(t, "events", A.progress_json), start, "task-progress")
+    return followers.progress_rows(t.spark, path, id_type="bigint")
 
 
 @registered

@@ -431,7 +431,8 @@ define("artifact_counts", (), """SELECT 'collections' AS artifact, count(*) AS i
 
 # ---- workflow logs
 define("dag_task_states", ("logged", "states"), "SELECT * FROM states")
-define("dag_status", ("logged", "states", "run_state"), "SELECT * FROM run_state")
+for _name in ("dag_status", "monitor_summary_stream"):
+    define(_name, ("logged", "states", "run_state"), "SELECT * FROM run_state")
 define("dag_status_stream", ("logged", "states", "run_state"), """SELECT dag_id, status
  FROM run_state""")
 define("dag_task_states_stream", ("logged", "states"), "SELECT * FROM states")

@@ -23,7 +23,7 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.format(fmt).load(path)
 
 
-def _trigger(writer, poll: str | None):
+def triggered(writer, poll: str | None):
     return writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)
 
 
@@ -31,7 +31,7 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, poll: str | None =
     """Append finished rows to a parquet table, exactly once."""
     writer = (stream.writeStream.format("parquet").outputMode("append")
               .option("path", path).option("checkpointLocation", checkpoint))
-    return _trigger(writer, poll).start()
+    return triggered(writer, poll).start()
 
 
 def update_to(stream: DataFrame, path: str, checkpoint: str, poll: str | None = None):
@@ -40,7 +40,7 @@ def update_to(stream: DataFrame, path: str, checkpoint: str, poll: str | None =
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     writer = (stream.writeStream.outputMode("update").foreachBatch(write)
               .option("checkpointLocation", checkpoint))
-    return _trigger(writer, poll).start()
+    return triggered(writer, poll).start()
 
 
 def latest_rows(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
@@ -66,9 +66,15 @@ def run_now(stream: DataFrame, start: Callable, label: str) -> str:
         query = start(stream, f"{path}/table", f"{path}/checkpoint")
     finally:
         spark.conf.set(setting, before)
-    query.awaitTermination()
-    late = sum(int(operator.get("numRowsDroppedByWatermark", 0))
-               for progress in query.recentProgress for operator in progress["stateOperators"])
+    # Only the last progress reports are kept, so they are collected while the stream runs.
+    dropped: dict[int, int] = {}
+    done = False
+    while not done:
+        done = query.awaitTermination(1)
+        for progress in query.recentProgress:
+            dropped[progress["batchId"]] = sum(
+                int(o.get("numRowsDroppedByWatermark", 0)) for o in progress["stateOperators"])
+    late = sum(dropped.values())
     if late:
         warnings.warn(f"{label}: {late} rows came later than the watermark and were dropped",
                       stacklevel=2)

@@ -9,6 +9,7 @@ from tallyloom.operators import lifecycle, metrics, monitor
 from tallyloom.sources import scans
 from tallyloom.streaming import fanout, followers, runs
 from tallyloom.streaming import monitor as live
+from tallyloom.streaming.states import StateTable, fold_into
 
 T0 = datetime(2024, 1, 1)
 
@@ -37,9 +38,9 @@ def statuses(spark, folder, batches, max_minutes=30):
     for i, rows in enumerate(batches):
         land(source, f"b{i}", rows)
         raw = runs.read_stream(spark, source, schemas.RAW_LOG_ENTRIES)
-        stream = live.run_status(live.tail(monitor.normalise_entries(raw)), max_minutes)
-        runs.append_to(stream, target, f"{folder}/checkpoint").awaitTermination()
-    return sorted(tuple(r) for r in spark.read.schema(live.STATUS_SCHEMA).parquet(target).collect())
+        live.follow_to(monitor.normalise_entries(raw), target, f"{folder}/checkpoint", max_minutes=max_minutes,
+                       buckets=4).awaitTermination()
+    return sorted(tuple(r) for r in live.run_statuses(spark, target, 4).collect())
 
 
 def batch_status(spark, rows, folder):
@@ -106,16 +107,13 @@ def test_monitor_output(spark, folder):
     for i, rows in enumerate([ROWS, [mark(8, "SUCCESS", "y", "mixed"), mark(9, "RUNNING", dag="new")]]):
         land(f"{folder}/in", f"b{i}", rows)
         raw = runs.read_stream(spark, f"{folder}/in", schemas.RAW_LOG_ENTRIES)
-        query = (monitor.normalise_entries(raw).writeStream
-                 .foreachBatch(live.write_monitor_output(f"{folder}/out"))
-                 .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
+        query = live.follow_to(monitor.normalise_entries(raw), f"{folder}/out", f"{folder}/cp", keep_logs=True)
         query.awaitTermination()
     assert spark.read.parquet(f"{folder}/out/logs").count() == len(ROWS) + 2
-    summary = spark.read.schema("dag_id string, status string").json(f"{folder}/out/summary/batch_id=1")
-    assert {r.dag_id: r.status for r in summary.collect()} == {
+    assert {r.dag_id: r.status for r in live.summary(spark, f"{folder}/out").collect()} == {
         "ok": "dag_succeeded", "bad": "dag_failed", "retry": "monitoring_timed_out", "mixed": "dag_succeeded",
         "new": "monitoring_timed_out"}
-    states = spark.read.parquet(f"{folder}/out/task_states/batch_id=1")
+    states = live.followed_states(spark, f"{folder}/out")
     assert {(r.dag_id, r.task_id): r.state for r in states.collect()}[("mixed", "y")] == "SUCCESS"
     watched = spark.createDataFrame([("bad",), ("silent",)], "dag_id string")
     emitted = spark.createDataFrame([("bad", "dag_failed", 1)], live.STATUS_SCHEMA)
@@ -260,7 +258,57 @@ def test_streaming_followers_match_batch(spark, folder):
                                "task_id string, ts timestamp, field string, value string")
     df.repartition(4).write.parquet(f"{folder}/in")
     stream = runs.read_stream(spark, f"{folder}/in", df.schema, "parquet", files_per_trigger=1)
-    followed = followers.task_snapshot(stream, ["f0", "f1"])
-    runs.update_to(followed, f"{folder}/out", f"{folder}/cp").awaitTermination()
-    got = runs.latest_rows(spark, f"{folder}/out", followed.schema, ["task_id"])
+    start = followers.sink_to(followers.task_snapshot, fields=["f0", "f1"], buckets=4)
+    start(stream, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    got = followers.snapshot_rows(spark, f"{folder}/out", ["f0", "f1"], 4)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lifecycle.state_snapshot(df, ["f0", "f1"]).collect()))
+
+
+def test_lines_that_come_late_are_kept_and_counted(spark, folder):
+    import os
+    os.makedirs(f"{folder}/in")
+    minutes = [0, 40, 10, 26, 41, 5]
+    for i, minute in enumerate(minutes):
+        land(f"{folder}/in", f"b{i}", [mark(minute, "RUNNING", f"t{i}"), mark(minute, "RUNNING", f"u{i}")])
+        raw = runs.read_stream(spark, f"{folder}/in", schemas.RAW_LOG_ENTRIES)
+        live.follow_to(monitor.normalise_entries(raw), f"{folder}/out", f"{folder}/cp", max_minutes=90,
+                       buckets=2).awaitTermination()
+    late = {r.timestamp.minute for r in spark.read.parquet(f"{folder}/out/late").collect()}
+    known = {r.task_id for r in live.followed_states(spark, f"{folder}/out", 2).collect()}
+    assert late == {10, 5} and known == {f"{n}{i}" for n in "tu" for i in (0, 1, 3, 4)}
+    assert live.line_counts(spark, f"{folder}/out", 2) == {"rows": 12, "late": 4}
+
+
+def _rows(spark, numbers):
+    return spark.createDataFrame([(n, n) for n in numbers], "k int, v int")
+
+
+def test_state_table_rewrites_only_touched_buckets(spark, folder):
+    import os
+    table = StateTable(spark, f"{folder}/t", "k int, v int", ["k"], 8)
+
+    def fold(df):
+        return df.groupBy("k").agg(F.sum("v").cast("int").alias("v"))
+    write = fold_into(lambda session: table, fold, fold)
+    write(_rows(spark, range(100)), 0)
+    first = table.version()
+    write(_rows(spark, [7]), 1)
+    second = table.version()
+    assert len([k for k in first.files if first.files[k] != second.files[k]]) == 1
+    write(_rows(spark, [7]), 1)  # a repeated batch replaces itself
+    assert {r.k: r.v for r in table.rows().collect()} == {k: 2 * k if k == 7 else k for k in range(100)}
+    write(_rows(spark, []), 2)
+    for batch in range(3, 40):
+        write(_rows(spark, [batch % 5]), batch)
+    assert {r.k: r.v for r in table.rows().collect()}[3] == 3 + 3 * 8
+    files = [f for _, _, names in os.walk(f"{folder}/t") for f in names if f.endswith(".parquet")]
+    assert len(files) <= 2 * 8 and len(os.listdir(f"{folder}/t/versions")) <= 4
+    assert len(os.listdir(f"{folder}/t/data")) <= 2 * 8
+    with pytest.raises(ValueError):
+        StateTable(spark, f"{folder}/t", "k int, v int", ["k"], 4).version()
+
+
+def test_a_hot_run_is_dealt_over_the_buckets(spark, folder):
+    table = live.task_table(spark, folder, 16)
+    tasks = spark.range(400).selectExpr("'hot' AS dag_id", "concat('t', id) AS task_id")
+    assert len(table.touched(tasks)) == 16

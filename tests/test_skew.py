@@ -104,6 +104,6 @@ def test_replayed_run_of_one_task(spark, folder):
                 "text_payload": text, "log_name": "projects/p/logs/airflow-worker", "dag_id": "profile_run",
                 "resource_type": "cloud_composer_environment", "resource_labels": {"location": "eu"}}) + "\n")
     raw = runs.read_stream(spark, folder, schemas.RAW_LOG_ENTRIES)
-    path = runs.run_now(live.run_status(live.tail(monitor.normalise_entries(raw))), runs.append_to, "replay")
-    statuses = spark.read.schema(live.STATUS_SCHEMA).parquet(path)
+    path = runs.run_now(monitor.normalise_entries(raw), live.follow_to, "replay")
+    statuses = live.run_statuses(spark, path)
     assert [tuple(r) for r in statuses.collect()] == [("profile_run", "dag_succeeded", 1)]
