@@ -1,5 +1,6 @@
 import math
 import random
+from collections import defaultdict
 
 import pytest
 
@@ -123,3 +124,37 @@ def test_given_roots_only(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c")], SUBTASKS)
     roots = spark.createDataFrame([("b",), ("c",)], "root_gid string")
     assert [tuple(r) for r in H.subtask_counts(df, roots).collect()] == [("b", 1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_subtask_counts_without_pairs(spark, seed):
+    draw = random.Random(seed)
+    # Trees, tasks with several parents, rings with trees on them, loops of one task.
+    edges = {(draw.randrange(k), k) for k in range(1, 40)}
+    edges |= {(draw.randrange(40), draw.randrange(40)) for _ in range((0, 3, 8, 0)[seed])}
+    edges |= {(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (200, 200), (200, 201), (201, 202)}
+    if seed == 2:
+        edges |= {(104, 101), (5, 100), (202, 201)}
+    children = defaultdict(set)
+    for a, b in edges:
+        children[a].add(b)
+
+    def reached(root):
+        seen, todo = {root}, [root]
+        while todo:
+            for c in children.get(todo.pop(), ()):
+                if c in children and c not in seen:
+                    seen.add(c)
+                    todo.append(c)
+        return seen
+    want = {root: sum(len(children[n]) for n in reached(root)) for root in list(children)}
+    df = spark.createDataFrame(sorted(edges), "parent_gid long, child_gid long")
+    assert {r.gid: r.subtask_count for r in H.subtask_counts(df).collect()} == want
+
+
+def test_subtask_counts_of_a_long_chain(spark):
+    df = spark.range(10_000).selectExpr("id AS parent_gid", "id + 1 AS child_gid")
+    tables = H._jumps(df.selectExpr("parent_gid AS node", "nullif(parent_gid - 1, -1) AS up", "1L AS own"))
+    assert len(tables) <= 16 and all(t.count() == 10_000 for t in tables)
+    got = H.subtask_counts(df)
+    assert got.where("subtask_count <> 10000 - gid").count() == 0 and got.count() == 10_000
