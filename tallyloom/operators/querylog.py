@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import predicates as P
 from tallyloom.functions import scalars as S
 from tallyloom.functions import sqltext as Q
 from tallyloom.functions.grouped import gap_statistics, list_segments, number_rows, time_bucket
+from tallyloom.functions.staging import stage
 
 # Column order of the feature export.
 FEATURE_COLUMNS = [
@@ -21,6 +22,8 @@ FEATURE_COLUMNS = [
     "is_service_account", "has_persistent_destination", "is_dml",
 ]
 SINGLE_RUN = "SINGLE_EXECUTION"
+#: First bits of a digest by which equally frequent texts are counted before some are chosen.
+TIE_BITS = 12
 
 
 def flatten_jobs(jobs: DataFrame) -> DataFrame:
@@ -54,20 +57,63 @@ def with_shapes(jobs: DataFrame, mask_once: bool = False) -> DataFrame:
 
 
 def text_digest(query):
-    """Digest by which texts are grouped and joined, so that no text is a shuffle key."""
-    return F.unhex(F.sha2(query, 256))
+    """Digest by which texts are grouped and joined, so that no text is a shuffle key; that of no
+    text is empty."""
+    return F.coalesce(F.unhex(F.sha2(query, 256)), F.unhex(F.lit("")))
 
 
-def raw_query_counts(jobs: DataFrame) -> DataFrame:
-    """Executions of each text, with its digest; one copy of a text leaves each map task."""
-    return (jobs.groupBy(text_digest(F.col("query")).alias("digest"))
-            .agg(F.count(F.lit(1)).alias("executions"), F.any_value("query").alias("query")))
+def raw_query_counts(jobs: DataFrame, row: str = "job_id") -> DataFrame:
+    """Digest and executions of each text, and the hash of ``row`` of one job that ran it.
 
+    Digests, counts and hashes only, all of fixed width: hash aggregation on both sides of the shuffle.
+    """
+    return jobs.groupBy(text_digest(F.col("query")).alias("digest")).agg(
+        F.count(F.lit(1)).alias("executions"), F.min(F.xxhash64(row)).alias("pick"))
+
+
+def most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """The rows of ``counts`` (digest, executions, ...) with the ``n`` highest counts; of equal ones
+    those with the smallest digests.
 
-def top_raw_queries(jobs: DataFrame, n: int = 50_000) -> DataFrame:
-    """The ``n`` most frequent texts; equal counts in text order."""
-    return raw_query_counts(jobs).orderBy(F.desc("executions"), "query").limit(n).select(
-        "query", "executions")
+    A histogram of the counts gives the lowest that gets in.  Among the digests that have it a
+    histogram of their first bits gives the range in which the places end; only that range is sorted.
+    """
+    if n <= 0:
+        return counts.limit(0)
+    counts = stage(counts, "text-counts")
+    above = F.coalesce(F.sum("texts").over(Window.orderBy(F.desc("executions")).rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    # One row a different count, in one task.
+    last = (counts.groupBy("executions").agg(F.count(F.lit(1)).alias("texts"))
+            .select("executions", "texts", above.alias("above"))
+            .where(F.col("above") < n).orderBy("executions").first())
+    if last is None or last["above"] + last["texts"] <= n:
+        return counts if last is None else counts.where(F.col("executions") >= last["executions"])
+    places = n - last["above"]
+    head = F.coalesce(F.conv(F.substring(F.hex("digest"), 1, TIE_BITS // 4), 16, 10).cast("int"), F.lit(0))
+    ties = counts.where(F.col("executions") == last["executions"]).withColumn("head", head)
+    sizes = ties.groupBy("head").agg(F.count(F.lit(1)).alias("n")).collect()
+    before = 0
+    for range_ in sorted(sizes):
+        if before + range_["n"] >= places:
+            break
+        before += range_["n"]
+    edge = ties.where(F.col("head") == range_["head"]).orderBy("digest").limit(places - before)
+    return (counts.where(F.col("executions") > last["executions"])
+            .unionByName(ties.where(F.col("head") < range_["head"]).drop("head"))
+            .unionByName(edge.drop("head")))
+
+
+def top_raw_queries(jobs: DataFrame, n: int = 50_000, row: str = "job_id") -> DataFrame:
+    """The ``n`` most frequent texts, most frequent first; equal counts in the order of their digests.
+
+    Texts are chosen by digest; then one job of each is looked up for its text, so that no text is
+    sorted, compared or sent before the choice.
+    """
+    chosen = most_frequent(raw_query_counts(jobs, row), n)
+    texts = (jobs.select(text_digest(F.col("query")).alias("digest"), F.xxhash64(row).alias("pick"), "query")
+             .join(chosen, ["digest", "pick"]).dropDuplicates(["digest"]))
+    return texts.orderBy(F.desc("executions"), "digest").select("query", "executions")
 
 
 def query_previews(jobs: DataFrame, n: int = 5, length: int = 100) -> DataFrame:
@@ -76,12 +122,13 @@ def query_previews(jobs: DataFrame, n: int = 5, length: int = 100) -> DataFrame:
 
 
 def candidate_jobs(jobs: DataFrame, n: int = 50_000) -> DataFrame:
-    """Jobs whose text is among the ``n`` most frequent.
+    """Jobs whose text is among the ``n`` most frequent (:func:`most_frequent`).
 
     Texts are compared by digest; the planner chooses the join from the sizes it finds.
     """
     digest = text_digest(F.col("query"))
-    top = top_raw_queries(jobs, n).select(digest.alias("_digest"))
+    counts = jobs.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("executions"))
+    top = most_frequent(counts, n).select(F.col("digest").alias("_digest"))
     return jobs.withColumn("_digest", digest).join(top, "_digest", "left_semi").drop("_digest")
 
 

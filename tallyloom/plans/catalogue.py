@@ -254,12 +254,6 @@ def query_previews(t):
 
 @registered
 def candidate_jobs(t):
-    return querylog.candidate_jobs(A.jobs(t), 100).select("job_id", "user_email", "query")
-
-
-@registered
-def candidate_jobs_whole(t):
-    """With the operator's own number of texts."""
     return querylog.candidate_jobs(A.jobs(t)).select("job_id", "user_email", "query")
 
 

@@ -311,13 +311,11 @@ define("query_export", SHAPES, f"""SELECT query_shape_id, users, history, total_
 define("finished_jobs", ("jobs",), f"""SELECT job_id, region, user_email, strftime(ts, {TS}) AS start_time
  FROM jobs WHERE value <= 100 AND ts >= {E_AS_OF} - INTERVAL 20 DAY""")
 define("top_raw_queries", ("jobs",), """SELECT query, count(*) AS executions FROM jobs GROUP BY 1
- ORDER BY executions DESC, query LIMIT 50000""")
+ ORDER BY executions DESC, sha256(query) LIMIT 50000""")
 define("query_previews", ("jobs",), """SELECT left(query, 100) AS preview, count(*) AS executions
- FROM jobs GROUP BY query ORDER BY executions DESC, query LIMIT 5""")
+ FROM jobs GROUP BY query ORDER BY executions DESC, sha256(query) LIMIT 5""")
 define("candidate_jobs", ("jobs",), """SELECT job_id, user_email, query FROM jobs WHERE query IN (
- SELECT query FROM jobs GROUP BY query ORDER BY count(*) DESC, query LIMIT 100)""")
-define("candidate_jobs_whole", ("jobs",), """SELECT job_id, user_email, query FROM jobs WHERE query IN (
- SELECT query FROM jobs GROUP BY query ORDER BY count(*) DESC, query LIMIT 50000)""")
+ SELECT query FROM jobs GROUP BY query ORDER BY count(*) DESC, sha256(query) LIMIT 50000)""")
 define("coverage_reduction", SHAPES, """SELECT count(*) AS jobs, count(DISTINCT shape) AS shapes,
  round((1 - count(DISTINCT shape) / count(*)) * 100, 6) AS reduction_pct FROM shapes""")
 define("query_signatures", ("jobs", "windows"), """SELECT job_id, CASE event_type

@@ -1,5 +1,7 @@
+import hashlib
 import random
 import statistics
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -87,7 +89,8 @@ def test_export_lists_continue_in_segments(jobs):
 
 def test_top_queries_and_coverage(jobs):
     top = [tuple(r) for r in L.top_raw_queries(jobs, 2).collect()]
-    assert top == [("select 1 from d.once", 1), ("select 1 from d.thrice", 1)]
+    texts = sorted((r.query for r in jobs.collect()), key=lambda q: hashlib.sha256(q.encode()).hexdigest())
+    assert top == [(q, 1) for q in texts[:2]]
     assert L.candidate_jobs(jobs, 1).count() == 1
     row = L.coverage_reduction(mining.shaped_jobs(jobs, staged=False)).first()
     assert (row.jobs, row.shapes, row.reduction_pct) == (8, 4, 50.0)
@@ -154,3 +157,25 @@ def test_inventory(spark, jobs):
     assert I.unique_query_count(twice, global_distinct=True).first()[0] == 8
     assert I.inventory_counts(datasets, tables, jobs).first() == (3, 3, 8)
     assert I.unique_queries_by_region(jobs, approximate=True).first().unique_queries > 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 7, 19, 40, 400, 5000])
+def test_most_frequent_texts_with_ties(spark, n):
+    rows = [(f"j{k}-{i}", f"select {k}") for k in range(300) for i in range((1, 1, 1, 2, 2, 9)[k % 6])]
+    rows += [("none", None), ("again", None)]
+    df = spark.createDataFrame(rows, "job_id string, query string")
+    counts = Counter(q for _, q in rows)
+
+    def digest(q):
+        return hashlib.sha256(q.encode()).hexdigest() if q is not None else ""
+    want = sorted(counts, key=lambda q: (-counts[q], digest(q)))[:n]
+    assert [tuple(r) for r in L.top_raw_queries(df, n).collect()] == [(q, counts[q]) for q in want]
+    assert {r.job_id for r in L.candidate_jobs(df, n).collect()} == {j for j, q in rows if q in set(want)}
+
+
+def test_texts_are_chosen_without_being_sorted(spark, jobs):
+    plan = L.raw_query_counts(jobs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    top = L.top_raw_queries(jobs, 1)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in top.splitlines() if "Exchange" in line and "hashpartitioning(query" in line]
+    assert not exchanged
