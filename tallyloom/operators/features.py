@@ -6,7 +6,7 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,11 +34,20 @@ def duplicate_entities(group: FeatureGroup) -> DataFrame:
         F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 
 
+def entity_key(columns: tuple[str, ...]) -> Column:
+    """One text for the ids in ``columns``; that of a single column is its value as it is."""
+    texts = [F.col(c).cast("string") for c in columns]
+    if len(texts) == 1:
+        return texts[0]
+    return F.concat_ws("|", *[F.regexp_replace(t, r"([|\\])", r"\\$1") for t in texts])
+
+
 def feature_view(groups: list[FeatureGroup], features: list[list[str]],
                  entity: str = "entity_id") -> DataFrame:
     """Full-outer join of the groups on their entity id, with the listed features.
 
-    Group and feature lists must have equal length.  Several id columns are joined by ``|``.
+    Group and feature lists must have equal length.  Several id columns are joined by ``|``; a ``|``
+    or backslash inside one of them gets a backslash before it, so no two entities become one.
     Each entity has one row: of repeated ones the latest by the group's time column, without
     one that with the largest features.  A feature name that several groups have is written
     ``group_feature``.  Rows without an id are left out.
@@ -48,7 +57,7 @@ def feature_view(groups: list[FeatureGroup], features: list[list[str]],
     used = Counter(name for names in features for name in set(names))
     parts = []
     for group, names in zip(groups, features):
-        key = F.concat_ws("|", *[F.col(c).cast("string") for c in group.entity_id_columns])
+        key = entity_key(group.entity_id_columns)
         known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group.entity_id_columns])
         order = [F.col(group.time_column).alias("_at")] if group.time_column else []
         values = F.struct(*order, *[F.col(n) for n in names])

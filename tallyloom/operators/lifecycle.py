@@ -151,7 +151,7 @@ def fold_updates(changes: DataFrame, keys: list[str], fields: list[str], ts: str
 
 def update_rows(current: DataFrame, updates: DataFrame, keys: list[str],
                 ts: str | None = None) -> DataFrame:
-    """Rows with the updated fields replaced; rows without an update stay as they are.
+    """Rows with the updated fields replaced, by null too; rows without an update stay as they are.
 
     Of several updates of a key the last by ``ts`` wins, of equal times, or without times, the
     largest values; so every row of ``current`` comes out once.
@@ -160,7 +160,8 @@ def update_rows(current: DataFrame, updates: DataFrame, keys: list[str],
     order = [ts] if ts else []
     marked = updates.groupBy(*keys).agg(F.max(F.struct(*order, *fields)).alias("_new"))
     joined = current.join(marked, keys, "left")
-    return joined.select(*[F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in fields
+    updated = F.col("_new").isNotNull()
+    return joined.select(*[F.when(updated, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fields
                            else F.col(c) for c in current.columns])
 
 

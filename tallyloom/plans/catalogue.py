@@ -686,13 +686,16 @@ def latest_document(t):
 
 @registered
 def document_locks(t):
-    """Labelled documents come under review, then those of good quality become LOCKED; the
-    others stay drafts."""
+    """Labelled documents come under review, then those of good quality become LOCKED, and toxic ones
+    lose their status; the others stay drafts."""
     current = t.documents.select("doc_id", F.lit("DRAFT").alias("status"), "lang")
     review = t.labels.select("doc_id", F.lit("REVIEW").alias("status"), F.lit(1).alias("at"))
     locks = t.labels.where(F.col("quality") == 1).select(
         "doc_id", F.lit("LOCKED").alias("status"), F.lit(2).alias("at"))
-    return lifecycle.update_rows(current, locks.unionByName(review), ["doc_id"], ts="at")
+    cleared = t.labels.where(F.col("toxic") == 1).select(
+        "doc_id", F.lit(None).cast("string").alias("status"), F.lit(3).alias("at"))
+    updates = locks.unionByName(review).unionByName(cleared)
+    return lifecycle.update_rows(current, updates, ["doc_id"], ts="at")
 
 
 @registered
@@ -732,6 +735,18 @@ def feature_view(t):
                            F.round("total", 2).alias("total"))
 
 
+@registered
+def feature_view_of_pairs(t):
+    """Entities of two id columns, with the joiner inside of either."""
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    left = t.lineitem.groupBy(F.concat(flag, F.lit("|")).alias("a"), status.alias("b")).agg(
+        F.count(F.lit(1)).alias("lines"))
+    right = t.lineitem.groupBy(flag.alias("a"), F.concat(F.lit("|"), status).alias("b")).agg(
+        F.countDistinct("l_suppkey").alias("suppliers"))
+    groups = [features.FeatureGroup("x", left, ("a", "b")), features.FeatureGroup("y", right, ("a", "b"))]
+    return features.feature_view(groups, [["lines"], ["suppliers"]])
+
+
 @registered
 def feature_lookup(t):
     wanted = t.supplier.select(F.col("s_suppkey").alias("entity_id")).unionByName(

@@ -485,6 +485,7 @@ define("feedback_concat", (), """SELECT conv_id AS document_id, coalesce((n - 1)
 define("latest_document", (), """SELECT conv_id AS task_id, turn AS version, role AS kind, text AS body
  FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""")
 define("document_locks", (), """SELECT doc_id, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels
+ WHERE toxic = 1) THEN NULL WHEN doc_id IN (SELECT doc_id FROM labels
  WHERE quality = 1) THEN 'LOCKED' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'REVIEW'
  ELSE 'DRAFT' END AS status FROM documents""")
 define("unmatched_updates", (), """SELECT doc_id, source FROM documents WHERE doc_id NOT IN (
@@ -494,6 +495,9 @@ define("folded_updates", (), """SELECT conv_id, max(turn) AS turn, max_by(role,
 
 # ---- feature tables
 define("feature_view", ("activity", "spending", "viewed"), "SELECT * FROM viewed")
+define("feature_view_of_pairs", (), r"""SELECT l_returnflag || '\||' || l_linestatus AS entity_id,
+ count(*) AS lines, NULL::BIGINT AS suppliers FROM lineitem GROUP BY 1
+ UNION ALL SELECT l_returnflag || '|\|' || l_linestatus, NULL, count(DISTINCT l_suppkey) FROM lineitem GROUP BY 1""")
 define("feature_lookup", ("activity", "spending", "viewed"), """SELECT w.entity_id,
  v.entity_id IS NOT NULL AS found, event_count, order_count FROM (
  SELECT CAST(s_suppkey AS VARCHAR) AS entity_id FROM supplier UNION

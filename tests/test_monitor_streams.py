@@ -247,6 +247,10 @@ def test_users_updates_and_recent_tasks(spark):
     twice = spark.createDataFrame([(2, "late", 9), (2, "early", 3)], "id int, body string, at int")
     assert sorted(map(tuple, lifecycle.update_rows(current, twice, ["id"], ts="at").collect())) == [
         (1, "old", "k"), (2, "late", "k")]
+    cleared = spark.createDataFrame([(2, "mid", 1), (2, None, 2), (1, None, 1), (1, "back", 2)],
+                                    "id int, body string, at int")
+    assert sorted(map(tuple, lifecycle.update_rows(current, cleared, ["id"], ts="at").collect())) == [
+        (1, "back", "k"), (2, None, "k")]
     assert [r.id for r in lifecycle.unmatched_updates(current, updates, ["id"]).collect()] == [9]
     tasks = spark.createDataFrame([(i, "u1", T0 + timedelta(hours=i)) for i in range(60)],
                                   "id int, user_id string, created_at timestamp")

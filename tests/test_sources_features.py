@@ -48,6 +48,37 @@ def test_damaged_region_is_left_out(spark, folder):
     assert lost.file.endswith(os.path.basename(path)) and lost.size == 18
 
 
+def test_files_damaged_half_way_are_listed(spark, folder):
+    rows = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("query"),
+                                      F.col("id").cast("string").alias("job_id"))
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in rows.columns else F.col(f.name)
+               for f in spark.createDataFrame([], schemas.JOBS).schema]
+    path = f"{folder}/jobs"
+    whole = rows.select(*columns)
+    whole.coalesce(1).write.option("parquet.block.size", 1 << 16).option("parquet.page.size", 1 << 13).parquet(path)
+    whole.limit(0).coalesce(1).write.mode("append").parquet(path)
+    whole.limit(5).coalesce(1).write.mode("append").parquet(path)
+    for crc in glob.glob(f"{path}/.*.crc"):
+        os.replace(crc, crc + ".old")
+    big = max(glob.glob(f"{path}/*.parquet"), key=os.path.getsize)
+    with open(big, "r+b") as out:
+        out.seek(os.path.getsize(big) // 2)
+        out.write(b"\xff" * 4096)
+    read = scans.read_jobs(spark, path, True).count()
+    (lost,) = scans.unread_files(spark, path).collect()
+    assert lost.file.endswith(os.path.basename(big)) and lost.rows == 40_000 and 0 < lost.read < 40_000
+    assert read <= 40_005
+
+
+def test_entities_that_hold_the_joiner(spark):
+    left = spark.createDataFrame([("a|b", "c", 1), ("a", "b|c", 2), ("a\\", "|b", 3)], "x string, y string, n int")
+    right = spark.createDataFrame([("a", "b|c", 9)], "x string, y string, m int")
+    view = features.feature_view([features.FeatureGroup("l", left, ("x", "y")),
+                                  features.FeatureGroup("r", right, ("x", "y"))], [["n"], ["m"]])
+    assert sorted(map(tuple, view.collect())) == [
+        ("a\\\\|\\|b", 3, None), ("a\\|b|c", 1, None), ("a|b\\|c", 2, 9)]
+
+
 def test_pages_and_details(spark, folder):
     for i, items in enumerate([[{"id": 1, "name": "a"}, {"id": 2}], [], [{"id": 3}]]):
         with open(f"{folder}/page{i}.json", "w") as out:
