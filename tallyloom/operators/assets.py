@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallyloom.functions import scalars as S
 from tallyloom.functions.grouped import distinct_counts
 from tallyloom.functions.predicates import person_name
-from tallyloom.functions.staging import stage
 
 NO_VISUALIZATION = "no_visualization"
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -180,10 +179,9 @@ def score_dashboards(features: DataFrame, widgets: DataFrame, edges: DataFrame,
                      scored_queries: DataFrame, as_of) -> DataFrame:
     """Content (7), recency (2) and curation (1) of dashboards, and their sum.
 
-    The sums of a dashboard's query scores are staged, so that their maximum does not take them a
-    second time.
+    ``scored_queries`` is read twice, for the sums and for their maximum: pass a staged table.
     """
-    sums = stage(content_sums(edges, scored_queries).withColumnRenamed("dashboard_id", "id"), "content")
+    sums = content_sums(edges, scored_queries).withColumnRenamed("dashboard_id", "id")
     notes = description_scores(widgets).withColumnRenamed("dashboard_id", "id")
     raw = features.join(sums, "id", "left").fillna(0, ["query_count", "raw_content_score"])
     largest = F.nullif(F.col("_top.raw_content_score"), F.lit(0.0))

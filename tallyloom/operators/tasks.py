@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
 
-# The six counts of a task, and the column order of the export.
+# The counts of a task, and the column order of the export.
 COUNTS = ["dependent_count", "dependency_count", "subtask_count", "comment_count",
           "follower_count"]
 TASK_COLUMNS = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tallyloom.functions.staging import stage
 from tallyloom.operators import assets, tasks
 from tallyloom.operators.hierarchy import subtask_counts
 
@@ -15,7 +16,7 @@ def scored_queries(saved: DataFrame, widgets: DataFrame, as_of) -> DataFrame:
 
 def scored_dashboards(dashboards: DataFrame, saved: DataFrame, widgets: DataFrame, as_of) -> DataFrame:
     edges = assets.lineage_edges(widgets)
-    scores = scored_queries(saved, widgets, as_of)
+    scores = stage(scored_queries(saved, widgets, as_of).select("id", "golden_query_score"), "query-scores")
     return assets.score_dashboards(assets.dashboard_features(dashboards), widgets, edges, scores, as_of)
 
 
