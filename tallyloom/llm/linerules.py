@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.batches import small_batches
+from tallyloom.llm.batches import free_name, small_batches
 
 #: Rules on whole documents: the fewest words, and the most words in repeated windows, per cent.
 LEAST_WORDS = 20
@@ -142,12 +142,17 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` with all their columns; ``text`` is the cleaned text and
-    ``n_chars``, if there is such a column, its length."""
-    kept = (small_batches(docs).withColumn("_m", _measures(F.col("text"))).where("_m.kept")
-            .withColumn("text", F.col("_m.cleaned")))
+    ``n_chars``, if there is such a column, its length.
+
+    Null and empty texts fail the rules and go; repeated rows are judged one by one and stay as often
+    as they come; an empty table gives an empty result; other columns are carried along.
+    """
+    found = free_name(docs, "_measures")
+    kept = (small_batches(docs).withColumn(found, _measures(F.col("text"))).where(F.col(found)["kept"])
+            .withColumn("text", F.col(found)["cleaned"]))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.drop("_m")
+    return kept.drop(found)
 
 
 def _quoted(text: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.staging import stage
+from tallyloom.llm.batches import free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a row's key, and bits that each histogram resolves.
@@ -30,8 +31,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     Sources in code point order, null last, get the repeating weights; ``share`` of all words is
     dealt by weight, no source getting more than ``most`` times its size; what it leaves goes to
     the others by weight.  The level of that filling is found by going through the sources in the
-    order in which they fill up.  This table has a row a source, so one task holds it.
+    order in which they fill up.  This table has a row a source, so one task holds it.  A share above
+    ``most`` cannot be dealt and is refused.
     """
+    if share > most or min(weights) <= 0:
+        raise ValueError(f"{share} of all words cannot be dealt at {most} times each source's, weights {weights}")
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]),
                           F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
@@ -135,14 +139,16 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
                     most: float = 2.0) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as ``mixture`` takes them.  Texts are
-    read a second time and meet the thresholds, a row a source, without being shuffled."""
+    read a second time and meet the thresholds, a row a source, without being shuffled.  Rows are
+    treated as :func:`mixture` says; other columns are carried along."""
+    cut, copy = free_name(docs, "_cut"), free_name(docs, "_copy")
     cuts = thresholds(stage(_sized(docs), "sizes"), weights, share, most).select(
-        F.struct("at", "whole", "cut").alias("_cut"))
-    copies = F.col("_cut.whole") + F.when(
-        row_key(F.col("doc_id"), F.col("text")) < F.col("_cut.cut"), 1).otherwise(0)
-    met = docs.join(cuts, F.col("source").cast("string").eqNullSafe(F.col("_cut.at")))
-    return (met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-            .select(*docs.columns))
+        F.struct("at", "whole", "cut").alias(cut))
+    copies = F.col(cut)["whole"] + F.when(
+        row_key(F.col("doc_id"), F.col("text")) < F.col(cut)["cut"], 1).otherwise(0)
+    met = docs.join(cuts, F.col("source").cast("string").eqNullSafe(F.col(cut)["at"]))
+    return (met.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+            .drop(cut, copy))
 
 
 #: The mix in SQL: keys summed in order instead of by histogram.

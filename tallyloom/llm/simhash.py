@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.staging import stage
-from tallyloom.llm.batches import small_batches
+from tallyloom.llm.batches import free_name, small_batches
 from tallyloom.llm.components import connected
 
 BITS = 64
@@ -169,10 +169,12 @@ def kept_documents(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
                    blocks: int = BLOCKS) -> DataFrame:
     """One row of ``docs`` for each component of ``near_duplicates``, with all its columns: that
     with the smallest doc_id (rows without one last).  Among rows with that doc_id a hash of all
-    columns decides, so rows repeated in full are kept once and reruns agree."""
+    columns decides, so rows repeated in full are kept once and reruns agree.  Null and empty texts are
+    one group; an empty table gives an empty result."""
     members = _members(docs, words, max_bits, blocks)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    mine = free_name(docs, "_row")
     chosen = (members.groupBy("root").agg(F.min(order).alias("least"))
-              .select(F.col("least.row").alias("_row")).distinct())
-    return (docs.withColumn("_row", F.xxhash64(*docs.columns))
-            .join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row"))
+              .select(F.col("least.row").alias(mine)).distinct())
+    return (docs.withColumn(mine, F.xxhash64(*docs.columns))
+            .join(chosen, mine, "left_semi").dropDuplicates([mine]).drop(mine))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.staging import stage
-from tallyloom.llm.batches import small_batches
+from tallyloom.llm.batches import free_name, small_batches
 from tallyloom.llm.samples import labelled_sample
 
 #: The model is fitted on at most so many labelled documents of each class, first by a hash of doc_id.
@@ -340,7 +340,12 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not predicted toxic."""
-    score = 1 / (1 + F.exp(-(F.lit(model.offset) + F.lit(model.slope) * F.log1p("_evidence"))))
-    return (small_batches(docs).withColumn("_evidence", _evidence(F.col("text"), model))
-            .where(score < PREDICTED_FROM).drop("_evidence"))
+    """The rows of ``docs``, with all their columns, that are not predicted toxic.
+
+    Null and empty texts are kept, unless the model predicts texts without evidence toxic; repeated
+    rows are judged alike; an empty table gives an empty result.
+    """
+    found = free_name(docs, "_evidence")
+    score = 1 / (1 + F.exp(-(F.lit(model.offset) + F.lit(model.slope) * F.log1p(F.col(found)))))
+    return (small_batches(docs).withColumn(found, _evidence(F.col("text"), model))
+            .where(score < PREDICTED_FROM).drop(found))

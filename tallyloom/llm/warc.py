@@ -10,6 +10,8 @@ Columns hold bytes as strings that nobody decodes.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,18 +150,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     split = raw.select(head.alias("head"), F.col("value").cast("binary").alias("value")).where(
         F.octet_length("value") > 0)
-    length = F.try_to_number(field("Content-Length"), F.lit("9999999999999")).cast("int")
+    length = field("Content-Length").try_cast("int")
     body = F.substring(F.col("value"), F.octet_length("head") + 5, length)
     return split.select(
         field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("id"),
         field("WARC-Target-URI").alias("uri"),
-        field("WARC-Segment-Number").cast("int").alias("segment"),
+        field("WARC-Segment-Number").try_cast("int").alias("segment"),
         field("WARC-Segment-Origin-ID").alias("origin"),
-        field("WARC-Segment-Total-Length").cast("long").alias("total"),
+        field("WARC-Segment-Total-Length").try_cast("long").alias("total"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("told_digest"),
-        field("X-Payload-Length").cast("long").alias("told_bytes"),
-        field("X-Page-ID").cast("long").alias("page_id"),
-        field("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
+        field("X-Payload-Length").try_cast("long").alias("told_bytes"),
+        field("X-Page-ID").try_cast("long").alias("page_id"),
+        field("X-Refers-To-Page-ID").try_cast("long").alias("refers_to"),
         F.coalesce(body, F.lit("").cast("binary")).alias("body"),
         (F.coalesce(F.octet_length(body), F.lit(-1)) != F.coalesce(length, F.lit(-2))).alias("cut"))
 
@@ -187,19 +189,23 @@ def reassembled(read: DataFrame) -> DataFrame:
                                          F.coalesce(whole, F.lit(False)).alias("whole")))
 
 
+CHUNK_SIZE = re.compile(rb"([0-9A-Fa-f]+)[ \t]*(?:;.*)?\Z")
+
+
 def decode_chunks(data: bytes) -> bytes | None:
-    """Undo chunked transfer framing; None if it is damaged."""
+    """Undo chunked transfer framing; None if it is damaged: a size that is no plain hexadecimal
+    number, a chunk or the end without its line end."""
     out, at = [], 0
     while True:
         end = data.find(b"\r\n", at)
-        try:
-            size = int(data[at:end].split(b";")[0], 16) if end >= 0 else -1
-        except ValueError:
+        told = CHUNK_SIZE.match(data, at, end) if end >= 0 else None
+        if told is None:
             return None
+        size, at = int(told.group(1), 16), end + 2
         if size == 0:
-            return b"".join(out)
-        at = end + 2
-        if size < 0 or data[at + size:at + size + 2] != b"\r\n":
+            # What may follow are trailer fields; an empty line ends them.
+            return b"".join(out) if data[at:] == b"\r\n" or data.endswith(b"\r\n\r\n") else None
+        if data[at + size:at + size + 2] != b"\r\n":
             return None
         out.append(data[at:at + size])
         at += size + 2
@@ -229,7 +235,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     payload_bytes, payload_digest, refers_to and ``verified``.
 
     Bytes and digest of a response are those of the payload as read, those of a revisit stand in its
-    header.  A damaged record is returned with verified = false.  Null or missing ids and URLs stay
+    header.  A damaged record is returned with verified = false; lengths and numbers in its header that
+    are none, or too large, count as missing.  Records are told apart by the version line, so one of a
+    foreign archive whose body quotes that line is cut there, and not verified.  Null or missing ids and URLs stay
     null; pages repeated in full are records of their own.  An empty table gives an empty result.
     """
     read = payloads(reassembled(read_records(spark, path)))
