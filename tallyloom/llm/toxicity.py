@@ -1,19 +1,19 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Words are classed (insult, threat verb, speaker, addressee, negation, speech verb, quotation mark), and
-a chain of weighted transducers reads each clause that holds an insult or a threat verb: negation
-takes the strength out of what follows it, a speaker's threat verb that reaches an addressee becomes
-a threat, reported or quoted words count less, words aimed at an addressee count more.  A document's
-evidence is the sum over its clauses.  The insults' weights and the step from evidence to a score are
-learned from labelled rows.
+A chain of composed transducers reads each clause that holds the start of an insult or a threat verb.
+The first turns words into classes (insult, threat verb, speaker, addressee, negation, speech verb,
+preposition, quotation mark), the next mark what is denied, find a speaker's threat whose object is the
+addressee, mark what is reported or quoted, and what is aimed at an addressee; one that reads from right
+to left marks what a later speech verb reports.  What comes out are insults and threats with marks, each
+with the weight of its stem.  A mark multiplies that weight by a factor, and a document's evidence is the
+sum over its clauses.  Stems, factors and the curve from evidence to score are learned from labelled rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import ahocorasick
@@ -37,13 +37,17 @@ LEAST_WEIGHT = 2.5
 LEAST_EVIDENCE = 12.0
 #: A longer stem stands for a shorter one if it covers so much of its toxic contexts.
 SAME = 0.8
-#: Weight of listed insults that the sample does not have, of a threat, and of the modifiers.
+#: Weight of listed insults that the sample does not have.
 LISTED = 4.0
-THREAT = 5.0
+#: Factors of the marks before anything is learned; a threat has no stem, its factor is its weight.
 DENIED = 0.4
 REPORTED = 0.6
-TARGETED = 1.25
-#: Words over which negation, an addressee and a threat reach.
+TARGETED = 2.5
+THREAT = 5.0
+#: Learned logarithms of the factors stay about so near to those of the factors above unless the
+#: labelled rows say otherwise (standard deviation of a normal prior).
+SPREAD = 0.5
+#: Words over which negation, an addressee, a speaker and an object before its verb reach.
 REACH = 4
 PREDICTED_FROM = 0.7
 
@@ -62,6 +66,10 @@ NEGATIONS = """not never no neither nor don't doesn't didn't isn't aren't wasn't
  nie ne pas jamais aucun nunca jamás ni""".split()
 SPEECH = """said says say called calls wrote writes claimed reported quoted alleged sagte nannte schrieb
  dit disait appelé écrit dijo llamó escribió""".split()
+PREPOSITIONS = """for to with from at by about für mit von zu an bei pour avec de à chez para con
+ por a sin""".split()
+# Objects that stand before their verb.
+OBJECTS = "dich euch te vous".split()
 QUOTES = '"“”„«»'
 
 CLAUSE_END = re.compile(r"[.!?;\n]+")
@@ -69,11 +77,19 @@ TOKEN = re.compile(rf"[^\W_]+(?:['’][^\W_]+)?|[{QUOTES}]")
 ELISION = re.compile("['’]")
 
 
+#: Marks of an insult or threat, as bits; a document's sums are kept by their combination.
+IS_DENIED, IS_REPORTED, IS_AIMED, IS_THREAT = 1, 2, 4, 8
+COMBINATIONS = 16
+BITS = np.array([[m >> k & 1 for k in range(4)] for m in range(COMBINATIONS)], dtype=float)
+
+
 class Transducer:
     """A deterministic weighted transducer: ``step`` gives the next state, the symbol that it writes
-    and a factor.  Composition feeds what the first writes to the second; its arcs are remembered."""
+    and a weight.  A symbol is a class and its marks.  Composition feeds what the first writes to the
+    second and multiplies the weights; arcs over the few classes are remembered, those over words not."""
 
     start: object = 0
+    reads_words = False
 
     def step(self, state, symbol):
         raise NotImplementedError
@@ -86,82 +102,147 @@ class Composed(Transducer):
     def __init__(self, first: Transducer, second: Transducer):
         self.first, self.second, self.arcs = first, second, {}
         self.start = first.start, second.start
+        self.reads_words = first.reads_words
 
     def step(self, state, symbol):
-        if (state, symbol) not in self.arcs:
+        arc = self.arcs.get((state, symbol))
+        if arc is None:
             one, middle, before = self.first.step(state[0], symbol)
             two, written, after = self.second.step(state[1], middle)
-            self.arcs[state, symbol] = (one, two), written, before * after
-        return self.arcs[state, symbol]
+            arc = (one, two), written, before * after
+            if not self.reads_words:
+                self.arcs[state, symbol] = arc
+        return arc
+
+
+class Recognition(Transducer):
+    """Words in, classes out; an insult carries the weight of its longest stem.
+
+    An elided word (d'abruti) whose whole form says nothing is read by what follows the apostrophe.
+    """
+
+    reads_words = True
+
+    def __init__(self, stems: dict[str, float]):
+        self.stems, self.lengths = stems, sorted({len(s) for s in stems}, reverse=True)
+
+    def insult(self, word: str) -> float:
+        marked = word + WORD_END
+        for n in self.lengths:
+            if n <= len(marked) and marked[:n] in self.stems:
+                return self.stems[marked[:n]]
+        return 0.0
+
+    def step(self, state, symbol):
+        weight = self.insult(symbol)
+        if not weight and symbol not in CLASSES:
+            symbol = ELISION.split(symbol)[-1]
+            weight = self.insult(symbol)
+        if weight:
+            return state, ("insult", 0), weight
+        return state, (CLASSES.get(symbol, "word"), 0), 1.0
 
 
 class Negation(Transducer):
-    """State: words that the last negation still reaches."""
+    """State: words that the last negation still reaches.  A denied threat verb is a plain word."""
 
     def step(self, state, symbol):
-        if symbol == "not":
+        kind, marks = symbol
+        if kind == "not":
             return REACH, symbol, 1.0
         rest = max(state - 1, 0)
-        if state and symbol == "insult":
-            return rest, "denied", DENIED
-        if state and symbol == "verb":
-            return rest, "word", 1.0
+        if state and kind == "insult":
+            return rest, (kind, marks | IS_DENIED), 1.0
+        if state and kind == "verb":
+            return rest, ("word", marks), 1.0
         return rest, symbol, 1.0
 
 
 class Threats(Transducer):
-    """State: words that a speaker, then a speaker's threat verb, still reaches.  The addressee that
-    it reaches is written as a threat."""
+    """State: words that a speaker and an object still reach, and whether the word before was a
+    speaker's threat verb.  The addressee right after such a verb is its object and is written as a
+    threat, also one that owns it (your); so is a verb whose object stands before it."""
 
-    start = ("", 0)
+    start = (0, 0, "")
 
     def step(self, state, symbol):
-        role, rest = state
-        if symbol == "speaker":
-            return ("speaker", REACH), symbol, 1.0
-        if symbol == "verb" and role == "speaker" and rest:
-            return ("verb", REACH), symbol, 1.0
-        if symbol == "addressee" and role == "verb" and rest:
-            return self.start, "threat", 1.0
-        return ((role, rest - 1) if rest > 1 else self.start), symbol, 1.0
+        speaker, before, last = state
+        kind, marks = symbol
+        rest = max(speaker - 1, 0), max(before - 1, 0)
+        threat = ("threat", marks | IS_THREAT), 1.0
+        if kind == "speaker":
+            return (REACH, rest[1], ""), symbol, 1.0
+        if kind == "verb" and speaker:
+            return ((0, 0, ""), *threat) if before else ((*rest, "verb"), symbol, 1.0)
+        if kind in ("addressee", "object") and last == "verb":
+            return (0, 0, ""), *threat
+        if kind == "object" and last != "preposition":
+            return (rest[0], REACH, ""), symbol, 1.0
+        return (*rest, "preposition" if kind == "preposition" else ""), symbol, 1.0
 
 
 class Report(Transducer):
-    """State: whether a speech verb came before, and whether a quotation is open."""
+    """State: whether a speech verb came before in the clause, and whether a quotation is open."""
 
     start = (False, False)
 
     def step(self, state, symbol):
         told, quoted = state
-        if symbol == "speech":
+        kind, marks = symbol
+        if kind == "speech":
             return (True, quoted), symbol, 1.0
-        if symbol == "quote":
+        if kind == "quote":
             return (told, not quoted), symbol, 1.0
-        heavy = symbol in ("insult", "denied", "threat")
-        return state, symbol, REPORTED if heavy and (told or quoted) else 1.0
+        heavy = kind in ("insult", "threat") and (told or quoted)
+        return state, (kind, marks | IS_REPORTED) if heavy else symbol, 1.0
 
 
 class Target(Transducer):
     """State: words that the last addressee still reaches."""
 
     def step(self, state, symbol):
-        if symbol == "addressee":
+        kind, marks = symbol
+        if kind in ("addressee", "object"):
             return REACH, symbol, 1.0
-        return max(state - 1, 0), symbol, TARGETED if state and symbol == "insult" else 1.0
+        rest = max(state - 1, 0)
+        return rest, (kind, marks | IS_AIMED) if state and kind == "insult" else symbol, 1.0
+
 
+class LaterReport(Transducer):
+    """Reads from right to left.  State: whether a speech verb follows, and whether the word read last
+    was one, whose subject decides: what the addressee says does not report an insult to it."""
 
-CLASSES = ({w: "verb" for w in THREAT_VERBS} | {w: "speaker" for w in SPEAKERS}
-           | {w: "addressee" for w in ADDRESSEES} | {w: "not" for w in NEGATIONS}
+    start = (False, False)
+
+    def step(self, state, symbol):
+        told, open_verb = state
+        kind, marks = symbol
+        if open_verb:
+            told = told or kind not in ("addressee", "object")
+        if kind in ("insult", "threat") and told:
+            symbol = kind, marks | IS_REPORTED
+        return (told, kind == "speech"), symbol, 1.0
+
+
+CLASSES = ({w: "preposition" for w in PREPOSITIONS} | {w: "verb" for w in THREAT_VERBS}
+           | {w: "speaker" for w in SPEAKERS} | {w: "addressee" for w in ADDRESSEES}
+           | {w: "object" for w in OBJECTS} | {w: "not" for w in NEGATIONS}
            | {w: "speech" for w in SPEECH} | {q: "quote" for q in QUOTES})
 
 
 @dataclass(frozen=True)
 class Model:
-    """Stems with their weights, and the two numbers that turn evidence into a score."""
+    """Stems with their weights, the factors of the marks (denied, reported, aimed, threat), and the
+    two numbers that turn evidence into a score."""
 
     stems: tuple[tuple[str, float], ...]
     slope: float = 2.0
     offset: float = -4.0
+    factors: tuple[float, float, float, float] = (DENIED, REPORTED, TARGETED, THREAT)
+
+    def weights(self) -> np.ndarray:
+        """What a combination of marks multiplies a stem's weight by."""
+        return np.where(BITS > 0, self.factors, 1.0).prod(axis=1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-(self.offset + self.slope * np.log1p(evidence))))
@@ -169,42 +250,34 @@ class Model:
 
 class Grammar:
     def __init__(self, model: Model):
-        self.weight = dict(model.stems)
-        self.lengths = sorted({len(s) for s in self.weight})
-        self.chain = Negation() @ Threats() @ Report() @ Target()
+        self.weights = model.weights()
+        self.left = (Recognition(dict(model.stems))
+                     @ (Negation() @ (Threats() @ (Report() @ Target()))))
+        self.right = LaterReport()
         self.found = ahocorasick.Automaton()
-        for stem in [*self.weight, *(v + WORD_END for v in THREAT_VERBS)]:
+        for stem in [*dict(model.stems), *(v + WORD_END for v in THREAT_VERBS)]:
             self.found.add_word(stem.removesuffix(WORD_END), len(stem.removesuffix(WORD_END)))
         self.found.make_automaton()
 
-    def insult(self, word: str) -> float:
-        """Weight of the longest stem of a word; 0 if it has none."""
-        marked = word + WORD_END
-        for n in reversed(self.lengths):
-            if n <= len(marked) and marked[:n] in self.weight:
-                return self.weight[marked[:n]]
-        return 0.0
-
-    def clause(self, text: str) -> float:
-        state, total = self.chain.start, 0.0
+    def clause(self, text: str, quoted: bool, sums: np.ndarray) -> None:
+        """Add what a clause says; ``quoted``: a quotation is open where it begins."""
+        recognised, (denied, (threats, (_, aimed))) = self.left.start
+        state, written = (recognised, (denied, (threats, ((False, quoted), aimed)))), []
         for token in TOKEN.findall(text):
-            weight = self.insult(token)
-            if not weight and token not in CLASSES:
-                # An elided word (d'abruti): what follows the apostrophe is a word of its own.
-                token = ELISION.split(token)[-1]
-                weight = self.insult(token)
-            symbol = "insult" if weight else CLASSES.get(token, "word")
-            state, written, factor = self.chain.step(state, symbol)
-            if written in ("insult", "denied"):
-                total += factor * weight
-            elif written == "threat":
-                total += factor * THREAT
-        return total
-
-    def evidence(self, text: str | None) -> float:
-        """Sum over the clauses of a whole text that hold the start of a stem or threat verb."""
+            state, symbol, weight = self.left.step(state, token)
+            written.append((symbol, weight))
+        state = self.right.start
+        for symbol, weight in reversed(written):
+            state, (kind, marks), _ = self.right.step(state, symbol)
+            if kind in ("insult", "threat"):
+                sums[marks] += weight
+
+    def sums(self, text: str | None) -> np.ndarray:
+        """Stem weights of a whole text by combination of marks, over the clauses that hold the start
+        of a stem or threat verb.  Quotations go on over ends of sentences, to the end of the line."""
         text = (text or "").lower()
-        total, upto = 0.0, 0
+        sums = np.zeros(COMBINATIONS)
+        upto, counted, quoted = 0, 0, False
         for end, length in self.found.iter(text):
             at = end + 1 - length
             if at < upto or at and text[at - 1].isalnum():
@@ -214,8 +287,16 @@ class Grammar:
                 start = max(start, text.rfind(mark, upto, at) + 1)
             stop = CLAUSE_END.search(text, end + 1)
             upto = stop.start() if stop else len(text)
-            total += self.clause(text[start:upto])
-        return total
+            line = text.rfind("\n", counted, start) + 1
+            if line:
+                counted, quoted = line, False
+            quoted ^= sum(text.count(q, counted, start) for q in QUOTES) % 2 == 1
+            counted = start
+            self.clause(text[start:upto], quoted, sums)
+        return sums
+
+    def evidence(self, text: str | None) -> float:
+        return float(self.sums(text) @ self.weights)
 
 
 @lru_cache(maxsize=4)
@@ -233,6 +314,15 @@ def _evidence(text: Column, model: Model) -> Column:
     return evidence.asNondeterministic()(text)
 
 
+def _sums(text: Column, model: Model) -> Column:
+    @F.pandas_udf("array<double>")
+    def sums(texts: pd.Series) -> pd.Series:
+        rules = grammar(model)
+        return pd.Series([rules.sums(t) for t in texts], dtype=object)
+
+    return sums(text)
+
+
 def _stem_counts(sample: DataFrame) -> DataFrame:
     """Contexts of each word start in toxic and in other sample documents, a row a start.
 
@@ -270,19 +360,47 @@ def choose_stems(counts: pd.DataFrame, toxic: int, other: int) -> dict[str, floa
     return chosen
 
 
-def fit_score(evidence: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope (at least 0) and offset of a logistic curve over log(1 + evidence), by Newton steps."""
-    x = np.column_stack([np.log1p(evidence), np.ones(len(evidence))])
-    b = np.array([0.0, -2.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ b))
-        slope = x.T @ (weight * (label - p)) - 1e-2 * b
-        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(bend, slope)
-        b = b + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+def fit_factors(sums: np.ndarray, label: np.ndarray, weight: np.ndarray) -> Model:
+    """Factors of the marks, slope and offset (a model without stems) of a logistic curve over
+    log(1 + evidence), by damped Newton steps.
+
+    ``sums``: stem weights of each labelled document by combination of marks.  The logarithm of each
+    factor has a normal prior around that of the constants above, so a mark that the labelled rows
+    do not have keeps its constant.
+    """
+    prior = np.log([DENIED, REPORTED, TARGETED, THREAT])
+    tight = np.array([1 / SPREAD ** 2] * 4 + [1e-2] * 2)
+    centre = np.array([*prior, 0.0, 0.0])
+
+    def state(b):
+        parts = sums * np.exp(BITS @ b[:4])
+        evidence = parts.sum(axis=1)
+        z = b[4] * np.log1p(evidence) + b[5]
+        loss = weight @ (np.logaddexp(0, z) - label * z) + tight @ (b - centre) ** 2 / 2
+        return parts, evidence, z, loss
+
+    b, damping = np.array([*prior, 1.0, -2.0]), 1e-3
+    parts, evidence, z, loss = state(b)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-z))
+        x = np.column_stack([b[4] * (parts @ BITS) / (1 + evidence)[:, None], np.log1p(evidence),
+                             np.ones(len(z))])
+        slope = x.T @ (weight * (label - p)) - tight * (b - centre)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(tight)
+        step = np.linalg.solve(bend + damping * np.diag(np.diag(bend)), slope)
+        new = b + np.clip(step, -1, 1)
+        new[4] = max(new[4], 0.0)
+        tried = state(new)
+        if tried[3] <= loss:
+            moved, b, (parts, evidence, z, loss) = np.abs(new - b).max(), new, tried
+            damping = max(damping / 4, 1e-9)
+            if moved < 1e-9:
+                break
+        elif damping > 1e9:
             break
-    return max(float(b[0]), 0.0), float(b[1])
+        else:
+            damping *= 8
+    return Model((), float(b[4]), float(b[5]), tuple(map(float, np.exp(b[:4]))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -316,11 +434,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                            & (gain >= LEAST_EVIDENCE)).toPandas()
     stems = listed | choose_stems(strong, toxic, other)
     model = Model(tuple(sorted(stems.items())))
-    seen = sample.select("label", _evidence(F.col("text"), model).alias("e")).toPandas()
+    seen = sample.select("label", _sums(F.col("text"), model).alias("x")).toPandas()
     share = {c: counts[c] / sizes[c] for c in (0, 1)}
-    slope, offset = fit_score(seen["e"].to_numpy(), seen["label"].to_numpy(float),
-                              seen["label"].map(share).to_numpy(float))
-    return Model(model.stems, slope, offset)
+    fitted = fit_factors(np.array(seen["x"].tolist()), seen["label"].to_numpy(float),
+                         seen["label"].map(share).to_numpy(float))
+    return replace(fitted, stems=model.stems)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

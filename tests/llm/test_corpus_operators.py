@@ -136,6 +136,112 @@ def test_clauses_are_scored_not_words():
     assert rules.evidence("IDIOT!! Idiot") == 8.0 and rules.evidence(None) == 0.0
 
 
+@pytest.mark.parametrize("text, factor", [
+    ("I will kill the process for you.", 0), ("For you I kill the process.", 0),
+    ("Ich werde dich töten.", toxicity.THREAT / 4), ("Te voy a matar.", toxicity.THREAT / 4),
+    ("He said I will kill your dog.", toxicity.THREAT * toxicity.REPORTED / 4),
+    ("You are an idiot, he said.", toxicity.TARGETED * toxicity.REPORTED),
+    ("You idiot, you said that.", toxicity.TARGETED),
+    ('"You idiot. You idiot." he said.', 2 * toxicity.TARGETED * toxicity.REPORTED),
+    ('A "quote opens.\nYou idiot.', toxicity.TARGETED),
+])
+def test_objects_later_reports_and_quotations(text, factor):
+    rules = toxicity.Grammar(toxicity.Model((("idiot$", 4.0),)))
+    assert rules.evidence(text) == pytest.approx(4 * factor)
+
+
+def plain_reading(model, text):
+    """The grammar's sums by looking at every pair of words of every clause, without states."""
+    stems, reach, sums = dict(model.stems), toxicity.REACH, [0.0] * 16
+
+    def longest(word):
+        known = [s for s in stems if (word + "$").startswith(s)]
+        return stems[max(known, key=len)] if known else 0.0
+
+    for line in (text or "").lower().split("\n"):
+        quotes = 0
+        for clause in re.split("[.!?;]", line):
+            words = re.findall(r"[^\W_]+(?:['’][^\W_]+)?|[\"“”„«»]", clause)
+            kinds, weights = [], []
+            for w in words:
+                if not longest(w) and w not in toxicity.CLASSES:
+                    w = re.split("['’]", w)[-1]
+                weights.append(longest(w))
+                kinds.append("insult" if weights[-1] else toxicity.CLASSES.get(w, "word"))
+            near = lambda i, *names: any(k in names for k in kinds[max(i - reach, 0):i])
+            kinds = ["word" if k == "verb" and near(i, "not") else k for i, k in enumerate(kinds)]
+            said = [i for i, k in enumerate(kinds) if k == "speech"]
+            threats, since = [], 0  # A threat begins anew after the one before it.
+            for i, k in enumerate(kinds):
+                lately = range(max(i - reach, since), i)
+                spoken = any(kinds[j] == "speaker" for j in lately)
+                faced = any(kinds[j] == "object" and (j == since or kinds[j - 1] != "preposition") for j in lately)
+                before = i - 1 >= since and kinds[i - 1] == "verb" and any(
+                    kinds[j] == "speaker" for j in range(max(i - 1 - reach, since), i - 1))
+                if k == "verb" and spoken and faced or k in ("addressee", "object") and before:
+                    threats.append(i)
+                    since = i + 1
+            for i, k in enumerate(kinds):
+                if k != "insult" and i not in threats:
+                    continue
+                inside = (quotes + sum(x == "quote" for x in kinds[:i])) % 2
+                told = any(j < i for j in said) or any(
+                    j > i + 1 and kinds[j - 1] not in ("addressee", "object") or j == i + 1 and i not in threats
+                    for j in said)
+                marks = 2 * bool(inside or told)
+                if i in threats:
+                    sums[marks + 8] += 1
+                else:
+                    aimed = any(q in ("addressee", "object") and j not in threats
+                                for j, q in enumerate(kinds[:i]) if j >= i - reach)
+                    sums[marks + near(i, "not") + 4 * aimed] += weights[i]
+            quotes += sum(k == "quote" for k in kinds)
+    return sums
+
+
+def test_grammar_against_a_plain_reading():
+    rng = random.Random(11)
+    model = toxicity.Model((("idiot$", 4.0), ("foo", 3.0), ("fools$", 2.0)))
+    words = ["idiot", "fool", "fools", "kill", "töten", "i", "ich", "you", "your", "dich", "te", "not", "said",
+             "for", "d'idiot", "the", "stone", "river", '"', "„", "hill", "skill"]
+    rules = toxicity.Grammar(model)
+    for _ in range(4000):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", "", "", "", ".", "!", ";", "\n"])
+                        for _ in range(rng.randrange(30)))
+        if rng.random() < 0.2:
+            text = text.upper()
+        assert rules.sums(text) == pytest.approx(plain_reading(model, text)), text
+
+
+def test_query_rows_against_a_plain_reading(spark):
+    docs, labels = labelled(spark, "/root/testdata/sf0.001")
+    model = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = toxicity.scores(docs, model).collect()
+    assert len(found) == len(texts) and any(r["evidence"] for r in found)
+    for r in found:
+        evidence = float(np.dot(plain_reading(model, texts[r["doc_id"]]), model.weights()))
+        score = 1 / (1 + np.exp(-(model.offset + model.slope * np.log1p(evidence))))
+        assert r["evidence"] == pytest.approx(evidence) and r["score"] == pytest.approx(score)
+        assert r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_factors_are_learned_from_labelled_clauses():
+    rng = np.random.default_rng(5)
+    sums = np.zeros((4000, 16))
+    kind = rng.choice([0, 1, 2, 4, 8], 4000)
+    sums[np.arange(4000), kind] = np.where(kind == 8, 1.0, 4.0)
+    # Labels as the constants have it, then against them: denied insults toxic, aimed ones not.
+    for odds in ({0: 0.1, 1: 0.02, 2: 0.02, 4: 0.98, 8: 0.98}, {0: 0.1, 1: 0.98, 2: 0.02, 4: 0.02, 8: 0.98}):
+        label = (rng.random(4000) < [odds[k] for k in kind]).astype(float)
+        model = toxicity.fit_factors(sums, label, np.ones(4000))
+        denied, reported, aimed, threat = model.factors
+        assert (denied > 1 > aimed) == (odds[1] > odds[4]) and reported < 1 < threat
+        assert np.mean((model.score(sums @ model.weights()) > 0.5) == label) > 0.9
+    kept = toxicity.fit_factors(sums[kind == 0], label[kind == 0], np.ones((kind == 0).sum()))
+    assert kept.factors == pytest.approx((toxicity.DENIED, toxicity.REPORTED, toxicity.TARGETED, toxicity.THREAT))
+
+
 def test_elided_words_are_looked_up_without_their_article():
     rules = toxicity.Grammar(toxicity.Model((("abruti$", 4.0), ("ordure$", 3.0), ("encul", 5.0))))
     assert rules.evidence("Espèce d'abruti !") == 4.0 == rules.evidence("Espèce d’abruti !")
