@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,30 @@ def unique_queries_by_region(jobs: DataFrame, approximate: bool = False) -> Data
     return seen.groupBy("region").agg(F.count(F.lit(1)).alias("unique_queries"))
 
 
+def query_sketches(jobs: DataFrame, precision: int = 14) -> DataFrame:
+    """A sketch of the distinct query texts of each region and day (a row each), to be stored.
+
+    Sketches of later days are appended; the log itself is not read again.  ``precision`` is the
+    logarithm of a sketch's buckets: at 14 a count is off by about 0.8 % (one standard deviation).
+    """
+    digest = F.unhex(F.sha2(F.col("query"), 256))
+    return jobs.where(F.col("query").isNotNull()).groupBy(
+        "region", F.to_date("creation_time").alias("day")).agg(
+            F.hll_sketch_agg(digest, precision).alias("sketch"))
+
+
+def unique_from_sketches(sketches: DataFrame, keys: Sequence[str] = ("region",),
+                         since=None, until=None) -> DataFrame:
+    """Distinct query texts by ``keys`` (region, day, or none) over the days from ``since`` to
+    ``until``, both included, by merging stored sketches of one precision."""
+    if since is not None:
+        sketches = sketches.where(F.col("day") >= F.lit(since).cast("date"))
+    if until is not None:
+        sketches = sketches.where(F.col("day") <= F.lit(until).cast("date"))
+    return sketches.groupBy(*keys).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_queries"))
+
+
 def unique_query_count(jobs: DataFrame, global_distinct: bool = False) -> DataFrame:
     """Sum of the per-region counts, or with ``global_distinct`` one count over all regions."""
     source = jobs.withColumn("region", F.lit("all")) if global_distinct else jobs

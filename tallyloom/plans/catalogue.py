@@ -19,6 +19,7 @@ from tallyloom.plans import mining, ranking
 from tallyloom.plans.adapters import EVENTS_AS_OF, ORDERS_AS_OF, Tables
 from tallyloom.sources import scans, sinks
 from tallyloom.streaming import followers, runs
+from tallyloom.streaming.serving import ServingTable
 from tallyloom.streaming import monitor as live_monitor
 
 QUERIES = {}
@@ -307,6 +308,17 @@ def unique_queries_by_region(t):
     return inventory.unique_queries_by_region(A.jobs(t))
 
 
+@registered
+def sketched_unique_queries(t):
+    """Unique queries of each region from stored daily sketches, held against the exact count."""
+    days = stage(inventory.query_sketches(A.jobs(t)), "sketches")
+    exact = inventory.unique_queries_by_region(A.jobs(t))
+    off = F.abs(F.col("estimate") - F.col("unique_queries"))
+    return inventory.unique_from_sketches(days).withColumnRenamed("unique_queries", "estimate").join(
+        exact, "region").select("region", "unique_queries",
+                                (off <= F.greatest(F.lit(2.0), 0.05 * F.col("unique_queries"))).alias("near"))
+
+
 @registered
 def inventory_counts(t):
     return inventory.inventory_counts(A.datasets(t), A.physical_tables(t), A.jobs(t))
@@ -822,6 +834,29 @@ def served_features(t):
     return t.spark.read.parquet(path).select("entity_id", "event_count", "order_count")
 
 
+@registered
+def refreshed_features(t):
+    """The feature view, kept up to date: the first half of the time, then only who has changed."""
+    middle = t.events.agg(F.expr("timestamp_micros((min(unix_micros(cast(ts as timestamp))) "
+                                 "+ max(unix_micros(cast(ts as timestamp)))) div 2)")).scalar()
+
+    def activity(events):
+        return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("event_count"), F.max("ts").alias("last_ts"))
+
+    spending = t.orders.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("order_count"), F.max("o_orderdate").alias("last_order"))
+    late = t.events.where(F.col("ts") > middle)
+    changed = t.events.join(late.select("user_id").distinct(), "user_id", "left_semi")
+    early = activity(t.events.where(F.col("ts") <= middle))
+    served = ServingTable(t.spark, new_path(t.spark, "serving"),
+                          [features.FeatureGroup("activity", early, ("user_id",), "last_ts"),
+                           features.FeatureGroup("spending", spending, ("o_custkey",), "last_order")],
+                          [["event_count"], ["order_count"]], buckets=16)
+    served.refresh({"activity": early, "spending": spending})
+    served.refresh({"activity": activity(changed)})
+    return served.view()
+
+
 @registered
 def log_lines_in_order(t):
     lines = monitor.in_time_order(A.dag_logs(t))

@@ -338,6 +338,8 @@ define("date_window_intersection", ("jobs", "windows"), "SELECT job_id, date_win
 define("logical_tables", ("physical",), "SELECT DISTINCT table_schema, base AS logical_name FROM physical")
 define("unique_queries_by_region", ("jobs",),
        "SELECT region, count(DISTINCT query) AS unique_queries FROM jobs GROUP BY 1")
+define("sketched_unique_queries", ("jobs",),
+       "SELECT region, count(DISTINCT query) AS unique_queries, true AS near FROM jobs GROUP BY 1")
 define("inventory_counts", ("physical", "jobs"), """SELECT
  (SELECT count(DISTINCT o_orderpriority) FROM orders) AS datasets,
  (SELECT count(DISTINCT base) FROM physical) AS logical_tables,
@@ -519,6 +521,8 @@ define("exported_csv", (), """SELECT CAST(p_partkey + 1 AS VARCHAR) AS id, p_nam
 define("dumped_cards", ("card",), "SELECT artifact, 'list' AS kind, id, name FROM card")
 define("served_features", ("activity", "spending", "viewed"),
        "SELECT entity_id, event_count, order_count FROM viewed")
+define("refreshed_features", ("activity", "spending", "viewed"),
+       "SELECT entity_id, event_count, order_count FROM viewed")
 define("log_lines_in_order", ("logged",), f"""SELECT strftime(ts, {TS}) AS timestamp, dag_id,
  CASE WHEN st IS NULL THEN 'Heartbeat of task_id=' || task_id ELSE 'Marking task as ' || st || '. dag_id='
    || dag_id || ', task_id=' || task_id || ', run_id=r1' END AS payload FROM logged""")
