@@ -834,6 +834,19 @@ def served_features(t):
     return t.spark.read.parquet(path).select("entity_id", "event_count", "order_count")
 
 
+@registered
+def landed_log(t):
+    """Events landed by day, type and user, read again in two intervals that meet inside a day."""
+    path, middle = new_path(t.spark, "landed"), "2024-01-16 12:00:00"
+    log = t.events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    sinks.write_landed(log, path, "ts", ["event_type", "user_id"], ["event_id"])
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    first = scans.read_landed(t.spark, path, schema, "ts", until=middle)
+    second = scans.read_landed(t.spark, path, schema, "ts", start=middle)
+    return first.withColumn("half", F.lit(1)).unionByName(second.withColumn("half", F.lit(2))).select(
+        "event_id", "user_id", "event_type", _time("ts"), "half")
+
+
 @registered
 def refreshed_features(t):
     """The feature view, kept up to date: the first half of the time, then only who has changed."""

@@ -521,6 +521,8 @@ define("exported_csv", (), """SELECT CAST(p_partkey + 1 AS VARCHAR) AS id, p_nam
 define("dumped_cards", ("card",), "SELECT artifact, 'list' AS kind, id, name FROM card")
 define("served_features", ("activity", "spending", "viewed"),
        "SELECT entity_id, event_count, order_count FROM viewed")
+define("landed_log", (), """SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts,
+ CASE WHEN ts < TIMESTAMP '2024-01-16 12:00:00' THEN 1 ELSE 2 END AS half FROM events WHERE ts IS NOT NULL""")
 define("refreshed_features", ("activity", "spending", "viewed"),
        "SELECT entity_id, event_count, order_count FROM viewed")
 define("log_lines_in_order", ("logged",), f"""SELECT strftime(ts, {TS}) AS timestamp, dag_id,

@@ -31,6 +31,24 @@ def read_jobs(spark: SparkSession, path: str, skip_damaged: bool = False) -> Dat
             .option("ignoreCorruptFiles", skip_damaged).parquet(path))
 
 
+def read_landed(spark: SparkSession, path: str, schema: str, time_column: str, start=None, until=None,
+                day: str = "day", **equal) -> DataFrame:
+    """Rows of a log that :func:`sinks.write_landed` laid out, from ``start`` up to before ``until``,
+    with the given values of columns.  Days are pruned by folder, row groups by sort order and bloom
+    filter; rows without a time are found only if neither limit is given."""
+    found = spark.read.schema(f"{schema}, `{day}` date").parquet(path)
+    for limit, compare in ((start, F.col(day).__ge__), (until, F.col(day).__le__)):
+        if limit is not None:
+            found = found.where(compare(F.lit(limit).cast("timestamp").cast("date")))
+    if start is not None:
+        found = found.where(F.col(time_column) >= F.lit(start).cast("timestamp"))
+    if until is not None:
+        found = found.where(F.col(time_column) < F.lit(until).cast("timestamp"))
+    for name, value in equal.items():
+        found = found.where(F.col(name) == F.lit(value))
+    return found.drop(day)
+
+
 def unread_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, size, rows, read) of the job files below ``path`` that ``skip_damaged`` reads in part or
     not at all: rows as the file's footer has them (null: it has none to read), and rows read.
