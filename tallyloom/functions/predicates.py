@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import present
 
 TEXT_PRINTABLE_SHARE = 0.9
+PRINTABLE = r"[\x20-\x7E\t\r\n]"
+GIT_FOLDER = r"(^|/)\.git/"
+FILE_ENDING = r"\.([A-Za-z0-9]+)(?:\.(?:gz|bz2|xz|br|Z))?$"
+JSON_LIST, JSON_OBJECT = r"^\s*\[", r"^\s*\{"
 
 # File name endings whose built-in media type is text, JSON or XML.
 TEXT_EXTENSIONS = sorted(
@@ -79,14 +83,14 @@ def is_countable_file(kind: Column, path: Column, size: Column,
                       max_bytes: int | None = None) -> Column:
     """A blob with a path and a size, outside any ``.git`` folder; of at most ``max_bytes`` when
     that is given."""
-    inside_git = path.rlike(r"(^|/)\.git/")
+    inside_git = path.rlike(GIT_FOLDER)
     sized = size.isNotNull() if max_bytes is None else size <= max_bytes
     return F.coalesce((kind == "blob") & present(path) & sized & ~inside_git, F.lit(False))
 
 
 def file_extension(path: Column) -> Column:
     """Ending of the file name in lower case; that of a packed file is the one before."""
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)(?:\.(?:gz|bz2|xz|br|Z))?$", 1))
+    return F.lower(F.regexp_extract(path, FILE_ENDING, 1))
 
 
 def looks_like_text(content: Column, probe_bytes: int | None = None) -> Column:
@@ -97,7 +101,7 @@ def looks_like_text(content: Column, probe_bytes: int | None = None) -> Column:
     """
     probe = content if probe_bytes is None else F.substring(content, 1, probe_bytes)
     chars = F.decode(probe, "ISO-8859-1")
-    odd = F.regexp_replace(chars, r"[\x20-\x7E\t\r\n]", "")
+    odd = F.regexp_replace(chars, PRINTABLE, "")
     total = F.length(chars)
     share = (total - F.length(odd)) / F.greatest(total, F.lit(1))
     return F.coalesce((F.instr(chars, "\x00") == 0) & (share > TEXT_PRINTABLE_SHARE), F.lit(False))

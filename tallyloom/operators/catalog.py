@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.predicates import card_kind
+from tallyloom.functions.predicates import JSON_LIST, JSON_OBJECT, card_kind
 
 ROW_SAMPLE = 10
 
@@ -64,8 +64,8 @@ def row_as_map(names: Column, row: Column) -> Column:
         F.slice(names, i + 1, F.greatest(F.size(names) - i, F.lit(0))), F.element_at(names, i)))
     listed = F.map_from_arrays(F.transform(last, lambda i: F.element_at(names, i)),
                                F.transform(last, lambda i: F.try_element_at(values, i)))
-    return (F.when(row.rlike(r"^\s*\["), listed)
-             .when(row.rlike(r"^\s*\{"), F.from_json(row, "map<string,string>"))
+    return (F.when(row.rlike(JSON_LIST), listed)
+             .when(row.rlike(JSON_OBJECT), F.from_json(row, "map<string,string>"))
              .otherwise(F.create_map(F.lit("_value"), row)))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyloom import schemas
 from tallyloom.functions import predicates as P
 from tallyloom.functions.grouped import distinct_counts
+from tallyloom.functions.scalars import with_maxima
+from tallyloom.functions.sqlfunctions import register_functions
 from tallyloom.functions.sqltext import is_date_text
 from tallyloom.functions.staging import new_path, stage
 from tallyloom.operators import (assets, catalog, features, hierarchy, inventory, lifecycle, metrics,
@@ -929,3 +931,47 @@ def running_progress(t):
 def events_of_a_task(t):
     events = lifecycle.of_task(lifecycle.parse_events(A.progress_json(t)), 7)
     return events.select(_time("ts"), "type", "stage", "progress")
+
+
+# ---- SQL surface --------------------------------------------------------------------
+
+
+def _sql(t, text, **tables):
+    if not t.spark.catalog.functionExists("signature_parts"):
+        register_functions(t.spark)
+    return t.spark.sql(text, **tables)
+
+
+@registered
+def widgets_in_sql(t):
+    """Widgets of nested dashboard documents, by the SQL table function."""
+    return _sql(t, """SELECT w.dashboard_id, w.pos, w.widget_id, w.query_id, w.text, w.row, w.col,
+        widget_kind(w.has_visualization, w.viz_type) AS kind
+        FROM {dashboards} d, LATERAL dashboard_widgets(d.id, d.widgets) w""", dashboards=A.nested_dashboards(t))
+
+
+@registered
+def result_rows_in_sql(t):
+    """First rows of every card's result by name, by the SQL table function."""
+    return _sql(t, """SELECT c.card_id, r.row_number, r.fields['part'] AS part_text, r.fields['line'] AS line_text,
+        r.fields['missing'] AS missing, cardinality(r.fields) AS n_fields
+        FROM {cards} c, LATERAL result_rows(c.cols, c.rows, 3) r""", cards=A.nested_results(t))
+
+
+@registered
+def signature_parts_in_sql(t):
+    return _sql(t, "SELECT j.job_id, s.part, s.value FROM {jobs} j, LATERAL signature_parts(j.query) s",
+                jobs=A.jobs(t).select("job_id", "query"))
+
+
+@registered
+def query_scores_in_sql(t):
+    """The score parts of saved queries, written in SQL."""
+    counted = assets.query_features(A.saved_queries(t), assets.lineage_edges(A.widgets(t)))
+    counted = with_maxima(counted, "downstream_dashboard_count", "downstream_chart_count")
+    scored = _sql(t, """SELECT id, query_impact(downstream_dashboard_count, downstream_chart_count,
+            _top.downstream_dashboard_count, _top.downstream_chart_count) AS impact_score,
+          query_recency(to_timestamp({as_of}), updated_at) AS recency_score,
+          query_curation(description, schedule) AS curation_score FROM {counted}""",
+                  counted=counted, as_of=ORDERS_AS_OF)
+    return scored.select("id", *_r("impact_score", "recency_score", "curation_score"))

@@ -545,3 +545,24 @@ define("events_of_a_task", (), f"""SELECT strftime(ts, {TS}) AS ts,
  CASE WHEN event_type <> 'click' THEN {STAGE} END AS stage,
  CAST(CASE WHEN event_type = 'click' THEN event_id % 250 END AS INT) AS progress
  FROM events WHERE user_id = 7""")
+
+# ---- SQL surface
+_PLACED = """(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+ l_returnflag) AS n FROM lineitem)"""
+define("widgets_in_sql", (), f"""SELECT l_orderkey - 1 AS dashboard_id, n - 1 AS pos, l_partkey AS widget_id,
+ CASE WHEN l_returnflag <> 'R' THEN l_partkey + 1 END AS query_id, l_returnflag AS text,
+ CAST(CASE WHEN l_suppkey % 3 > 0 THEN l_linenumber ELSE 0 END AS INT) AS row, CAST(0 AS INT) AS col,
+ CASE l_returnflag WHEN 'R' THEN 'no_visualization' WHEN 'N' THEN 'chart' ELSE 'unknown_type' END AS kind
+ FROM {_PLACED} WHERE l_orderkey <> 1""")
+define("result_rows_in_sql", (), f"""SELECT l_orderkey AS card_id, CAST(n AS INT) AS row_number,
+ CASE WHEN l_returnflag IN ('N', 'R') THEN CAST(l_partkey AS VARCHAR) END AS part_text,
+ CASE WHEN l_returnflag = 'N' THEN CAST(l_linenumber AS VARCHAR) END AS line_text,
+ CAST(NULL AS VARCHAR) AS missing, CAST(CASE l_returnflag WHEN 'N' THEN 3 ELSE 1 END AS INT) AS n_fields
+ FROM {_PLACED} WHERE n <= 3""")
+define("signature_parts_in_sql", ("jobs",), """SELECT job_id, unnest(['agg_funcs', 'set_ops', 'has_limit', 'has_order_by'])
+ AS part, unnest([CASE event_type WHEN 'view' THEN 'count distinct' WHEN 'purchase' THEN 'avg,max,sum' ELSE '' END,
+ CASE event_type WHEN 'error' THEN 'UNION ALL' ELSE '' END,
+ CASE WHEN event_type = 'click' THEN 'true' ELSE 'false' END,
+ CASE WHEN event_type IN ('view', 'signup') THEN 'true' ELSE 'false' END]) AS value FROM jobs""")
+define("query_scores_in_sql", GOLDEN, """SELECT id, round(impact, 6) AS impact_score,
+ round(recency, 6) AS recency_score, round(curation, 6) AS curation_score FROM golden""")
