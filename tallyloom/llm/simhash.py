@@ -49,9 +49,17 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(chosen.view("<u8")[0])
 
 
+def _row_hashes(docs: DataFrame) -> list[Column]:
+    """Two hashes of all columns of a row, the second of where its nulls are too: hashes skip nulls,
+    and one of 64 bits is the same for a few of 10^10 rows."""
+    nulls = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(*values), F.xxhash64(*nulls, *values)]
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, row (a hash of all columns) and fingerprint (long, the 64 bits) of every row of
-    ``docs``; whole texts."""
+    """doc_id, row and check (hashes of all columns) and fingerprint (long, the 64 bits) of every
+    row of ``docs``; whole texts."""
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -59,9 +67,10 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             yield batch.assign(doc_id=batch["doc_id"].astype("Int64"),
                                fingerprint=marks.view(np.int64))
 
-    whole = F.xxhash64(*docs.columns).alias("row")
-    return small_batches(docs).select(F.col("doc_id").cast("long"), whole, "text").mapInPandas(
-        marked, "doc_id long, row long, fingerprint long")
+    row, check = _row_hashes(docs)
+    return small_batches(docs).select(
+        F.col("doc_id").cast("long"), row.alias("row"), check.alias("check"), "text").mapInPandas(
+        marked, "doc_id long, row long, check long, fingerprint long")
 
 
 def _masks(blocks: int, max_bits: int) -> list[int]:
@@ -168,13 +177,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
 def kept_documents(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                    blocks: int = BLOCKS) -> DataFrame:
     """One row of ``docs`` for each component of ``near_duplicates``, with all its columns: that
-    with the smallest doc_id (rows without one last).  Among rows with that doc_id a hash of all
-    columns decides, so rows repeated in full are kept once and reruns agree.  Null and empty texts are
+    with the smallest doc_id (rows without one last).  Among rows with that doc_id hashes of all
+    columns decide, so rows repeated in full are kept once and reruns agree.  Null and empty texts are
     one group; an empty table gives an empty result."""
     members = _members(docs, words, max_bits, blocks)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.struct("row", "check").alias("row"))
     mine = free_name(docs, "_row")
     chosen = (members.groupBy("root").agg(F.min(order).alias("least"))
               .select(F.col("least.row").alias(mine)).distinct())
-    return (docs.withColumn(mine, F.xxhash64(*docs.columns))
+    return (docs.withColumn(mine, F.struct(*[h.alias(n) for h, n in zip(_row_hashes(docs), ("row", "check"))]))
             .join(chosen, mine, "left_semi").dropDuplicates([mine]).drop(mine))
