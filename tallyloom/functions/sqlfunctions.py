@@ -140,9 +140,11 @@ def _define_tables(define) -> None:
     define(f"dashboard_widgets(id BIGINT, widgets {WIDGETS})",
            "TABLE(dashboard_id BIGINT, pos BIGINT, widget_id BIGINT, has_visualization BOOLEAN, viz_type STRING, "
            "query_id BIGINT, text STRING, `row` INT, col INT)",
+           # The condition stands in the generator: a filter over it would make Spark join the rows to themselves.
            "SELECT id, cast(p AS BIGINT), w.id, w.visualization IS NOT NULL, w.visualization.type, "
            "w.visualization.query.id, w.text, coalesce(w.options.position.row, 0), "
-           "coalesce(w.options.position.col, 0) FROM LATERAL posexplode(widgets) AS e(p, w) WHERE is_present_id(id)")
+           "coalesce(w.options.position.col, 0) FROM LATERAL posexplode("
+           "if(id IS NOT NULL AND cast(id AS STRING) NOT IN ('', '0'), widgets, NULL)) AS e(p, w)")
     listed = ("filter(sequence(1, size(names)), i -> NOT array_contains(slice(names, i + 1, "
               "greatest(size(names) - i, 0)), element_at(names, i)))")
     listed = f"if(size(names) > 0, {listed}, cast(array() AS ARRAY<INT>))"

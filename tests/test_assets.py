@@ -125,3 +125,21 @@ def test_last_query_of_a_widget_wins(spark):
 def test_score_distribution(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], "s double")
     assert A.score_distribution(df, "s").first() == ("s", 1.0, 3.0, 2.0)
+
+
+def test_nested_tables_are_made_after_their_rows_are_grouped(spark, folder):
+    from tallyloom.plans import adapters as A
+    rows = [(1, 10, 3, 2, "R"), (1, 11, 4, 1, "N"), (1, 11, 4, 1, "N"), (2, None, None, None, None), (2, 5, 1, 1, "A")]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                                "l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    boards = A.nested_dashboards(A.Tables(spark, folder))
+    got = {r.id: r.widgets for r in boards.collect()}
+    assert [w.id for w in got[0]] == [11, 11, 10] and [w.id for w in got[1]] == [None, 5]
+    assert got[0][0].options.position.row == 1 and got[0][2].options is None and got[0][2].visualization is None
+    assert got[0][0].visualization.type == "chart" and got[0][0].visualization.query.id == 12
+    results = {r.card_id: r.rows for r in A.nested_results(A.Tables(spark, folder)).collect()}
+    assert results == {1: ["[1, 11, 1]", "[1, 11, 1]", '{"part": 10}'], 2: [None, "5"]}
+    # Only the four columns travel, not the documents made of them.
+    plan = boards._jdf.queryExecution().executedPlan().toString().split("\n")
+    grouped = [line for line in plan if "partial_collect_list" in line]
+    assert len(grouped) == 1 and "sizeX" not in grouped[0]
