@@ -32,10 +32,10 @@ def register_functions(spark: SparkSession) -> None:
     def define(signature: str, kind: str, body: str) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
 
-    comments = _quote(f"({Q.QUOTED})|{Q.COMMENT}")
+    comments = _quote(Q.LITERAL_OR_COMMENT)
     text = f"lower(regexp_replace(q, {comments}, '$1 '))"
     text = f"regexp_replace({text}, {_quote(Q.SPACES)}, ' ')"
-    text = f"regexp_replace({text}, {_quote(Q.AROUND_SIGNS)}, '$1')"
+    text = f"regexp_replace({text}, {_quote(Q.AROUND_SIGNS)}, '')"
     text = f"trim(regexp_replace({text}, {_quote(Q.TAIL)}, ''))"
     define("canonical_query(q STRING)", "STRING", text)
     define("query_shape(q STRING)", "STRING",
@@ -56,7 +56,7 @@ def register_functions(spark: SparkSession) -> None:
     _define_texts(define)
     _define_scores(define)
     _define_repositories(define)
-    _define_tables(define)
+    _define_tables(define, text)
 
 
 def _define_scores(define) -> None:
@@ -132,7 +132,7 @@ def _define_repositories(define) -> None:
            f"file_extension(path) IN ({_listed(P.TEXT_EXTENSIONS)}) OR looks_like_text(content)")
 
 
-def _define_tables(define) -> None:
+def _define_tables(define, canonical: str) -> None:
     """Table functions: a row each for the widgets of a dashboard, the rows of a card's result, and
     the parts of a signature that a query's marks tell without their order."""
     define("widget_kind(has_visualization BOOLEAN, viz_type STRING)", "STRING",
@@ -157,22 +157,26 @@ def _define_tables(define) -> None:
     define(f"result_rows(names ARRAY<STRING>, found ARRAY<STRING>, n INT DEFAULT {ROW_SAMPLE})",
            "TABLE(row_number INT, fields MAP<STRING, STRING>)",
            "SELECT p + 1, result_row(names, r) FROM LATERAL posexplode(slice(found, 1, n)) AS e(p, r)")
-    places = {name: k for k, name in enumerate(Q._FIELDS)}
-    dated = f"regexp_replace(canonical_query(q), {_quote(f"('{Q.DATE_TEXT}')|{Q.QUOTED}")}, '$1?')"
-    cut = _quote(Q._OPENS + "".join(g + Q._ENDS for g in Q._FIELDS.values()))
+    dated = f"regexp_replace({canonical}, {_quote(f"('{Q.DATE_TEXT}')|{Q.QUOTED}")}, '$1?')"
+    plain = f"regexp_replace({dated}, {_quote(Q._SIGNS)}, '')"
+    listed = Q._TOLD + "".join(groups + Q._ENDS for groups in Q._FIELDS.values())
     define("query_marks(q STRING)", "ARRAY<ARRAY<STRING>>",
-           f"transform(slice(split(regexp_replace(translate({dated}, {_quote('`' + Q._OPENS + Q._ENDS)}, ''), "
-           f"{_quote(Q._MARK)}, {cut}), {_quote(Q._OPENS)}), 2, {1 << 30}), m -> split(m, {_quote(Q._ENDS)}))")
-
-    def told(field: str) -> str:
-        return f"filter(transform(query_marks(q), m -> m[{places[field]}]), v -> v <> '')"
-    define("aggregate_functions(q STRING)", "ARRAY<STRING>", "sort_array(array_distinct(transform("
-           f"{told('aggregate')}, m -> rtrim(translate(m, '(', ' ')))))")
-    define("set_operators(q STRING)", "ARRAY<STRING>",
-           f"sort_array(transform({told('set')}, m -> upper(replace(m, ' distinct', ''))))")
-    define("has_limit(q STRING)", "BOOLEAN", f"exists({told('clause')}, w -> startswith(w, 'limit '))")
-    define("has_order_by(q STRING)", "BOOLEAN", f"array_contains({told('clause')}, 'order by')")
+           f"transform(slice(split(regexp_replace({plain}, {_quote(Q._MARK)}, {_quote(listed)}), "
+           f"{_quote(Q._TOLD)}), 2, {1 << 30}), m -> split(m, {_quote(Q._ENDS)}))")
+    # No SQL function can be called in a generator: the marks are written out.
+    marks = f"regexp_replace({plain}, {_quote(Q._MARK)}, {_quote(Q._CUT)})"
+    aggregates = (f"sort_array(array_distinct(transform(regexp_extract_all(m, {_quote(Q.AGGREGATE)}, 1), "
+                  "a -> rtrim(translate(a, '(', ' ')))))")
+    operators = (f"sort_array(transform(regexp_extract_all(m, {_quote(Q.SET_OPERATOR)}, 1), "
+                 "o -> upper(replace(o, ' distinct', ''))))")
+    limit, order = f"contains(m, {_quote(Q.LIMIT)})", f"contains(m, {_quote(Q.ORDER_BY)})"
+    for name, kind, body in (("aggregate_functions", "ARRAY<STRING>", aggregates), ("has_limit", "BOOLEAN", limit),
+                             ("set_operators", "ARRAY<STRING>", operators), ("has_order_by", "BOOLEAN", order)):
+        define(f"{name}(q STRING)", kind, f"get(transform(array({marks}), m -> {body}), 0)")
+    # The marks are found once, inside the generator: over a sub-query of the text, Spark would join the
+    # texts to themselves.
     define("signature_parts(q STRING)", "TABLE(part STRING, value STRING)",
-           "SELECT part, value FROM (SELECT map('agg_funcs', array_join(aggregate_functions(q), ','), "
-           "'set_ops', array_join(set_operators(q), ','), 'has_limit', cast(has_limit(q) AS STRING), "
-           "'has_order_by', cast(has_order_by(q) AS STRING)) AS parts) LATERAL VIEW explode(parts) e AS part, value")
+           "SELECT part, value FROM LATERAL explode(get(transform("
+           f"array({marks}), m -> map("
+           f"'agg_funcs', array_join({aggregates}, ','), 'set_ops', array_join({operators}, ','), "
+           f"'has_limit', cast({limit} AS STRING), 'has_order_by', cast({order} AS STRING))), 0)) AS e(part, value)")

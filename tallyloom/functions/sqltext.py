@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 # Possessive quantifiers: long literals and comments are matched in a loop, not by recursion.
 QUOTED = r"""'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 COMMENT = r"--[^\n]*+|#[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
+# Patterns of many branches look at one character first: most characters begin no branch.
+LITERAL_OR_COMMENT = rf"""(?=['"#/-])(?:({QUOTED})|{COMMENT})"""
 # Hex, decimal and ``.5``.  Digits that a dotted name goes on from (my-project-12.d.t) are no number.
-NUMBER = (r"(?:\b0[xX][0-9a-fA-F]+|\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+NUMBER = (r"(?=[0-9.])(?:\b0[xX][0-9a-fA-F]+|\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
           r"|(?<![\w.)\]])\.[0-9]+(?:[eE][+-]?[0-9]+)?)\b(?!(?:-[\w-]*)?\.[A-Za-z_])")
-SPACES = r"\s+"
-AROUND_SIGNS = r" *([(),=<>+*/;-]) *"
+# What is no single space already, and spaces beside signs: plain text has few matches.
+SPACES = r"[^\S ]\s*+| \s++"
+AROUND_SIGNS = r" ++(?=[(),=<>+*/;-])|(?<=[(),=<>+*/;-]) ++"
 TAIL = r"[; ]+$"
 DATE_TEXT = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
@@ -28,12 +31,12 @@ AGGREGATES = ("count", "sum", "avg", "min", "max", "approx_count_distinct")
 
 
 def strip_comments(sql: Column) -> Column:
-    return F.regexp_replace(sql, f"({QUOTED})|{COMMENT}", "$1 ")
+    return F.regexp_replace(sql, LITERAL_OR_COMMENT, "$1 ")
 
 
 def _tidy(text: Column) -> Column:
     text = F.regexp_replace(F.lower(text), SPACES, " ")
-    text = F.regexp_replace(text, AROUND_SIGNS, "$1")
+    text = F.regexp_replace(text, AROUND_SIGNS, "")
     return F.trim(F.regexp_replace(text, TAIL, ""))
 
 
@@ -110,7 +113,7 @@ _SET = (r"(?:union|intersect|except)(?: all| distinct)?(?= (?:select|with|values
 _CLAUSE = (r"where|group by|having|qualify|window(?= \w+ as\()|order by|limit (?:[?]|@\w+|[0-9]+)"
            r"|select|with(?! offset| ordinality| ties)")
 # What a mark is made of: groups of the alternatives below, in the order of _FIELDS.
-_MARK = "|".join([
+_MARK = r"(?=[(),<>a-w])(?:(?=[(),<>])|\b)(?:" + "|".join([
     rf"(>=|<=|\bbetween ){_DATE}(?: ?and {_DATE})?",
     r"\bdistinct from\b",
     # Table heads: FROM, JOIN or a comma, a name with its alias or the bracket of its arguments.
@@ -119,16 +122,24 @@ _MARK = "|".join([
     rf"(\()(?:(select|with)\b|({_NO_ALIAS}{_NAME})(?!\()(?:{_ALIAS})?)?",
     rf"(\))(?:{_ALIAS})?",
     rf"\b({_SET})|\b({_CLAUSE})",
-])
+]) + ")"
 _FIELDS = {"compared": "$1", "first": "$2$3", "last": "$4$5", "head": "$6$7", "name": "$8$14", "call": "$9",
            "alias": "$10$15$17", "aggregate": "$11", "bracket": "$12$16", "query": "$13", "set": "$18",
            "clause": "$19"}
-_OPENS, _ENDS = "\x01", "\x02"
+# A field ends with _ENDS; those that are also read without their order begin with _TOLD.
+_ENDS, _TOLD = "\x01", "\x02"
+_SIGNS = f"[`{_ENDS}{_TOLD}]"
+_CUT = _ENDS + "".join((_TOLD if name in ("aggregate", "set", "clause") else "") + groups + _ENDS
+                       for name, groups in _FIELDS.items())
+AGGREGATE = f"{_TOLD}([^{_ENDS}(]++\\([^{_ENDS}]*+)"
+SET_OPERATOR = f"{_TOLD}((?:union|intersect|except)[^{_ENDS}]*+)"
+LIMIT, ORDER_BY = f"{_TOLD}limit ", f"{_TOLD}order by{_ENDS}"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _with_one(acc: Column, value: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of a state and a value that is computed once: a fold of one step, which unlike an item
+    of a transformed array does not work out the type of ``body`` again in every row."""
+    return F.aggregate(F.array(value), acc, body)
 
 
 def dated(canonical_text: Column) -> Column:
@@ -143,15 +154,16 @@ def shape_of_dated(dated_text: Column) -> Column:
 
 
 def marks(dated_text: Column) -> Column:
-    """The pieces of a text that its signature is made of, found in one pass, as structs of _FIELDS.
+    """The text with the pieces that its signature is made of, found in one pass, written as _FIELDS.
 
-    The functions below read this array; give it a column of its own.
+    The functions below read this text; give it a column of its own.
     """
-    plain = F.translate(dated_text, "`" + _OPENS + _ENDS, "")
-    cut = F.regexp_replace(plain, _MARK, _OPENS + "".join(g + _ENDS for g in _FIELDS.values()))
-    pieces = F.slice(F.split(cut, _OPENS), 2, 1 << 30)
-    return F.transform(pieces, lambda piece: _let(F.split(piece, _ENDS), lambda parts: F.struct(
-        *[F.get(parts, k).alias(name) for k, name in enumerate(_FIELDS)])))
+    return F.regexp_replace(F.regexp_replace(dated_text, _SIGNS, ""), _MARK, _CUT)
+
+
+def fields(found: Column) -> Column:
+    """The texts between :func:`marks` and the fields of each, in order."""
+    return F.split(found, _ENDS)
 
 
 _FRAME = "struct<kind:string,clause:string,last:string,live:boolean,names:array<string>>"
@@ -176,8 +188,8 @@ def _state(value: Column | None, **changes: Column) -> Column:
                  {"expects": F.lit(False)} | changes)
 
 
-def scopes(found: Column, keep_catalog: bool = False) -> Column:
-    """(tables, edges, windows, whole) from a fold of :func:`marks` over a stack of scopes.
+def scopes(cut: Column, keep_catalog: bool = False) -> Column:
+    """(tables, edges, windows, whole) from a fold of :func:`fields`, a column of its own, over a stack of scopes.
 
     A scope is a bracket: a query, a group of joins, the arguments of a table function, or anything
     else; it knows its clause, the table named last, its aliases, and whether it is part of the final
@@ -194,7 +206,7 @@ def scopes(found: Column, keep_catalog: bool = False) -> Column:
         tables=none, edges=none, lows=none, highs=none, windows=F.array().cast(f"array<{_WINDOW}>"),
         whole=F.lit(True))
 
-    def table(acc: Column, m: Column) -> Column:
+    def table(acc: Column, m: dict[str, Column]) -> Column:
         """The qualified name of a mark, empty if it is none or a path."""
         first = F.substring_index(m["name"], ".", 1)
         path = F.array_contains(acc["top"]["names"], first) | F.exists(
@@ -202,7 +214,7 @@ def scopes(found: Column, keep_catalog: bool = False) -> Column:
         return F.when((m["call"] == "") & m["name"].contains(".") & ~path,
                       m["name"] if keep_catalog else F.substring_index(m["name"], ".", -2)).otherwise("")
 
-    def alias(m: Column) -> Column:
+    def alias(m: dict[str, Column]) -> Column:
         return F.when(m["alias"] != "", m["alias"]).otherwise(F.substring_index(m["name"], ".", -1))
 
     def more(texts: Column, one: Column) -> Column:
@@ -212,7 +224,7 @@ def scopes(found: Column, keep_catalog: bool = False) -> Column:
         """The clause of a bracket that is no query: conditions go on in it."""
         return F.when(top["clause"].isin("where", "start"), top["clause"]).otherwise("")
 
-    def headed(acc: Column, m: Column, name: Column) -> Column:
+    def headed(acc: Column, m: dict[str, Column], name: Column) -> Column:
         top = acc["top"]
         word = F.substring_index(m["head"], " ", 1)
         kind = F.when(word.isin("left", "right", "full", "cross"), word).otherwise("inner")
@@ -226,7 +238,7 @@ def scopes(found: Column, keep_catalog: bool = False) -> Column:
         return F.when(m["call"] != "", called).otherwise(
             _state(acc, top=here, expects=m["name"] == "", **seen))
 
-    def opened(acc: Column, m: Column) -> Column:
+    def opened(acc: Column, m: dict[str, Column]) -> Column:
         top, query = acc["top"], m["query"] != ""
         new = F.when(query, _frame(top, kind=F.lit("query"), clause=F.lit("select"), last=text,
                                    live=top["live"] & (top["clause"] == "start"), names=none)).otherwise(
@@ -235,13 +247,13 @@ def scopes(found: Column, keep_catalog: bool = False) -> Column:
         here = F.when(acc["expects"], _frame(top, last=text)).otherwise(top)
         return _state(acc, below=F.concat(acc["below"], F.array(here)), top=new)
 
-    def grouped(acc: Column, m: Column, name: Column) -> Column:
+    def grouped(acc: Column, m: dict[str, Column], name: Column) -> Column:
         group = _frame(acc["top"], kind=F.lit("group"), clause=F.lit("from"), last=name, live=F.lit(False),
                        names=more(none, alias(m)))
         return _state(acc, below=F.concat(acc["below"], F.array(acc["top"])), top=group,
                       expects=m["name"] == "", tables=more(acc["tables"], name))
 
-    def closed(acc: Column, m: Column, under: Column) -> Column:
+    def closed(acc: Column, m: dict[str, Column], under: Column) -> Column:
         top, group = acc["top"], acc["top"]["kind"] == "group"
         relation = (top["kind"] != "other") & (under["clause"] == "from")
         # The aliases inside a group of joins are seen outside of it.
@@ -250,7 +262,7 @@ def scopes(found: Column, keep_catalog: bool = False) -> Column:
                       names=F.when(relation, more(names, m["alias"])).otherwise(under["names"]))
         return _state(acc, below=F.slice(acc["below"], 1, F.size(acc["below"]) - 1), top=back)
 
-    def dates(acc: Column, m: Column) -> Column:
+    def dates(acc: Column, m: dict[str, Column]) -> Column:
         to, from_ = m["compared"] == "<=", m["compared"] == ">="
         last = F.when(m["last"] != "", m["last"]).when(to, m["first"]).otherwise("")
         return _state(acc, lows=F.when(to, acc["lows"]).otherwise(more(acc["lows"], m["first"])),
@@ -262,23 +274,28 @@ def scopes(found: Column, keep_catalog: bool = False) -> Column:
         return F.when(top["live"], _state(acc, top=here, lows=none, highs=none, windows=F.concat(
             acc["windows"], F.array(_window(acc))))).otherwise(_state(acc, top=here))
 
-    def step(acc: Column, m: Column) -> Column:
+    def step(acc: Column, at: Column) -> Column:
+        m = {name: F.get(cut, at + k) for k, name in enumerate(_FIELDS)}
         top = acc["top"]
         is_head = (m["head"] != "") & F.when(m["head"] == "from", top["kind"] == "query").otherwise(
             top["clause"] == "from")
-        opens = (m["bracket"] == "(") | (m["aggregate"] != "") | (m["call"] != "")
-        return (F.when(is_head, _let(table(acc, m), lambda name: headed(acc, m, name)))
-                 .when(opens, F.when(acc["expects"] & (m["bracket"] == "(") & (m["query"] == ""), _let(
-                     table(acc, m), lambda name: grouped(acc, m, name))).otherwise(opened(acc, m)))
-                 .when(m["bracket"] == ")", F.when(F.size(acc["below"]) > 0, _let(
-                     F.element_at(acc["below"], -1), lambda under: closed(acc, m, under)))
+        opens = (m["bracket"] == "(") | (m["aggregate"] != _TOLD) | (m["call"] != "")
+        return (F.when(is_head, _with_one(acc, table(acc, m), lambda acc, name: headed(acc, m, name)))
+                 .when(opens, F.when(acc["expects"] & (m["bracket"] == "(") & (m["query"] == ""), _with_one(
+                     acc, table(acc, m), lambda acc, name: grouped(acc, m, name))).otherwise(opened(acc, m)))
+                 .when(m["bracket"] == ")", F.when(F.size(acc["below"]) > 0, _with_one(
+                     acc, F.element_at(acc["below"], -1), lambda acc, under: closed(acc, m, under)))
                        .otherwise(_state(acc, whole=F.lit(False))))
-                 .when(m["clause"] != "", _state(acc, top=_frame(top, clause=m["clause"])))
+                 .when(m["clause"] != _TOLD, _state(acc, top=_frame(top, clause=F.when(
+                     m["clause"] == _TOLD + "where", "where").otherwise(""))))
                  .when((m["compared"] != "") & top["live"] & (top["clause"] == "where"), dates(acc, m))
-                 .when(m["set"] != "", parted(acc))
+                 .when(m["set"] != _TOLD, parted(acc))
                  .otherwise(acc))
 
-    return F.aggregate(found, start, step, lambda acc: F.struct(
+    # Each mark's fields begin behind the text before it.
+    places = (F.when(F.size(cut) > 1, F.sequence(F.lit(1), F.size(cut) - 1, F.lit(len(_FIELDS) + 1)))
+               .when(F.size(cut) == 1, F.array().cast("array<int>")))
+    return F.aggregate(places, start, step, lambda acc: F.struct(
         F.sort_array(F.array_distinct(acc["tables"])).alias("tables"),
         F.sort_array(F.array_distinct(acc["edges"])).alias("edges"),
         F.concat(acc["windows"], F.array(_window(acc))).alias("windows"),
@@ -289,29 +306,24 @@ def _window(acc: Column) -> Column:
     return F.struct(F.array_min(acc["lows"]).alias("low"), F.array_max(acc["highs"]).alias("high"))
 
 
-def _told(found: Column, field: str) -> Column:
-    """What the marks hold in one field, where they hold something."""
-    return F.filter(found[field], lambda v: v != "")
-
-
 def aggregate_functions(found: Column) -> Column:
     """Sorted distinct ``name`` or ``name distinct`` of the aggregates called."""
     return F.sort_array(F.array_distinct(F.transform(
-        _told(found, "aggregate"), lambda m: F.rtrim(F.translate(m, "(", " ")))))
+        _all(found, AGGREGATE, 1), lambda m: F.rtrim(F.translate(m, "(", " ")))))
 
 
 def set_operators(found: Column) -> Column:
     """Sorted set operators, repeats kept, in upper case."""
-    return F.sort_array(F.transform(_told(found, "set"), lambda m: F.upper(F.replace(
+    return F.sort_array(F.transform(_all(found, SET_OPERATOR, 1), lambda m: F.upper(F.replace(
         m, F.lit(" distinct"), F.lit("")))))
 
 
 def has_limit(found: Column) -> Column:
-    return F.exists(found["clause"], lambda word: word.startswith("limit "))
+    return found.contains(LIMIT)
 
 
 def has_order_by(found: Column) -> Column:
-    return F.array_contains(found["clause"], "order by")
+    return found.contains(ORDER_BY)
 
 
 def intersect_windows(windows: Column) -> Column:
@@ -331,5 +343,5 @@ def is_date_text(text: Column) -> Column:
 
 def tokens(sql: Column, stripped: bool = False) -> Column:
     """Words, literals and signs of comment-free text; only literals keep their case."""
-    found = _all(sql if stripped else strip_comments(sql), rf"({QUOTED}|[\w.]+|[^\s\w])", 1)
+    found = _all(sql if stripped else strip_comments(sql), rf"([\w.]++|{QUOTED}|[^\s\w])", 1)
     return F.transform(found, lambda t: F.when(t.startswith("'") | t.startswith('"'), t).otherwise(F.lower(t)))

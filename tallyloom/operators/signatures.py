@@ -16,7 +16,7 @@ def with_date_window(queries: DataFrame, sql: str = "query") -> DataFrame:
     """Add ``date_window``: literal date bounds of the final result, intersected over UNION.
     Brackets that do not match leave it null."""
     marks = queries.withColumn("_marks", Q.marks(Q.dated(Q.canonical(F.col(sql)))))
-    read = marks.withColumn("_read", Q.scopes(F.col("_marks")))
+    read = marks.withColumn("_fields", Q.fields(F.col("_marks"))).withColumn("_read", Q.scopes(F.col("_fields")))
     return read.select(*queries.columns, _decided(F.col("_read")).alias("date_window"))
 
 
@@ -34,7 +34,8 @@ def with_signature(queries: DataFrame, sql: str = "query", shape: str | None = N
     """
     texts = queries.withColumn("_text", Q.dated(Q.canonical(F.col(sql), stripped)))
     parts = texts.withColumn("_marks", Q.marks(F.col("_text")))
-    read = parts.withColumn("_read", Q.scopes(F.col("_marks"), keep_catalog))
+    cut = parts.withColumn("_fields", Q.fields(F.col("_marks")))
+    read = cut.withColumn("_read", Q.scopes(F.col("_fields"), keep_catalog))
     marks, found = F.col("_marks"), F.col("_read")
     return read.select(
         *queries.columns, *([Q.shape_of_dated(F.col("_text")).alias(shape)] if shape else []),

@@ -102,3 +102,15 @@ def test_result_rows_equal_the_operator(spark, texts):
 
 def test_default_number_of_rows(spark, texts):
     assert spark.sql("SELECT * FROM result_rows(array('a'), array_repeat('[1]', 30))").count() == catalog.ROW_SAMPLE
+
+
+def test_table_functions_do_not_join_rows_to_themselves(spark, texts):
+    """Neither nested widgets nor texts are shuffled as keys; each text is read once."""
+    boards = spark.createDataFrame([{"id": 1, "widgets": [{"id": 7}]}] * 2, schemas.DASHBOARDS)
+    told = spark.sql("SELECT w.* FROM {b} b, LATERAL dashboard_widgets(b.id, b.widgets) w", b=boards)
+    queries = spark.createDataFrame([(1, "select count(a) from t limit 1"), (1, None)], "id int, q string")
+    parts = spark.sql("SELECT id, s.* FROM {q} q, LATERAL signature_parts(q.q) s", q=queries)
+    for df, rows in ((told, 2), (parts, 8)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and df.count() == rows
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(lower(") <= 1
