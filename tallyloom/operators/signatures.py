@@ -72,10 +72,18 @@ def compare_signatures(left: DataFrame, right: DataFrame, key: str) -> DataFrame
 
 
 def _numbered(tokens: Column) -> Column:
-    """Tokens in order, each with the number of its equals before it: no item is repeated."""
+    """Tokens in order, repeats with the number of their equals before them: no item is repeated."""
     # The sorted array is bound once, since lambdas compute what they refer to again.
     return F.get(F.transform(F.array(F.sort_array(tokens)), lambda words: F.transform(
-        words, lambda w, i: F.concat_ws(" ", i - F.array_position(words, w), w))), F.lit(0))
+        words, lambda w, i: F.when((i > 0) & (w == F.get(words, i - 1)), F.concat_ws(
+            " ", i - F.array_position(words, w), w)).otherwise(w))), F.lit(0))
+
+
+def _alike(left: Column, right: Column) -> Column:
+    """How many first items of two arrays are equal."""
+    both = F.least(F.size(left), F.size(right))
+    unlike = F.array_position(F.zip_with(left, right, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(unlike > 0, unlike.cast("int") - 1).otherwise(both)
 
 
 def token_changes(pairs: DataFrame, left: str, right: str, stripped: bool = False) -> DataFrame:
@@ -83,12 +91,17 @@ def token_changes(pairs: DataFrame, left: str, right: str, stripped: bool = Fals
     counts of the multiset difference.  All of it is computed inside the row."""
     words = pairs.select("*", Q.tokens(F.col(left), stripped).alias("_old"),
                          Q.tokens(F.col(right), stripped).alias("_new"))
-    items = words.select("*", _numbered(F.col("_old")).alias("_old_items"),
-                         _numbered(F.col("_new")).alias("_new_items"))
-    return items.select(
+    # What both begin or end with is in both multisets: only the middles are counted.
+    heads = words.withColumn("_head", _alike(F.col("_old"), F.col("_new")))
+    rests = heads.select("*", *[F.slice(c, F.col("_head") + 1, F.size(c)).alias(f"{c}_rest") for c in ("_old", "_new")])
+    tails = rests.withColumn("_tail", _alike(F.reverse("_old_rest"), F.reverse("_new_rest")))
+    items = tails.select("*", *[_numbered(F.slice(f"{c}_rest", 1, F.size(f"{c}_rest") - F.col("_tail"))).alias(
+        f"{c}_items") for c in ("_old", "_new")])
+    shared = items.withColumn("_shared", F.size(F.array_intersect("_old_items", "_new_items")))
+    return shared.select(
         *pairs.columns, (F.col("_old") == F.col("_new")).alias("text_equal"),
-        F.size(F.array_except("_old_items", "_new_items")).cast("long").alias("tokens_removed"),
-        F.size(F.array_except("_new_items", "_old_items")).cast("long").alias("tokens_added"))
+        (F.size("_old_items") - F.col("_shared")).cast("long").alias("tokens_removed"),
+        (F.size("_new_items") - F.col("_shared")).cast("long").alias("tokens_added"))
 
 
 def diff_pairs(pairs: DataFrame, key: str, left: str = "left_query",

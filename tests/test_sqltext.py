@@ -245,3 +245,28 @@ def test_date_window_in_its_scope(spark, sql, window):
 def test_set_operators_are_not_column_lists(spark):
     row = signature(spark, "select * except (a, b) from d.t except (select 1) except distinct select 2")
     assert row.set_ops == ["EXCEPT", "EXCEPT"]
+
+
+def test_token_changes_count_multisets(spark):
+    from collections import Counter
+    texts = ["", "a", "a a a", "a b a", "b a a b", "a b c a b", "c a b a b c", "1 a '1 a' a", "select a , a , a from b , b"]
+    rows = [(x, y) for x in texts for y in texts] + [("a", None), (None, None)]
+    pairs = spark.createDataFrame(rows, "x string, y string")
+    counted = G.token_changes(pairs, "x", "y", stripped=True)
+    for r in counted.collect():
+        if r.x is None or r.y is None:
+            assert (r.text_equal, r.tokens_removed, r.tokens_added) == (None, None, None)
+            continue
+        x, y = ([t if t != "'1" else t for t in s.replace("'1 a'", "'1_a'").split()] for s in (r.x, r.y))
+        assert (r.text_equal, r.tokens_removed, r.tokens_added) == (
+            x == y, sum((Counter(x) - Counter(y)).values()), sum((Counter(y) - Counter(x)).values())), (r.x, r.y)
+    # One comparison of what is left of both sides, not one for each side.
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" not in plan and plan.count("array_intersect") == 1
+
+
+def test_marks_are_told_from_the_text_between_them(spark):
+    found = spark.createDataFrame([("select 1 from d.t,limit 5order by x",), ("select a from d.t where (b) limit 5",),
+                                   ("select `\x01x\x02limit 1` from d.t order by 1",), (None,)], "q string").select(
+        Q.marks(Q.dated(F.col("q"))).alias("m")).select(Q.has_limit(F.col("m")), Q.has_order_by(F.col("m")))
+    assert [tuple(r) for r in found.collect()] == [(True, False), (True, False), (False, True), (None, None)]
