@@ -270,3 +270,14 @@ def test_marks_are_told_from_the_text_between_them(spark):
                                    ("select `\x01x\x02limit 1` from d.t order by 1",), (None,)], "q string").select(
         Q.marks(Q.dated(F.col("q"))).alias("m")).select(Q.has_limit(F.col("m")), Q.has_order_by(F.col("m")))
     assert [tuple(r) for r in found.collect()] == [(True, False), (True, False), (False, True), (None, None)]
+
+
+def test_more_tasks_as_the_files_grow(spark, folder, monkeypatch):
+    from tallyloom.functions import staging
+    spark.range(1000).coalesce(1).write.parquet(f"{folder}/t")
+    scan = spark.read.parquet(f"{folder}/t")
+    cores = spark.sparkContext.defaultParallelism
+    assert staging.spread(scan).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(staging, "PIECE", 200)
+    dealt = staging.spread(scan)
+    assert dealt.rdd.getNumPartitions() > cores and dealt.count() == 1000
